@@ -1,7 +1,7 @@
 """Token ids written as canonical, length-limited Huffman codes in independent blocks.
 
-1. Whole texts become ids; each worker remembers the ids of the stretches between spaces that it
-   has met, which the tokenizer encodes independently (see CUT).
+1. Whole texts become ids; each worker remembers the ids of words that it has met, which the
+   tokenizer encodes independently.
 2. Ids are counted over the whole table; the counts (one per id of the vocabulary, a proven bound)
    make code lengths by package-merge, and lengths make canonical codes.
 3. Documents are ordered by doc_id in ranges; each block holds about BLOCK ids of consecutive
@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,19 @@ BLOCK = 1 << 17
 STRIDE = 256
 #: Ids in a shard, a stretch of doc_ids that one task writes in order.
 SHARD = 8 << 20
-STRETCHES = 400_000
-#: Space beside white space, white space other than space and newline, or at an end: no plain cut.
-ODD = re.compile(r"[ \n]\s|[^\S \n]|^\s|\s$|[\x1c-\x1f\x85]")
-#: Where a text may be cut with the same ids: at one space, before it, between two characters that
-#: are no white space.
+#: Words that a worker remembers for each of its two tables; when they are more, those not met since
+#: the last time go.
+WORDS = 200_000
+#: White space other than space and newline.
+OTHER = tuple("\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+#: Where any text may be cut with the same ids: at one space, before it, between two characters
+#: that are no white space.
 CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])")
-TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+SIGNS = ".,!?;:()[]{}\"'%&$#*+-/|<>=~^_@"
+#: Byte-level vocabularies write each byte as a character: printable ones as themselves.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
+TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
 def id_type(vocabulary: int) -> type:
@@ -44,37 +51,84 @@ def id_type(vocabulary: int) -> type:
     return np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
 
+class Words(dict):
+    """Ids (as bytes) of words that stand after ``lead``, computed when first asked for."""
+
+    def __init__(self, ids: Ids, lead: str):
+        self.ids, self.lead, self.before = ids, lead, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.before.get(word)
+        if got is None:
+            got = self.ids.word(self.lead, word)
+        self[word] = got
+        return got
+
+    def tidy(self) -> None:
+        if len(self) > WORDS:
+            self.before = dict(self)
+            self.clear()
+
+
 class Ids:
-    """Ids of texts by a tokenizer file that splits at single spaces before it merges."""
+    """Ids of texts by a tokenizer file (byte-level, its pre-tokenizer cutting between white space,
+    letters and signs). Texts whose white space is single spaces and newlines are cut at these, each
+    word encoded once; the pieces of a word that the pre-tokenizer would cut go to the model."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = False
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.n = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-
         self.kind = id_type(self.n)
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def stretches(self, text: str) -> list[str]:
-        if ODD.search(text):
-            return CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        self.code = np.dtype(self.kind).char
+        self.after, self.first = Words(self, " "), Words(self, "")
+        self.newline = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """Ids of what is one piece for the pre-tokenizer."""
+        text = text.encode().decode("latin-1").translate(LETTERS)
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def word(self, lead: str, word: str) -> bytes:
+        if word.isalpha():
+            if word.isascii():
+                return array(self.code, [t.id for t in self.model.tokenize("Ġ" + word if lead else word)]).tobytes()
+            return self.piece(lead + word)
+        core = word.rstrip(SIGNS)
+        if core.isalpha():
+            return (self.after if lead else self.first)[core] + self.piece(word[len(core) :])
+        return self.whole(lead + word) if word else b""
+
+    def is_plain(self, t: str) -> bool:
+        if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n":
+            return False
+        return not any(c in t for c in (OTHER[:8] if t.isascii() else OTHER)) and not any(x in t for x in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > STRETCHES:
-            self.known.clear()
-        known, cut = self.known, []
+        self.after.tidy()
+        self.first.tidy()
+        after, first, newline, out = self.after.__getitem__, self.first.__getitem__, self.newline, []
         for t in texts:
-            # A special token's text could hold spaces or touch words: such a text goes whole.
-            cut.append(([t] if t else []) if any(s in t for s in self.special) else self.stretches(t) if t else [])
-        new = list({x for c in cut for x in c if x not in known})
-        known.update(zip(new, self.plain(new)))
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+            if not t:
+                out.append(b"")
+            elif self.is_plain(t):
+                parts = []
+                for line in t.split("\n"):
+                    words = line.split(" ")
+                    parts.append(first(words[0]))
+                    parts += map(after, words[1:])
+                    parts.append(newline)
+                parts.pop()
+                out.append(b"".join(parts))
+            elif any(x in t for x in self.special):
+                out.append(self.whole(t))
+            else:
+                out.append(b"".join(map(self.whole, CUT.split(t))))
+        return out
 
 
 @functools.cache
@@ -83,7 +137,8 @@ def ids_of(path: str) -> Ids:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """doc_id, n and ids (16-bit for small vocabularies, else 32-bit; with the end id) of each text."""
+    """doc_id, n and ids (16-bit for small vocabularies, else 32-bit; with the end id) of each text.
+    The first row of some texts has their ids' counts, so that counting need not read the ids."""
 
     def run(batches):
         coder = ids_of(tokenizer)
@@ -91,9 +146,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 ids = [x + last for x in coder.encode([t.as_py() or "" for t in part.column("text")])]
-                yield rows({"doc_id": part.column("doc_id").to_pylist(), "n": [len(x) // len(last) for x in ids], "ids": ids}, TOKENS)
+                n = np.bincount(np.frombuffer(b"".join(ids), coder.kind))
+                used = np.flatnonzero(n)
+                counts = used.astype(np.uint32).tobytes() + n[used].astype(np.uint64).tobytes()
+                yield rows({"doc_id": part.column("doc_id").to_pylist(), "n": [len(x) // len(last) for x in ids], "ids": ids, "counts": [counts] + [None] * (len(ids) - 1)}, TOKENS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -141,21 +199,27 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def packed(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of ids, and the offset of each id's first."""
+def packed(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The bits of documents (``sizes`` of them in ``ids``), each beginning at a byte, and the offset
+    of each id's first bit from its document's."""
     n = lengths[ids]
+    last = np.cumsum(sizes) - 1
     end = np.cumsum(n)
-    at = end - n
-    words = np.zeros((int(end[-1]) + 127) // 64 + 1 if len(ids) else 1, np.uint64)
-    if len(ids):
-        word, bit = at >> 6, (at & 63).astype(np.uint64)
-        # Each code stands at the top of 64 bits, then moves to its place, in one word or two.
-        top = codes[ids] << (64 - n).astype(np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[first]] |= np.bitwise_or.reduceat(top >> bit, first)
-        over = np.flatnonzero(bit.astype(np.int64) + n > 64)
-        words[word[over] + 1] |= top[over] << (np.uint64(64) - bit[over])
-    return words.astype(">u8").tobytes()[: (int(end[-1]) + 7) // 8 if len(ids) else 0], at
+    before = np.append(0, end[last[:-1]])
+    whole = -(-(end[last] - before) // 8)
+    begin = np.cumsum(whole) - whole
+    within = end - n - np.repeat(before, sizes)
+    at = within + np.repeat(8 * begin, sizes)
+    words = np.zeros(int(whole.sum()) // 8 + 2, np.uint64)
+    word, bit = at >> 6, (at & 63).astype(np.uint64)
+    # Each code stands at the top of 64 bits, then moves to its place, in one word or two.
+    top = codes[ids] << (64 - n).astype(np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] |= np.bitwise_or.reduceat(top >> bit, first)
+    over = np.flatnonzero(bit.astype(np.int64) + n > 64)
+    words[word[over] + 1] |= top[over] << (np.uint64(64) - bit[over])
+    data = words.astype(">u8").tobytes()
+    return [data[a : a + b] for a, b in zip(begin.tolist(), whole.tolist())], within
 
 
 def table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -171,25 +235,26 @@ def table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 BLOCKS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n", pa.int64()), ("offsets", pa.binary()), ("bits", pa.binary())])
-CODED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+CODED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("within", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def huffman_write(tokens: DataFrame, vocabulary: int, limit: int = LIMIT, shards: int | None = None) -> tuple[DataFrame, list[int]]:
-    """The written blocks of ``tokens`` (doc_id, n, ids) in ascending doc_id order, and the code's
+    """The written blocks of ``tokens`` (from ``tokenized``) in ascending doc_id order, and the code's
     lengths. Blocks are rows of a Parquet table in the shared folder: shard, block, the documents'
     ids and sizes, checkpoints and bits. A null doc_id comes first; equal ones stand by size and ids."""
     spark, kind = tokens.sparkSession, id_type(vocabulary)
 
     def count(batches):
-        total = np.zeros(vocabulary, np.int64)
+        total = np.zeros(vocabulary, np.uint64)
         for batch in batches:
-            for part in pieces(batch, "ids"):
-                total += np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), kind), minlength=vocabulary)
+            for x in batch.column("counts").to_pylist():
+                k = len(x) // 12
+                total[np.frombuffer(x, np.uint32, k)] += np.frombuffer(x, np.uint64, k, 4 * k)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].astype(np.int64))], names=["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for row in tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in tokens.select("counts").filter("counts is not null").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row["id"]] = row["n"]  # at most one row for each id of the vocabulary
     lengths = code_lengths(counts, limit)
     shards = shards or max(1, int(-(-int(counts.sum()) // SHARD)))
@@ -201,17 +266,16 @@ def huffman_write(tokens: DataFrame, vocabulary: int, limit: int = LIMIT, shards
         lengths, codes, bounds = shared.value
         for batch in batches:
             for part in pieces(batch, "ids"):
-                bits, offsets, size = [], [], []
-                for x in part.column("ids"):
-                    data, at = packed(np.frombuffer(x.as_buffer(), kind), codes, lengths)
-                    bits.append(data)
-                    offsets.append(at[::STRIDE].astype(np.uint32 if len(data) < 1 << 29 else np.uint64).tobytes())
-                    size.append(len(at))
+                flat = np.frombuffer(b"".join(part.column("ids").to_pylist()), kind)
+                size = part.column("n").to_numpy()
+                bits, at = packed(flat, size, codes, lengths)
+                begin = np.cumsum(size) - size
+                offsets = [at[a : a + n : STRIDE].astype(np.uint64).tobytes() for a, n in zip(begin.tolist(), size.tolist())]
                 ids = part.column("doc_id")
                 shard = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(), side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(size, pa.int64()), pa.array(offsets, pa.binary()), pa.array(bits, pa.binary())], names=["shard", "doc_id", "n", "offsets", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, part.column("n"), pa.array(offsets, pa.binary()), pa.array(bits, pa.binary())], names=["shard", "doc_id", "n", "offsets", "bits"])
 
-    coded = tokens.select("doc_id", "ids").mapInArrow(code, "shard long, doc_id long, n long, offsets binary, bits binary")
+    coded = tokens.select("doc_id", "n", "ids").mapInArrow(code, "shard long, doc_id long, n long, offsets binary, bits binary")
     ordered = coded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "n", "bits")
 
     def block(batches):
@@ -222,8 +286,7 @@ def huffman_write(tokens: DataFrame, vocabulary: int, limit: int = LIMIT, shards
         def full():
             offsets, bits, base = [], [], 0
             for _, n, at, data in held:
-                wide = np.frombuffer(at, np.uint32 if len(data) < 1 << 29 else np.uint64).astype(np.uint64)
-                offsets.append(wide + np.uint64(8 * base))
+                offsets.append(np.frombuffer(at, np.uint64) + np.uint64(8 * base))
                 bits.append(data)
                 base += len(data)
             one = {"shard": [shard], "block": [number], "doc_ids": [[h[0] for h in held]], "sizes": [[h[1] for h in held]], "n": [total], "offsets": [np.concatenate(offsets).tobytes()], "bits": [b"".join(bits)]}
@@ -248,9 +311,9 @@ def huffman_write(tokens: DataFrame, vocabulary: int, limit: int = LIMIT, shards
 
 
 def huffman_read(blocks: DataFrame, lengths: list[int], keep_ids: bool = False) -> DataFrame:
-    """The documents of written blocks: shard, block, nth (place in the block), doc_id, n_tokens,
+    """The documents of written blocks: shard, block, within (ids before it in the block), doc_id, n_tokens,
     ids_crc32, and with ``keep_ids`` the ids."""
-    schema = "shard long, block long, nth long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    schema = "shard long, block long, within long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
     shared = blocks.sparkSession.sparkContext.broadcast(np.array(lengths, np.int64))
 
     def run(batches):
@@ -258,7 +321,7 @@ def huffman_read(blocks: DataFrame, lengths: list[int], keep_ids: bool = False)
         for batch in batches:
             for shard, number, docs, sizes, offsets, bits in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "doc_ids", "sizes", "offsets", "bits"))):
                 ids = unpacked_documents(bits, np.array(sizes, np.int64), np.frombuffer(offsets, np.uint64), of)
-                out = {"shard": [shard] * len(docs), "block": [number] * len(docs), "nth": list(range(len(docs))), "doc_id": docs, "n_tokens": sizes, "ids_crc32": [zlib.crc32(x) for x in ids]}
+                out = {"shard": [shard] * len(docs), "block": [number] * len(docs), "within": (np.cumsum(sizes) - np.array(sizes)).tolist(), "doc_id": docs, "n_tokens": sizes, "ids_crc32": [zlib.crc32(x) for x in ids]}
                 columns = [pa.array(out[f.name], f.type) for f in CODED]
                 names = list(CODED.names)
                 if keep_ids:
@@ -292,16 +355,15 @@ def unpacked_documents(data: bytes, sizes: np.ndarray, checkpoints: np.ndarray,
     return np.split(out, np.cumsum(sizes)[:-1])
 
 
-def with_starts(documents: DataFrame) -> DataFrame:
-    """``start``: the ids of all documents before. Sums of blocks are added up in two levels, over
-    shards and inside each, so that no task orders more than one row for each shard or block."""
-    blocks = documents.groupBy("shard", "block").agg(F.sum("n_tokens").alias("t"))
-    shards = blocks.groupBy("shard").agg(F.sum("t").alias("t"))
+def with_starts(documents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``start``: the ids of all documents before. Sums are taken over shards, over the blocks of a
+    shard and inside each block, so that no task orders more than one row for each shard or block."""
+    totals = blocks.select("shard", "block", F.col("n").alias("t"))
+    shards = totals.groupBy("shard").agg(F.sum("t").alias("t"))
     before = shards.withColumn("b0", F.coalesce(F.sum("t").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "b0")
     w = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = blocks.withColumn("b1", F.coalesce(F.sum("t").over(w), F.lit(0))).join(before, "shard").select("shard", "block", (F.col("b0") + F.col("b1")).alias("base"))
-    inside = Window.partitionBy("shard", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    return documents.withColumn("in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(base, ["shard", "block"]).withColumn("start", F.col("base") + F.col("in")).drop("base", "in")
+    base = totals.withColumn("b1", F.coalesce(F.sum("t").over(w), F.lit(0))).join(before, "shard").select("shard", "block", (F.col("b0") + F.col("b1")).alias("base"))
+    return documents.join(base, ["shard", "block"]).withColumn("start", F.col("base") + F.col("within")).drop("base")
 
 
 def huffman_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end: int = END) -> DataFrame:
@@ -313,4 +375,4 @@ def huffman_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end: i
     """
     tokens = written(tokenized(docs, tokenizer, end), "tokens")
     blocks, lengths = huffman_write(tokens, vocabulary)
-    return with_starts(huffman_read(blocks, lengths)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(huffman_read(blocks, lengths), blocks).select("doc_id", "start", "n_tokens", "ids_crc32")
