@@ -220,11 +220,11 @@ def mix_texts(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """The mixture as documents: ``docs`` (doc_id, text, source, n_chars and more) with one row for
     each document and epoch, whose text is what the epoch takes of it, in the document's order.
     A whole text stays as it is; of a part the words are joined by one space. Documents without
-    words have nothing to take and give no row. doc_ids tell documents apart."""
+    words have nothing to take and give no row. doc_ids tell documents apart: of rows that share one,
+    each is cut by the words taken of all."""
     sized = written(sizes(docs), "sizes")
     taken = Plan(sized, seed, block).mixed().groupBy("source", "doc_id", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"))
-    one = docs.dropDuplicates(["doc_id"]).alias("d")
-    joined = one.join(taken.select(F.col("doc_id").alias("of"), "size", "epoch", "parts"), F.col("d.doc_id").eqNullSafe(F.col("of")))
+    joined = docs.alias("d").join(taken.select(F.col("doc_id").alias("of"), "size", "epoch", "parts"), F.col("d.doc_id").eqNullSafe(F.col("of")))
     fields = docs.columns
     text, chars = fields.index("text"), fields.index("n_chars") if "n_chars" in fields else None
 

@@ -27,6 +27,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casefile.llm.common import words_of
 
@@ -91,7 +92,7 @@ def window_keys(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
             if rest:
                 run = run[: len(run) - length] * weight + run[length:]
                 length *= 2
-                weight = weight * weight
+                weight = U(int(weight) ** 2 & 0xFFFFFFFFFFFFFFFF)
         out.append(mixed(acc))
     return out[0], out[1]
 
@@ -103,8 +104,8 @@ class Chunk:
         global vocabulary
         if len(vocabulary) > VOCABULARY:
             vocabulary = Vocabulary()
-        docs = docs.sort_by([("text", "ascending"), ("doc_id", "ascending")])
-        self.ids, self.window = docs.column("doc_id").to_pylist(), window
+        self.table = docs = docs.sort_by([("text", "ascending"), ("doc_id", "ascending")])
+        self.window = window
         self.docs = [words_of(text.as_py()) for text in docs.column("text")]
         self.k1 = self.k2 = np.empty(0, U)
         size = np.array([len(x) for x in self.docs], np.int64)
@@ -177,7 +178,8 @@ def unpacked_cells(data: bytes) -> np.ndarray:
 
 MESSAGE = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
 ANSWER = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("part", pa.int64()), ("mask", pa.binary())])
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+RESULT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def ranges(of: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
@@ -204,7 +206,7 @@ def mask(bits: np.ndarray) -> bytes:
     return len(bits).to_bytes(8, "little") + np.packbits(bits).tobytes()
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, slice_cells: int = SLICE_CELLS, keep_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, slice_cells: int = SLICE_CELLS, carry: list[str] | None = None) -> DataFrame:
     """Remove each word that a repeated window covers.
 
     ``docs`` has doc_id (whole number) and text; other columns, whatever their names, are ignored.
@@ -213,7 +215,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
     document or another. Windows are judged on the input.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and,
-    with ``keep_text``, kept_text. Defined cases: a null or empty text has no words; texts under
+    with ``carry`` (names of further columns of ``docs``, or none), these and kept_text: the kept
+    words so joined, or the text as it is where nothing is removed. Defined cases: a null or empty text has no words; texts under
     ``window`` words lose nothing; repeated rows (equal doc_id and text, too) are documents of their
     own and so lose all that their windows cover; a null doc_id is kept as null; an empty table
     gives an empty result. Equality of windows is equality of two hashes, 96 bits in all.
@@ -227,8 +230,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
     key_parts = max(1, math.ceil(words / slice_cells))
     span = -(-(2 << bits) // cell_parts)
 
-    by = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    kept = [] if carry is None else [f"carry_{k}" for k in range(len(carry))]
+    by = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *[F.col(c).alias(k) for c, k in zip(carry or [], kept)])
     by = by.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    result = T.StructType([*T.StructType.fromDDL(RESULT_DDL).fields, *[by.schema[k] for k in kept], *([T.StructField("kept_text", T.StringType())] if carry is not None else [])])
 
     def sketch(key, table):
         sent = Chunk(table, window).sent_cells(bits)
@@ -274,26 +279,31 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
         return pa.table([table.column("chunk").to_pylist(), [2] * len(n), [key[0].as_py()] * len(n), masks], schema=ANSWER)
 
     def remove(key, table, answers):
-        if not table.num_rows:
-            return RESULT.empty_table()
         chunk, which = survivors(table, answers)
         k1, _, first = chunk.sent_keys(which)
         many = np.zeros(len(chunk.k1), bool)
         many[which] = answers_for(answers, 2, len(k1))[first]
-        gone = {}
-        for j, n, start in zip(range(len(chunk.ids)), chunk.count.tolist(), chunk.before.tolist()):
+        out: dict[str, list] = {f.name: [] for f in RESULT}
+        texts = []
+        rows_ = zip(chunk.table.column("doc_id").to_pylist(), chunk.table.column("text"), chunk.docs, chunk.count.tolist(), chunk.before.tolist())
+        for doc, whole, words, n, start in rows_:
+            left = words
             if (hits := many[start : start + n]).any():
                 edges = np.zeros(n + window, np.int32)
                 edges[:n] += hits
                 edges[window:] -= hits
-                gone[j] = np.cumsum(edges)[: n + window - 1] > 0
-        out: dict[str, list] = {f.name: [] for f in RESULT}
-        for j, words in enumerate(chunk.docs):
-            kept = words if j not in gone else list(itertools.compress(words, ~gone[j]))
-            text = b" ".join(kept)
-            for name, value in zip(out, (chunk.ids[j], len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if keep_text else None)):
+                left = list(itertools.compress(words, np.cumsum(edges)[: len(words)] == 0))
+            text = b" ".join(left)
+            for name, value in zip(out, (doc, len(words), len(words) - len(left), hashlib.sha256(text).hexdigest())):
                 out[name].append(value)
-        return pa.table([out[f.name] for f in RESULT], schema=RESULT)
+            if carry is not None:
+                texts.append(text.decode() if len(left) < len(words) else whole.as_py())
+        done = pa.table([pa.array(out[f.name], f.type) for f in RESULT], schema=RESULT)
+        if carry is not None:
+            for k in kept:
+                done = done.append_column(k, chunk.table.column(k))
+            done = done.append_column("kept_text", pa.array(texts, pa.string()))
+        return done
 
     message, answer = "part long, chunk long, payload binary", "chunk long, level int, part long, mask binary"
     sketched = by.groupBy("chunk").applyInArrow(sketch, message)
@@ -301,5 +311,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
     keys = by.groupBy("chunk").cogroup(estimated.groupBy("chunk")).applyInArrow(exact, message)
     counted = keys.groupBy("part").applyInArrow(count, answer)
     answers = estimated.unionByName(counted)
-    out = by.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out if keep_text else out.drop("kept_text")
+    out = by.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(remove, result)
+    return out.withColumnsRenamed(dict(zip(kept, carry or [])))
