@@ -21,6 +21,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: to 24 are linked that have a fingerprint with up to 8, which three projections find.
 NEAR = {"shingle": 5, "lanes": 2, "most": 24, "lane_most": 8, "projections": simhash.thirds(2)}
 
+#: Words in a block of the mix: long enough to keep most documents whole.
+MIX_BLOCK = 512
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin; lang becomes the prediction."""
@@ -31,7 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Rows without
+    a doc_id, which nothing tells apart, go."""
     ship(spark)
     groups = simhash.simhash_near_duplicates(docs, **NEAR)
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
@@ -41,17 +45,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that a repeated window of 35 covers are removed; a text left without words goes."""
     ship(spark)
-    out = substring_dedup.substring_dedup(docs, keep_text=True)
-    same = docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(out.filter("n_removed > 0").select("doc_id", "kept_text", "n_words", "n_removed"), "doc_id", "left")
-    same = same.filter("n_words is null or n_removed < n_words")
-    return same.withColumn("text", F.coalesce("kept_text", "text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    out = substring_dedup.substring_dedup(docs.select(*COLUMNS), carry=["lang", "source"])
+    left = out.filter("n_words = 0 or n_removed < n_words").withColumnRenamed("kept_text", "text")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each document: a row for each of its epochs that take any; a
     document that an epoch takes whole keeps its text as it is."""
     ship(spark)
-    return mixing.mix_texts(docs.select(*COLUMNS))
+    return mixing.mix_texts(docs.select(*COLUMNS), block=MIX_BLOCK)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
