@@ -122,14 +122,14 @@ def spoof_warnings(spf: Column, auth: Column, from_: Column, reply_to: Column, h
     """SCR13: SPF (soft failure looked for first), DKIM, DMARC, reply address, display name and hops."""
     spf, auth = F.lower(F.coalesce(spf, F.lit(""))), F.lower(F.coalesce(auth, F.lit("")))
     failed = ~F.contains(spf, F.lit("pass"))
-    own = t.domain(t.address(from_))
+    own = t.domain(t.sender(from_))
     shown = t.domain(F.regexp_extract(F.regexp_replace(from_, r"<[^>]*>", ""), t.ADDRESS, 0))
     return warnings(
         (failed & F.contains(spf, F.lit("softfail")), "spf_softfail"),
         (failed & F.contains(spf, F.lit("fail")) & ~F.contains(spf, F.lit("softfail")), "spf_fail"),
         (F.contains(auth, F.lit("dkim=fail")), "dkim_fail"),
         (F.contains(auth, F.lit("dmarc=fail")), "dmarc_fail"),
-        ((F.regexp_extract(F.coalesce(reply_to, F.lit("")), t.ADDRESS, 0) != "") & (t.address(reply_to) != t.address(from_)), "reply_to_mismatch"),
+        ((F.regexp_extract(F.coalesce(reply_to, F.lit("")), t.ADDRESS, 0) != "") & (t.address(reply_to) != t.sender(from_)), "reply_to_mismatch"),
         ((shown != "") & (shown != own), "display_name_mismatch"),
         (hops > 10, "many_hops"),
     )

@@ -100,6 +100,12 @@ def address(header: Column | str) -> Column:
     return F.when(found != "", found).otherwise(col(header))
 
 
+def sender(header: Column | str) -> Column:
+    """The address in angle brackets, else the first one: what a mail claims to come from."""
+    bracketed = F.regexp_extract(col(header), r"<[^>]*?(" + ADDRESS + r")[^>]*>", 1)
+    return F.when(bracketed != "", bracketed).otherwise(address(header))
+
+
 def addresses(header: Column | str) -> Column:
     """STR8: addresses of a list."""
     return F.filter(F.transform(F.split(F.coalesce(col(header), F.lit("")), ","), lambda a: address(F.trim(a))), lambda a: a != "")

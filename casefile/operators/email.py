@@ -33,7 +33,7 @@ def with_spoof_risk(mails: DataFrame) -> DataFrame:
 
 def risk_by_domain(scored: DataFrame) -> DataFrame:
     """AGG9."""
-    n = scored.groupBy(t.domain(t.address("from")).alias("domain")).agg(*[F.count_if(F.col("risk") == r).alias(r) for r in ("high", "medium", "low")], F.avg(F.size("warnings")).alias("mean_warnings"))
+    n = scored.groupBy(t.domain(t.sender("from")).alias("domain")).agg(*[F.count_if(F.col("risk") == r).alias(r) for r in ("high", "medium", "low")], F.avg(F.size("warnings")).alias("mean_warnings"))
     return n
 
 

@@ -403,8 +403,8 @@ def _mails(spark, d):
     )
 
 
-@query("scr13_agg9_spoofing", """WITH m AS (SELECT o_orderkey AS k, (o_orderkey % 7 = 0)::INT + (o_orderkey % 5 = 0)::INT + (o_orderkey % 4 = 0)::INT + (o_orderkey % 4 = 1)::INT + 2 * (o_orderkey % 3 = 0)::INT + (o_orderkey % 14 > 10)::INT AS w, CASE WHEN o_orderkey % 7 = 0 THEN 'bank.com' ELSE 'd' || o_orderkey % 9 || '.org' END AS d FROM orders),
-x AS (SELECT k, d, CASE WHEN d = 'bank.com' THEN w - 1 ELSE w END AS w FROM m)
+@query("scr13_agg9_spoofing", """WITH m AS (SELECT o_orderkey AS k, (o_orderkey % 7 = 0)::INT + (o_orderkey % 5 = 0)::INT + (o_orderkey % 4 = 0)::INT + (o_orderkey % 4 = 1)::INT + 2 * (o_orderkey % 3 = 0)::INT + (o_orderkey % 14 > 10)::INT AS w, CASE WHEN o_orderkey % 7 = 0 THEN 'evil.org' ELSE 'd' || o_orderkey % 9 || '.org' END AS d FROM orders),
+x AS (SELECT k, d, w FROM m)
 SELECT d AS domain, count(*) FILTER (w >= 3) AS high, count(*) FILTER (w IN (1, 2)) AS medium, count(*) FILTER (w = 0) AS low, round(avg(w), 6) AS mean_warnings FROM x GROUP BY d""")
 def spoofing(spark, d):
     return em.risk_by_domain(em.with_spoof_risk(_mails(spark, d))).withColumn("mean_warnings", R("mean_warnings"))
@@ -491,7 +491,7 @@ def _run(spark, out, mode: str, name: str):
 
 def run_stream(spark, d, kind: str):
     """STM1, STM2, STM5, STM6, STM7 over the events of a folder, for tests and examples."""
-    s = _stream(spark, d)
+    s = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     if kind == "duplicates":
         return _run(spark, state.first_by_content(s.withColumn("sha256", F.sha2("props", 256))), "append", "casefile_duplicates")
     if kind == "counters":
