@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from casefile.operators import custody as cu
 from casefile.operators import email as em
 from casefile.operators import media, relational, telemetry
 from casefile.plans.registry import _lit, cases, custody, evidence, log, query, read, results, sql
+from casefile.session import scratch, ship
 from casefile.sources import files, sinks
 from casefile.streaming import state
 
@@ -474,32 +473,56 @@ def fixed(spark, d):
 
 
 def _stream(spark, d, name="events"):
-    """A table's rows as a stream: its files are linked (or its folder taken) below one folder."""
-    path = f"{d}/{name}.parquet"
-    schema = read(spark, d, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path if os.path.isdir(path) else d, pathGlobFilter=f"{name}.parquet" if not os.path.isdir(path) else "*.parquet")
-
-
-def _run(spark, out, mode: str, name: str):
-    """A stream run to the end of what is there; its result as a table in memory."""
-    at = tempfile.mkdtemp(prefix="casefile-stream-")
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
-    q.awaitTermination()
-    shutil.rmtree(at, ignore_errors=True)
-    return spark.table(name)
-
-
-def run_stream(spark, d, kind: str):
-    """STM1, STM2, STM5, STM6, STM7 over the events of a folder, for tests and examples."""
-    s = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    if kind == "duplicates":
-        return _run(spark, state.first_by_content(s.withColumn("sha256", F.sha2("props", 256))), "append", "casefile_duplicates")
-    if kind == "counters":
-        return _run(spark, state.stage_counters(s, "1 day"), "complete", "casefile_counters")
-    if kind == "progress":
-        return _run(spark, state.job_progress(s.select(F.col("user_id").alias("evidence_id"), F.col("event_type").alias("stage"), F.col("value").alias("progress"), "ts", F.col("event_id").alias("id"))), "complete", "casefile_progress")
-    if kind == "limit":
-        return _run(spark, state.limited(s.withColumn("id", F.col("event_id")), "user_id", 86_400, 3), "append", "casefile_limit")
-    before = F.sha2((F.col("event_id") - F.when(F.col("event_id") % 17 == 0, 5).otherwise(0)).cast("string"), 256)
-    chain = s.select(F.lit("all").alias("evidence_id"), F.col("event_id").alias("id"), "ts", before.alias("input_hash"), F.sha2((F.col("event_id") + 1).cast("string"), 256).alias("output_hash"))
-    return _run(spark, state.custody_breaks(chain), "append", "casefile_custody")
+    """A table's files as a stream. The pattern fits a file as well as a folder of files."""
+    s = ship(spark).readStream.schema(read(spark, d, name).schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/{name}.parque[t]")
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(out):
+    """A stream run to the end of what is there, its rows written in the shared folder."""
+    spark = out.sparkSession
+    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/rows")
+
+
+@query("stm1_stream_first_by_content", "SELECT count(DISTINCT props) AS n FROM events")
+def stream_first(spark, d):
+    s = _stream(spark, d).withColumn("sha256", F.sha2("props", 256)).select("event_id", "ts", "sha256")
+    return _run(state.first_by_content(s, "3650 days")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stm2_stream_accepted_limit")
+def stream_limit(spark, d):
+    return _run(state.limited(_stream(spark, d).withColumn("id", F.col("event_id")), "user_id", 86_400, 3))
+
+
+@query("stm6_stream_custody_breaks", "SELECT event_id % 10 AS evidence_id, count(*) AS n FROM events WHERE event_id % 17 = 0 AND event_id >= 10 GROUP BY 1")
+def stream_custody(spark, d):
+    """Each entry continues the one ten events before; those whose id 17 divides do not."""
+    e = F.col("event_id")
+    h = lambda c: F.sha2(c.cast("string"), 256)
+    chain = _stream(spark, d).select((e % 10).alias("evidence_id"), e.alias("id"), "ts", h(F.when(e % 17 == 0, -1).otherwise(e)).alias("input_hash"), h(e + 10).alias("output_hash"))
+    return _run(state.custody_breaks(chain)).groupBy(F.col("evidence_id").cast("long").alias("evidence_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stm4_stream_scores", sql("texts", "SELECT count(*) AS n FROM documents"))
+def stream_scores(spark, d):
+    """Arriving documents scored, each batch appended to a table."""
+    at = f"{scratch(ship(spark))}/stream-{uuid.uuid4().hex}"
+    docs = ship(spark).readStream.schema(read(spark, d, "documents").schema).parquet(f"{d}/documents.parque[t]")
+    state.score_arrivals(docs, lambda df, _: df.drop("text").write.mode("append").parquet(f"{at}/rows"), f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/rows").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stm5_stage_counters", "SELECT time_bucket(INTERVAL 1 day, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def stage_counters(spark, d):
+    """The batch form of the counters; as a stream they take the same plan."""
+    x = state.stage_counters(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 day")
+    return x.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", R("mean_value").alias("mean_value"))
+
+
+@query("stm7_job_progress", "SELECT user_id AS evidence_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS stage, arg_max(value, struct_pack(a := ts, b := event_id)) AS progress FROM events GROUP BY user_id")
+def job_progress(spark, d):
+    x = read(spark, d, "events").select(F.col("user_id").alias("evidence_id"), F.col("event_type").alias("stage"), F.col("value").alias("progress"), "ts", F.col("event_id").alias("id"))
+    return state.job_progress(x)

@@ -42,3 +42,29 @@ def local_session(cores: int | str = "*", name: str = "casefile", memory: str =
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (a test on one
+    machine) a folder of this machine is made and set.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = getattr(spark, "_casefile_dir", None) or tempfile.mkdtemp(prefix="casefile-")
+        spark._casefile_dir = at
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/casefile-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application's operators wrote, once their results are used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -261,26 +261,20 @@ def test_limits_by_hand():
     assert [a for _, a, _ in out] == [True, True, False, False, True]
 
 
-@pytest.mark.parametrize("kind", ["duplicates", "counters", "progress", "limit", "custody"])
-def test_streams_equal_batches(spark, kind):
-    from casefile.plans.table_queries import run_stream
+def test_stream_equals_batch(spark):
+    from casefile.plans.catalog import QUERIES
 
     d = "/root/testdata/sf0.001"
-    got = run_stream(spark, d, kind)
-    e = spark.read.parquet(f"{d}/events.parquet")
-    if kind == "duplicates":
-        assert got.count() == e.select("props").distinct().count()
-    elif kind == "counters":
-        assert got.agg(F.sum("n")).first()[0] == e.count()
-    elif kind == "progress":
-        assert got.count() == e.select("user_id").distinct().count()
-    elif kind == "limit":
-        log = e.withColumn("id", F.col("event_id"))
-        key = lambda x: sorted(map(tuple, x.select("key", "id", "allowed", "remaining").collect()))
-        assert key(got) == key(state.limited_batch(log, "user_id", 86_400, 3))
-    else:
-        n = e.count()
-        assert [r["id"] for r in got.orderBy("id").collect()] == [k for k in range(1, n) if k % 17 == 0]
+    rows = lambda name: sorted(map(tuple, QUERIES[name](spark, d).select("key", "id", "allowed", "remaining").collect()))
+    assert rows("stm2_stream_accepted_limit") == rows("stm2_accepted_limit")
+
+
+def test_counters_as_a_stream(spark):
+    schema = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
+    s = spark.readStream.schema(schema).parquet("/root/testdata/sf0.001/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    q = state.stage_counters(s, "1 day").writeStream.format("memory").queryName("counters").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("counters").agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
 
 
 def test_arrivals_are_scored(spark, tmp_path):
