@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import hashlib
 import html
+import json
 import re
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,15 +154,17 @@ class Page:
         return out
 
 
-PARSED = "page_id long, url string, key binary, parent array<int>, hash array<long>, block array<int>, node array<int>, text array<string>"
-SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("key", pa.binary()), ("parent", pa.list_(pa.int32())), ("hash", pa.list_(pa.int64())), ("block", pa.list_(pa.int32())), ("node", pa.list_(pa.int32())), ("text", pa.list_(pa.string()))])
+PARSED = "page_id long, url string, key binary, hash array<long>, body binary"
+SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("key", pa.binary()), ("hash", pa.list_(pa.int64())), ("body", pa.binary())])
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """Each page's elements and the segments of its text that boilerplate does not hold."""
+    """Each page's hashes of possible templates, and its body: elements and the segments of text
+    that boilerplate does not hold, compressed, since they are stored and shuffled once each."""
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             for part in pieces(batch, "html"):
                 out: dict[str, list] = {f.name: [] for f in SCHEMA}
@@ -169,7 +173,9 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                     kept = page.chosen()
                     segments = [s for s in page.segments if kept[s[1]]]
                     key = hashlib.md5(repr((i, url, source)).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
-                    for name, value in zip(out, (i, url, key, page.parent, page.candidates(kept), *([s[k] for s in segments] for k in range(3)))):
+                    hashes = page.candidates(kept)
+                    body = json.dumps([page.parent, hashes, segments], ensure_ascii=False).encode("utf-8", "surrogatepass")
+                    for name, value in zip(out, (i, url, key, sorted({h for h in hashes if h is not None}), pack.compress(body))):
                         out[name].append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
 
@@ -186,7 +192,7 @@ def extract_main_text(pages: DataFrame, least_pages: int = PAGES, share: float =
     """
     parsed = written(parsed_pages(pages), "pages")
     host = F.xxhash64(host_of(F.col("url"))).alias("host")
-    subtrees = parsed.select("key", host, F.explode(F.array_distinct(F.filter("hash", lambda h: h.isNotNull()))).alias("h"))
+    subtrees = parsed.select("key", host, F.explode("hash").alias("h"))
     counted = subtrees.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
     of_host = parsed.select("key", host).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     recurring = counted.join(of_host, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "h")
@@ -195,14 +201,15 @@ def extract_main_text(pages: DataFrame, least_pages: int = PAGES, share: float =
     def assemble(batches):
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in RESULT}
-            for i, url, parent, hashes, block, node, text, gone in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "parent", "hash", "block", "node", "text", "drop"))):
+            for i, url, body, gone in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "body", "drop"))):
+                parent, hashes, segments = json.loads(zstandard.decompress(body).decode("utf-8", "surrogatepass"))
                 lost = None
                 if gone:
                     gone, lost = set(gone), []
                     for p, h in zip(parent, hashes):
                         lost.append(h in gone or (p >= 0 and lost[p]))
                 blocks: dict[int, list[str]] = {}
-                for b, n, t in zip(block, node, text):
+                for b, n, t in segments:
                     if lost is None or not lost[n]:
                         blocks.setdefault(b, []).append(t)
                 whole = "\n".join(x for b in blocks.values() if (x := " ".join("".join(b).split())))
@@ -210,4 +217,4 @@ def extract_main_text(pages: DataFrame, least_pages: int = PAGES, share: float =
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in RESULT], schema=RESULT)
 
-    return parsed.join(drop, "key", "left").select("page_id", "url", "parent", "hash", "block", "node", "text", "drop").mapInArrow(assemble, "page_id long, url string, text string, n_chars long")
+    return parsed.join(drop, "key", "left").select("page_id", "url", "body", "drop").mapInArrow(assemble, "page_id long, url string, text string, n_chars long")
