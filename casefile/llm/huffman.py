@@ -33,7 +33,7 @@ STRIDE = 256
 SHARD = 8 << 20
 #: Words that a worker remembers for each of its two tables; when they are more, those not met since
 #: the last time go.
-WORDS = 200_000
+WORDS = 500_000
 #: White space other than space and newline.
 OTHER = tuple("\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: Where any text may be cut with the same ids: at one space, before it, between two characters
@@ -213,7 +213,7 @@ def packed(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.nd
     words = np.zeros(int(whole.sum()) // 8 + 2, np.uint64)
     word, bit = at >> 6, (at & 63).astype(np.uint64)
     # Each code stands at the top of 64 bits, then moves to its place, in one word or two.
-    top = codes[ids] << (64 - n).astype(np.uint64)
+    top = (codes << (64 - lengths).astype(np.uint64) % np.uint64(64))[ids]
     first = np.flatnonzero(np.diff(word, prepend=-1))
     words[word[first]] |= np.bitwise_or.reduceat(top >> bit, first)
     over = np.flatnonzero(bit.astype(np.int64) + n > 64)
@@ -265,7 +265,7 @@ def huffman_write(tokens: DataFrame, vocabulary: int, limit: int = LIMIT, shards
         """Each document's bits: packing comes before the shuffle, which then moves a third as much."""
         lengths, codes, bounds = shared.value
         for batch in batches:
-            for part in pieces(batch, "ids"):
+            for part in pieces(batch, "ids", 1 << 18):  # what numpy works on stays in the CPU's cache
                 flat = np.frombuffer(b"".join(part.column("ids").to_pylist()), kind)
                 size = part.column("n").to_numpy()
                 bits, at = packed(flat, size, codes, lengths)
