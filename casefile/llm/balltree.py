@@ -93,7 +93,7 @@ VECTORS = "vec_id long, v array<long>, shard long, dim int"
 
 def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = column.combine_chunks()
-    return np.asarray(flat.flatten(), np.int64).reshape(-1, dim)
+    return np.asarray(flat.flatten(), np.int64).reshape(len(flat), dim)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:

@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-#: Python's bytes.split() without arguments cuts at exactly these bytes: space, \t \n \v \f \r.
-WORD = "[^\\x20\\x09-\\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (a test on one
-    machine) a folder of this machine is made and set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(spark, "_casefile_dir", None) or tempfile.mkdtemp(prefix="casefile-")
-        spark._casefile_dir = at
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+from casefile.session import scratch, shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: this cuts lineage, so later
     stages survive the loss of any executor without recomputing what came before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/casefile-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,7 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """The words of a whole text as UTF-8; none for null."""
+    """The words of a whole text as UTF-8; none for null. bytes.split() without arguments cuts at
+    exactly space, \\t, \\n, \\v, \\f and \\r."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
@@ -52,7 +36,7 @@ def rows(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of a batch holding about ``most`` bytes of ``column`` each (one row at least), so that
     what a task holds at a time does not grow with the length of texts."""
     size = pc.binary_length(batch.column(column)).to_pylist()

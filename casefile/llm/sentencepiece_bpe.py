@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections import Counter
 
@@ -24,11 +25,11 @@ from pyspark.sql import types as T
 from casefile.llm.common import pieces, rows
 
 SPACE = "▁"
-#: Words that a worker remembers; it forgets all when they are more.
-WORDS = 300_000
+#: Words that a worker remembers; when they are more, those not met since the last time go.
+WORDS = 120_000
 #: A word: spaces, then what is none. No piece of the vocabulary may cross its beginning.
 SPLIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-NONE = np.int64(1) << 40
+NONE = np.int32((1 << 31) - 1)
 
 
 class Bpe:
@@ -50,7 +51,7 @@ class Bpe:
         shared = {s for s, n_ in Counter(score.values()).items() if n_ > 1}
         # Symbols beyond the vocabulary are numbered from n on, by code point.
         self.first = n
-        self.rank = np.full(n, NONE)
+        self.rank = np.full(n, NONE, np.int32)
         unsafe = set()
         for p, r in rank.items():
             self.rank[self.ids[p]] = r
@@ -67,7 +68,7 @@ class Bpe:
                     pairs[self.ids[p[:k]] << 32 | self.ids[p[k:]]] = i
         # A pair's key is found by a multiplicative hash and few probes.
         self.places = 1 << max(16, (4 * len(pairs)).bit_length())
-        self.keys, self.values = np.full(self.places + 64, -1, np.int64), np.full(self.places + 64, -1, np.int64)
+        self.keys, self.values = np.full(self.places + 64, -1, np.int64), np.full(self.places + 64, -1, np.int32)
         self.probes = 1
         for key, value in pairs.items():
             at = int(self.place(np.array([key], np.int64))[0])
@@ -76,13 +77,20 @@ class Bpe:
                 k += 1
             self.keys[at + k], self.values[at + k] = key, value
             self.probes = max(self.probes, k + 1)
-        self.known: dict[str, bytes] = {}
-        self.is_byte = np.zeros(n, bool)
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
+        self.is_byte, self.silent = np.zeros(n, bool), np.array([m.is_control(i) for i in range(n)])
         self.is_byte[self.byte] = True
-        self.byte_of = {i: b for b, i in enumerate(self.byte)}
-        self.silent = {i for i in range(n) if m.is_control(i)}
-        self.plain = ["" if i in self.silent else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        self.plain = ["" if self.silent[i] else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.plain[self.unk] = " ⁇ "
+        self.spaced = np.array([p.startswith(SPACE) for p in self.pieces])
+        self.decimal = [str(i).encode() for i in range(n)]
+        data = [p.encode() for p in self.plain]
+        for b, i in enumerate(self.byte):
+            data[i] = bytes([b])
+        self.flat = np.frombuffer(b"".join(data), np.uint8)
+        self.flat_size = np.array([len(d) for d in data])
+        self.flat_at = np.cumsum(self.flat_size) - self.flat_size
 
     def place(self, key: np.ndarray) -> np.ndarray:
         return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - self.places.bit_length())).astype(np.int64)
@@ -90,50 +98,62 @@ class Bpe:
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make together, or -1."""
         key = left << 32 | right
-        at, out = self.place(key), np.full(len(key), -1)
+        at, out = self.place(key), np.full(len(key), -1, np.int32)
+        todo = np.arange(len(key))
         for k in range(self.probes):
-            hit = self.keys[at + k] == key
-            out[hit] = self.values[at[hit] + k]
+            there = self.keys[at + k]
+            hit = there == key
+            out[todo[hit]] = self.values[at[hit] + k]
+            go = ~hit & (there >= 0)  # an empty place ends the search
+            if not go.any():
+                break
+            todo, at, key = todo[go], at[go], key[go]
         return out
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, without any cache."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and where each word's end, without any cache."""
         text = "".join(words)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         kinds, inverse = np.unique(points, return_inverse=True)
         sym = np.array([self.ids.get(chr(c), self.first + c) for c in kinds.tolist()], np.int64)[inverse]
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        word = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
         done_sym, done_word, done_at = [], [], []
-        at = np.arange(len(sym))
-        pair = self.pairs(sym, word)
-        while True:
-            rank = np.where(pair >= 0, self.rank[pair], NONE)
-            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, int)
-            best = np.minimum.reduceat(rank, begin) if len(begin) else np.zeros(0, np.int64)
-            of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(word))))
-            over = best[of] == NONE  # words without a pair leave
-            if over.any():
-                done_sym.append(sym[over])
-                done_word.append(word[over])
-                done_at.append(at[over])
-                sym, word, at, pair, rank, of = (x[~over] for x in (sym, word, at, pair, rank, of))
-            if not len(sym):
-                break
-            hit = np.flatnonzero(rank == best[of])
+        at = np.arange(len(sym), dtype=np.int32)
+        pair = self.pairs(sym, word, np.arange(len(sym)))
+        rank = np.where(pair >= 0, self.rank[pair], NONE)
+        while len(sym):
+            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.minimum.reduceat(rank, begin)
+            size = np.diff(np.append(begin, len(word)))
+            over = best == NONE
+            if over.any():  # words without a pair leave
+                out = np.repeat(over, size)
+                done_sym.append(sym[out])
+                done_word.append(word[out])
+                done_at.append(at[out])
+                sym, word, at, pair, rank = (x[~out] for x in (sym, word, at, pair, rank))
+                best, size = best[~over], size[~over]
+                if not len(sym):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(best, size))
             # Of a run of overlapping hits every second one merges, from the left; a word whose
             # pair is not safe, or has equals in rank, merges its leftmost only.
             run = np.append(True, np.diff(hit) > 1)
             nth = np.arange(len(hit)) - np.flatnonzero(run)[np.cumsum(run) - 1]
-            leftmost = np.append(True, of[hit[1:]] != of[hit[:-1]])
+            leftmost = np.append(True, word[hit[1:]] != word[hit[:-1]])
             hit = hit[np.where(self.safe[pair[hit]], nth % 2 == 0, leftmost)]
             sym[hit] = pair[hit]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
-            new = np.cumsum(keep)[hit] - 1
-            sym, word, at, pair = (x[keep] for x in (sym, word, at, pair))
             # Only pairs beside a merge are new.
-            beside = np.unique(np.concatenate([new, new[new > 0] - 1]))
-            pair[beside] = self.pairs_at(sym, word, beside)
+            fresh = np.zeros(len(sym), bool)
+            fresh[hit] = True
+            sym, word, at, pair, rank, fresh = (x[keep] for x in (sym, word, at, pair, rank, fresh))
+            fresh[:-1] |= fresh[1:]
+            beside = np.flatnonzero(fresh)
+            got = self.pairs(sym, word, beside)
+            pair[beside] = got
+            rank[beside] = np.where(got >= 0, self.rank[got], NONE)
         sym, word, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_word, done_at))
         order = np.argsort(at)
         sym, word = sym[order], word[order]
@@ -144,52 +164,86 @@ class Bpe:
                 flat += got
                 owner += [w] * len(got)
             sym, word = np.array(flat), np.array(owner)
-        return np.split(sym, np.cumsum(np.bincount(word, minlength=len(words)))[:-1]) if words else []
-
-    def pairs(self, sym: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return self.pairs_at(sym, word, np.arange(len(sym)))
+        return sym.astype(np.uint32), np.cumsum(np.bincount(word, minlength=len(words)))
 
-    def pairs_at(self, sym: np.ndarray, word: np.ndarray, i: np.ndarray) -> np.ndarray:
-        out = np.full(len(i), -1)
-        can = np.flatnonzero(i + 1 < len(sym))
-        can = can[word[i[can]] == word[i[can] + 1]]
+    def pairs(self, sym: np.ndarray, word: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """The piece that symbol i and the next of its word make together, or -1."""
+        out = np.full(len(i), -1, np.int32)
+        can = np.flatnonzero(i + 1 < len(sym)) if len(i) and i[-1] + 1 >= len(sym) else np.arange(len(i))
         a, b = sym[i[can]], sym[i[can] + 1]
-        usual = (a < self.first) & (b < self.first)
+        usual = (word[i[can]] == word[i[can] + 1]) & (a < self.first) & (b < self.first)
         out[can[usual]] = self.merged(a[usual], b[usual])
         return out
 
+    def known_words(self, cut: list[list[str]]) -> dict[str, tuple[bytes, bytes]]:
+        """Of all words in ``cut``: ids as bytes, and in decimal. What was met lately is kept."""
+        if len(self.known) > WORDS:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = []
+        for w in set(itertools.chain.from_iterable(cut)).difference(known):
+            if (got := before.get(w)) is not None:
+                known[w] = got
+            else:
+                new.append(w)
+        if new:
+            ids, ends = self.words(new)
+            data, decimal, begin = ids.tobytes(), [self.decimal[i] for i in ids.tolist()], 0
+            for w, end in zip(new, ends.tolist()):
+                known[w] = data[4 * begin : 4 * end], b" ".join(decimal[begin:end])
+                begin = end
+        return known
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, with the end id."""
         cut = [words_of(t) for t in texts]
-        if len(self.known) > WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in cut for w in ws if w not in known})
-        for w, ids in zip(new, self.words(new)):
-            known[w] = ids.astype(np.uint32).tobytes()
+        known = self.known_words(cut)
         end = np.uint32(self.eos).tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, ws), end]), np.uint32) for ws in cut]
+        return [np.frombuffer(b"".join([*[known[w][0] for w in ws], end]), np.uint32) for ws in cut]
+
+    def encode_decimal(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
+        """Ids of whole texts, with the end id, and the same in decimal, joined by spaces."""
+        cut = [words_of(t) for t in texts]
+        known = self.known_words(cut)
+        end, decimal = np.uint32(self.eos).tobytes(), str(self.eos).encode()
+        out = []
+        for ws in cut:
+            got = [known[w] for w in ws]
+            out.append((np.frombuffer(b"".join([*[x for x, _ in got], end]), np.uint32), b" ".join([*[x for _, x in got], decimal])))
+        return out
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 text of ids: their pieces' bytes joined by one gather, spaces restored and the
+        first one dropped. Bytes that are no UTF-8 become U+FFFD each."""
+        if not len(ids):
+            return b""
+        n = self.flat_size[ids]
+        total = int(n.sum())
+        where = np.repeat(self.flat_at[ids] - np.cumsum(n) + n, n) + np.arange(total)
+        data = self.flat[where].tobytes()
+        if self.is_byte[ids].any():
+            try:
+                data.decode()
+            except UnicodeDecodeError:
+                return self.careful(ids.tolist()).encode()
+        loud = np.flatnonzero(~self.silent[ids[:8]])
+        first = ids[loud[0]] if len(loud) else next((i for i in ids.tolist() if not self.silent[i]), None)
+        return data[1:] if first is not None and self.spaced[first] else data
+
+    def careful(self, ids: list[int]) -> str:
+        out, run = [], bytearray()
+        for i in ids:
+            if self.is_byte[i]:
+                run.append(self.byte.index(i))
+            else:
+                out += [utf8(bytes(run)), self.plain[i]]
+                run.clear()
+        text = "".join([*out, utf8(bytes(run))])
+        first = next((i for i in ids if not self.silent[i]), None)
+        return text[1:] if first is not None and self.spaced[first] else text
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: pieces joined, spaces restored, the first one dropped, bytes read as UTF-8."""
-        numbers = ids.tolist()
-        if not self.is_byte[ids].any():
-            text = "".join(map(self.plain.__getitem__, numbers))
-        else:
-            out: list[str] = []
-            run = bytearray()
-            for i in numbers:
-                if (b := self.byte_of.get(i)) is not None:
-                    run.append(b)
-                    continue
-                if run:
-                    out.append(utf8(bytes(run)))
-                    run.clear()
-                out.append(self.plain[i])
-            out.append(utf8(bytes(run)))
-            text = "".join(out)
-        first = next((i for i in numbers if i not in self.silent), None)
-        return text[1:] if first is not None and self.pieces[first].startswith(SPACE) else text
+        return self.decode_bytes(ids).decode()
 
 
 def utf8(data: bytes) -> str:
@@ -228,15 +282,18 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with a column ``out``: the ids of each whole ``text``, with the end id, as an array.
+def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with a column ``out``: the ids of each whole ``text``, with the end id, as an array;
+    and, if ``decoded`` names one, a column with the text that these ids decode to.
 
     Null and empty texts have the end id only. Other columns stay as they are; one already named
     ``out`` is replaced. ``model`` is a path that exists on every executor.
     """
-    df = docs.drop(out)
+    df = docs.drop(out, *([decoded] if decoded else []))
     fields = df.schema.names
-    schema = T.StructType(list(df.schema.fields)).add(out, "array<int>")
+    schema = T.StructType(list(df.schema.fields)).add(out, T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
     at = fields.index(text)
 
     def run(batches):
@@ -245,7 +302,10 @@ def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", out: s
                 ids = bpe(model).encode([t.as_py() or "" for t in part.column(at)])
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, flat)], names=[*fields, out])
+                columns = [*part.columns, pa.ListArray.from_arrays(offsets, flat)]
+                if decoded:
+                    columns.append(pa.array([bpe(model).decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -254,7 +314,7 @@ def sentencepiece_decode(encoded: DataFrame, model: str, ids: str = "ids", out:
     """``encoded`` with a column ``out``: the text of each ``ids``; null ids have an empty text."""
     df = encoded.drop(out)
     fields = df.schema.names
-    schema = T.StructType(list(df.schema.fields)).add(out, "string")
+    schema = T.StructType(list(df.schema.fields)).add(out, T.StringType())
 
     def run(batches):
         for batch in batches:
@@ -275,15 +335,14 @@ def sentencepiece_digest(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         coder = bpe(model)
-        decimal = [str(i).encode() for i in range(coder.first)]
         for batch in batches:
             for part in pieces(batch, "text"):
-                ids = coder.encode([t.as_py() or "" for t in part.column("text")])
+                coded = coder.encode_decimal([t.as_py() or "" for t in part.column("text")])
                 yield rows({
                     "doc_id": part.column("doc_id").to_pylist(),
-                    "n_tokens": [len(x) for x in ids],
-                    "ids_sha256": [hashlib.sha256(b" ".join(map(decimal.__getitem__, x.tolist()))).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(coder.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids],
+                    "n_tokens": [len(x) for x, _ in coded],
+                    "ids_sha256": [hashlib.sha256(d).hexdigest() for _, d in coded],
+                    "decoded_sha256": [hashlib.sha256(coder.decode_bytes(x)).hexdigest() for x, _ in coded],
                 }, DIGEST)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -37,7 +37,8 @@ PAIR = [[(0, 0, 23), (0, 23, 23)]]
 
 
 def thirds(lanes: int) -> list[list[tuple[int, int, int]]]:
-    """Three projections of each 64-bit lane: distances up to 8 within a lane."""
+    """Three projections of each 64-bit lane: all distances up to 8 within a lane, and most of those
+    somewhat greater (a distance of 9 is missed only if it falls in 3, 3 and 3)."""
     return [[(lane, shift, width)] for lane in range(lanes) for shift, width in ((0, 21), (21, 21), (42, 22))]
 
 
@@ -178,6 +179,8 @@ def links(prints: DataFrame, lanes: int = 1, most: int = 2, projections: list |
     visitors to its columns, each replicated along the other side, so that every pair still meets.
     """
     projections = projections or PAIR
+    # A fingerprint becomes dozens of visits, so its partitions must not be as few as its bytes suggest.
+    prints = prints.select("fingerprint").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     went = visits(prints, lanes, projections, threshold)
     crowded = written(visits(prints, lanes, projections, 0).groupBy("anchor").count().filter(F.col("count") > home).select("anchor", F.ceil(F.col("count") / home).cast("int").alias("parts")), "crowded")
     if n := crowded.count():
@@ -252,5 +255,7 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, *
     linked = parts.join(distinct, parts["node"] == distinct["fingerprint"]).select("component", "fingerprint", "first")
     smallest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     named = linked.join(smallest, "component").select("fingerprint", "component_id")
-    of = distinct.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id"))
+    # Written, so that the last join has plain scans on both sides, and a fingerprint of many copies
+    # can be split over tasks.
+    of = written(distinct.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id")), "components")
     return prints.join(of, "fingerprint").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")

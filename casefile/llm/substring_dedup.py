@@ -34,7 +34,7 @@ from casefile.llm.common import words_of
 WINDOW = 35
 CHUNK_BYTES = 8 << 20
 SLICE_CELLS = 4_000_000
-VOCABULARY = 400_000
+VOCABULARY = 150_000
 ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 U = np.uint64
 

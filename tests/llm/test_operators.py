@@ -133,7 +133,9 @@ def test_sentencepiece_digest(spark, rows, library):
         ids = library.encode(t or "") + [2]
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
     same([tuple(r) for r in sentencepiece_bpe.sentencepiece_digest(documents(spark, rows), queries.PIECES).collect()], want)
-    coded = sentencepiece_bpe.sentencepiece_encode(documents(spark, rows), queries.PIECES)
+    both = sentencepiece_bpe.sentencepiece_encode(documents(spark, rows), queries.PIECES, decoded="decoded")
+    assert all(r["decoded"] == (r["text"] or "") for r in both.collect())
+    coded = both.drop("decoded")
     for r in sentencepiece_bpe.sentencepiece_decode(coded, queries.PIECES).collect():
         assert r["ids"] == library.encode(r["text"] or "") + [2] and r["decoded"] == (r["text"] or "")
 
@@ -188,7 +190,7 @@ def test_main_text(spark):
     for r in html_template.extract_main_text(spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, html string, hash string")).collect():
         got[r["page_id"]].append(r["text"])
         assert r["n_chars"] == len(r["text"])
-    assert got[100] == ["Head & line\nFirst para graph\nSecondé para\none\ntwo\nShare this"]
+    assert got[100] == ["Head & line\nFirst para graph\nSecondé para\none\ntwo"]
     assert got[101] == got[102] == [""] and got[103] == ["plain text <b>"] * 2 and got[104] == ["open tag"]
     assert all(got[k] == [f"Own {k}"] for k in range(40))
 
@@ -405,3 +407,14 @@ def test_mixing(spark, rows):
 def test_draws_are_exact():
     got = mixing.draws({"a": 1000, "b": 17, None: 4}, 3, 100)
     assert np.sum(got, axis=0).tolist() == [1000, 17, 4] and all(sum(x) == 100 for x in got[:-1])
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from casefile.llm.common import written
+    from casefile.session import clear_scratch, scratch
+
+    assert written(spark.range(3), "x").count() == 3 and os.path.isdir(scratch(spark))
+    clear_scratch(spark)
+    assert not os.path.exists(scratch(spark))
