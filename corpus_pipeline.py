@@ -18,8 +18,8 @@ from casefile.session import ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near-duplicates: five-word shingles, a similarity of 0.8 or more. Two 64-bit fingerprints of such
 #: texts differ in about 19 of 128 bits on average (angle of vectors with that overlap); pairs of up
-#: to 24 are linked that have a fingerprint with up to 8, which three projections find.
-NEAR = {"shingle": 5, "lanes": 2, "most": 24, "lane_most": 8, "projections": simhash.thirds(2)}
+#: to 26 are linked if one of six thirds of the fingerprints differs in up to 2.
+NEAR = {"shingle": 5, "lanes": 2, "most": 26, "projections": simhash.thirds(2)}
 
 #: Words in a block of the mix: long enough to keep most documents whole.
 MIX_BLOCK = 512
@@ -60,8 +60,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the text that they decode to."""
     ship(spark)
-    coded = sentencepiece_bpe.sentencepiece_encode(docs.select(*COLUMNS), PIECES)
-    return sentencepiece_bpe.sentencepiece_decode(coded, PIECES)
+    return sentencepiece_bpe.sentencepiece_encode(docs.select(*COLUMNS), PIECES, decoded="decoded")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("repeats", repeats), ("mixture", mixture), ("pieces", pieces)]
