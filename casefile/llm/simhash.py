@@ -168,12 +168,25 @@ def forest(x: np.ndarray, homes: np.ndarray, near) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
+def joined(known: dict[bytes, bytes], a: bytes, b: bytes) -> bool:
+    """Put two fingerprints in one group of ``known``; false if they are already."""
+
+    def root(x: bytes) -> bytes:
+        while (up := known.setdefault(x, x)) != x:
+            known[x] = x = known[up]
+        return x
+
+    p, q = root(a), root(b)
+    known[max(p, q)] = min(p, q)
+    return p != q
+
+
 def links(prints: DataFrame, lanes: int = 1, most: int = 2, projections: list | None = None, lane_most: int | None = None, threshold: int = 2, home: int = HOME) -> DataFrame:
     """Links that connect all pairs of fingerprints differing in at most ``most`` bits.
 
-    ``prints`` has distinct fingerprints. Returned are, of the pairs met at each anchor, enough to
-    connect what the anchor's pairs connect (a forest), so their number stays in proportion to the
-    visits whatever a group's size. ``lane_most``: a pair must also have a lane with so few.
+    ``prints`` has distinct fingerprints. Returned are, of the pairs met in each task, enough to
+    connect what these pairs connect (a forest), so their number stays in proportion to the task's
+    fingerprints whatever a group's size. ``lane_most``: a pair must also have a lane with so few.
 
     An anchor that is home to over ``home`` fingerprints is dealt to a grid: homes to its rows,
     visitors to its columns, each replicated along the other side, so that every pair still meets.
@@ -199,8 +212,9 @@ def links(prints: DataFrame, lanes: int = 1, most: int = 2, projections: list |
         return close if lane_most is None else close & (apart.min(1) <= lane_most)
 
     def compare(batches):
-        """Rows come ordered by anchor; the last anchor of a batch waits for the next batch."""
-        left = None
+        """Rows come ordered by anchor; the last anchor of a batch waits for the next batch. Links
+        of what the task has already connected, at whatever anchor, are left out."""
+        left, known = None, {}
         for batch in batches:
             table = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch]).combine_chunks()
             if not table.num_rows:
@@ -208,12 +222,12 @@ def links(prints: DataFrame, lanes: int = 1, most: int = 2, projections: list |
             key = [table.column(c).to_numpy() for c in ("anchor", "part")]
             edge = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in key])))
             if len(edge) > 1:
-                yield from found(table.slice(0, edge[-1]), edge)
+                yield from found(table.slice(0, edge[-1]), edge, known)
             left = table.slice(edge[-1])
         if left is not None:
-            yield from found(left, np.array([0, left.num_rows]))
+            yield from found(left, np.array([0, left.num_rows]), known)
 
-    def found(table: pa.Table, edge: np.ndarray):
+    def found(table: pa.Table, edge: np.ndarray, known: dict[bytes, bytes]):
         home = table.column("home").to_numpy(zero_copy_only=False)
         group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         homes = np.bincount(group[home], minlength=len(edge) - 1)
@@ -231,8 +245,9 @@ def links(prints: DataFrame, lanes: int = 1, most: int = 2, projections: list |
             b.append(q + s)
         a, b = np.concatenate(a), np.concatenate(b)
         a, b = (y[(x[a] != x[b]).any(1)] for y in (a, b))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(_binary(x[a]), pa.binary()), pa.array(_binary(x[b]), pa.binary())], schema=LINK)
+        new = [(p, q) for p, q in zip(_binary(x[a]), _binary(x[b])) if joined(known, p, q)]
+        if new:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in new], pa.binary()), pa.array([q for _, q in new], pa.binary())], schema=LINK)
 
     dealt = met.repartition(F.col("anchor"), F.col("part")).sortWithinPartitions("anchor", "part")
     return dealt.mapInArrow(compare, "a binary, b binary").distinct()
