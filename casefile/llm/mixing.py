@@ -28,8 +28,8 @@ SHARD_BLOCKS = 8_192
 #: Beyond so many output shards, shards grow instead of their number.
 MOST_SHARDS = 10_000
 MOST = 3
-#: Documents of a source in one bin of the prefix sum, about.
-BIN_ROWS = 20_000
+#: The prefix sum has so many bins of documents; beyond BIN_ROWS documents a bin, more bins.
+BINS, BIN_ROWS = 256, 20_000
 SIZES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
 
 
@@ -112,7 +112,7 @@ def draws(slots: dict[str | None, int], seed: int, shard_blocks: int = SHARD_BLO
 def positions(sized: DataFrame, rows: int) -> DataFrame:
     """``sized`` with start: the words of the same source before the document (doc_id order; nulls
     first; equal doc_ids by size). Bins of doc_ids are summed first, then documents within bins."""
-    bins = max(1, -(-rows // BIN_ROWS))
+    bins = max(1, min(max(BINS, -(-rows // BIN_ROWS)), rows // 16))
     bounds = sized.approxQuantile("doc_id", [k / bins for k in range(1, bins)], 1 / (8 * bins)) if bins > 1 else []
     spark = sized.sparkSession
     shared = spark.sparkContext.broadcast(np.array(bounds))
@@ -187,7 +187,8 @@ class Plan:
 
     def mixed(self) -> DataFrame:
         """The mixture: shard, slot, source, epoch, doc_id, size, first, n."""
-        a, b = self.drawn().alias("a"), self.packed().alias("b")
+        # Slots come from few rows, so Spark would take them for few and broadcast them.
+        a, b = self.drawn().hint("merge").alias("a"), self.packed().hint("merge").alias("b")
         on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
         return a.join(b, on).select("a.shard", "a.slot", "a.source", "a.epoch", "b.doc_id", "b.size", "b.first", "b.n")
 
@@ -224,7 +225,7 @@ def mix_texts(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
     each is cut by the words taken of all."""
     sized = written(sizes(docs), "sizes")
     taken = Plan(sized, seed, block).mixed().groupBy("source", "doc_id", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"))
-    joined = docs.alias("d").join(taken.select(F.col("doc_id").alias("of"), "size", "epoch", "parts"), F.col("d.doc_id").eqNullSafe(F.col("of")))
+    joined = docs.alias("d").join(taken.select(F.col("doc_id").alias("_of"), F.col("size").alias("_size"), F.col("parts").alias("_parts")), F.col("d.doc_id").eqNullSafe(F.col("_of")))
     fields = docs.columns
     text, chars = fields.index("text"), fields.index("n_chars") if "n_chars" in fields else None
 
@@ -233,7 +234,7 @@ def mix_texts(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
             for part in pieces(batch, "text"):
                 columns = [part.column(i) for i in range(len(fields))]
                 texts = []
-                for whole, size, parts in zip(part.column("text").to_pylist(), part.column("size").to_pylist(), part.column("parts").to_pylist()):
+                for whole, size, parts in zip(part.column("text").to_pylist(), part.column("_size").to_pylist(), part.column("_parts").to_pylist()):
                     if sum(p["n"] for p in parts) < size:
                         words = whole.encode().split()
                         whole = b" ".join(w for p in parts for w in words[p["first"] : p["first"] + p["n"]]).decode()
@@ -243,4 +244,4 @@ def mix_texts(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
                     columns[chars] = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    return joined.select(*[f"d.{c}" for c in fields], "size", "parts").mapInArrow(cut, docs.schema)
+    return joined.select(*[f"d.{c}" for c in fields], "_size", "_parts").mapInArrow(cut, docs.schema)
