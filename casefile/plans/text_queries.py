@@ -264,8 +264,7 @@ def anomalies(spark, d):
 def _gated(spark, d):
     e = evidence(spark, d)
     x = e.select("evidence_id", "case_id", F.col("fused_score"), F.lit("class").alias("fused_class"), R((F.col("evidence_id") % 10) / F.lit(10.0), 2).alias("deception"), R((F.col("evidence_id") % 9) / F.lit(10.0), 2).alias("manipulation"), F.when(F.col("evidence_id") % 11 == 0, "short").otherwise(F.repeat(F.lit("text "), F.lit(12))).alias("text"), F.when(F.col("evidence_id") % 97 == 0, False).otherwise(F.lit(None).cast("boolean")).alias("timeline_valid"))
-    r = results(spark, d).filter("seq <= 2")
-    return x, r
+    return x, results(spark, d)
 
 
 GATE = """_x AS (SELECT evidence_id, case_id, fused_score, round((evidence_id % 10) / 10.0::DOUBLE, 2) AS deception, round((evidence_id % 9) / 10.0::DOUBLE, 2) AS manipulation, evidence_id % 11 = 0 AS short, evidence_id % 97 = 0 AS bad_time FROM evidence),
