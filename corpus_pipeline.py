@@ -10,16 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import language_id, mixing, sentencepiece_bpe, simhash, substring_dedup
+from casefile.llm import language_id, mixing, near_duplicates, sentencepiece_bpe, substring_dedup
 from casefile.llm.common import written
 from casefile.llm.queries import PIECES
 from casefile.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near-duplicates: five-word shingles, a similarity of 0.8 or more. Two 64-bit fingerprints of such
-#: texts differ in about 19 of 128 bits on average (angle of vectors with that overlap); pairs of up
-#: to 26 are linked if one of six thirds of the fingerprints differs in up to 2.
-NEAR = {"shingle": 5, "lanes": 2, "most": 26, "projections": simhash.thirds(2)}
+#: Near-duplicates: sets of five-word shingles, a similarity of 80 % or more.
+NEAR = {"shingle": 5, "percent": 80}
 
 #: Words in a block of the mix: long enough to keep most documents whole.
 MIX_BLOCK = 512
@@ -34,12 +32,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id. Rows without
-    a doc_id, which nothing tells apart, go."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Rows are
+    told apart by all of their columns, so that none goes for want of a doc_id."""
     ship(spark)
-    groups = simhash.simhash_near_duplicates(docs, **NEAR)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return near_duplicates.one_of_each(docs.select(*COLUMNS), **NEAR)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
