@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from casefile.llm.common import pieces, written
 from casefile.llm.url_graph import host_of
 
-#: A subtree is a template if it stands on so many pages of its host, and on this share of them.
-PAGES, SHARE = 10, 0.05
+#: A subtree is a template if it stands on so many pages of its host, whatever the host's size. On a
+#: host of under twice as many pages half of them are enough, but never under FEW.
+PAGES, FEW = 10, 3
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[a-z0-9]+")
@@ -154,8 +155,8 @@ class Page:
         return out
 
 
-PARSED = "page_id long, url string, key binary, hash array<long>, body binary"
-SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("key", pa.binary()), ("hash", pa.list_(pa.int64())), ("body", pa.binary())])
+PARSED = "page_id long, url string, key binary, content long, hash array<long>, body binary"
+SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("key", pa.binary()), ("content", pa.int64()), ("hash", pa.list_(pa.int64())), ("body", pa.binary())])
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -175,27 +176,29 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                     key = hashlib.md5(repr((i, url, source)).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
                     hashes = page.candidates(kept)
                     body = json.dumps([page.parent, hashes, segments], ensure_ascii=False).encode("utf-8", "surrogatepass")
-                    for name, value in zip(out, (i, url, key, sorted({h for h in hashes if h is not None}), pack.compress(body))):
+                    for name, value in zip(out, (i, url, key, xxhash.xxh64_intdigest((source or "").encode("utf-8", "surrogatepass")) - (1 << 63), sorted({h for h in hashes if h is not None}), pack.compress(body))):
                         out[name].append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, PARSED)
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
+def extract_main_text(pages: DataFrame, least_pages: int = PAGES, few: int = FEW) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
     ``pages`` has page_id, url and html; other columns are ignored. Blocks are joined by one \\n;
     white space inside a block is one space. Null and empty html have an empty text. Pages without
-    a host form a host of their own. Repeated rows each give a row, and count as one page of the
-    host. An empty table gives an empty result.
+    a host form a host of their own. Repeated rows each give a row; pages of a host with equal html
+    count as one. An empty table gives an empty result.
     """
     parsed = written(parsed_pages(pages), "pages")
     host = F.xxhash64(host_of(F.col("url"))).alias("host")
     subtrees = parsed.select("key", host, F.explode("hash").alias("h"))
-    counted = subtrees.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
-    of_host = parsed.select("key", host).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    recurring = counted.join(of_host, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "h")
+    of_html = parsed.groupBy(host, "content").agg(F.first("hash").alias("hash"))
+    counted = of_html.select("host", F.explode("hash").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(few, least_pages))
+    of_host = of_html.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    enough = F.least(F.lit(least_pages), F.greatest(F.lit(few), F.ceil(F.col("pages") / 2)))
+    recurring = counted.join(of_host, "host").filter(F.col("n") >= enough).select("host", "h")
     drop = subtrees.join(recurring, ["host", "h"]).groupBy("key").agg(F.collect_set("h").alias("drop"))
 
     def assemble(batches):
