@@ -28,7 +28,7 @@ from casefile.llm.url_graph import host_of
 PAGES, FEW = 10, 3
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-WORDS = re.compile(r"[a-z0-9]+")
+NUMBER = re.compile(r"[-_]?[0-9]+$")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 BOILER = frozenset("head nav footer aside form button select script style textarea title noscript iframe template svg canvas object dialog menu math xmp noembed noframes datalist".split())
@@ -41,6 +41,8 @@ CONTAINERS = frozenset("div section ul ol dl table figure details header".split(
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLASSES = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner sidebar comment comments commentlist disqus respond nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices newsletter subscribe subscription share sharing social related recommended popup modal overlay pagination pager toolbar skip widget widgets".split())
+#: Exact compounds that are boilerplate, too.
+COMPOUNDS = frozenset("ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper author-box comment-form comment-list comments-area cookie-banner cookie-bar cookie-consent cookie-notice footer-nav main-menu main-nav nav-bar nav-links nav-menu newsletter-signup page-footer post-navigation related-articles related-links related-posts share-bar share-box share-buttons share-links side-bar sidebar-left sidebar-right site-footer site-nav skip-link social-links social-media social-share sponsored-content subscribe-box top-nav widget-area".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -49,23 +51,30 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def is_boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """By tag, role or because it is hidden."""
     if tag in BOILER or (tag == "header" and not in_article):
         return True
     if not attrs or tag in ("html", "body"):
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style", "").lower()):
         return True
-    if attrs.get("role", "").lower() in ROLES:
-        return True
-    names = set(WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    return bool(names & CLASSES)
+    return attrs.get("role", "").lower() in ROLES
+
+
+def has_boilerplate_name(tag: str, attrs: dict[str, str]) -> bool:
+    """By a whole class name or the id; a number at its end does not count."""
+    if not attrs or tag in ("html", "body"):
+        return False
+    names = {NUMBER.sub("", x).replace("_", "-") for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()}
+    return not names.isdisjoint(CLASSES) or not names.isdisjoint(COMPOUNDS)
 
 
 class Page:
     """Elements (parent, tag, boilerplate, in an article, hash) and segments (block, element, text)."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.boiler, self.article, self.sums = [-1], [""], [False], [False], [xxhash.xxh64()]
+        self.parent, self.tag, self.article, self.sums = [-1], [""], [False], [xxhash.xxh64()]
+        self.ruled, self.named = [False], [False]
         self.segments: list[tuple[int, int, str]] = []
         self.block, stack, at = 0, [0], 0
         end = len(source)
@@ -89,6 +98,7 @@ class Page:
                 self.pop(stack)
         while len(stack) > 1:
             self.pop(stack)
+        self.boiler = self.marked()
 
     def text(self, data: str, node: int) -> None:
         if data:
@@ -115,7 +125,8 @@ class Page:
         self.parent.append(up)
         self.tag.append(tag)
         inside = self.article[up] or tag in MAIN
-        self.boiler.append(self.boiler[up] or is_boilerplate(tag, got, self.article[up]))
+        self.ruled.append(is_boilerplate(tag, got, self.article[up]))
+        self.named.append(has_boilerplate_name(tag, got))
         self.article.append(inside)
         self.sums.append(xxhash.xxh64(f"<{tag} {sorted(got.items())}>".encode("utf-8", "surrogatepass")))
         stack.append(len(self.parent) - 1)
@@ -134,6 +145,22 @@ class Page:
         self.sums[stack[-1]].update(self.sums[node].digest())
         return node
 
+    def marked(self) -> list[bool]:
+        """Boilerplate elements, with all that they hold. A name does not count on an element that
+        holds main, nor on one that holds an article where no other article or main is left."""
+        named = self.named
+        for tag in ("main", "article"):
+            out: list[bool] = []
+            holds = [t == tag for t in self.tag]
+            for i in range(len(self.parent) - 1, 0, -1):
+                holds[self.parent[i]] |= holds[i]
+            if tag == "main" or not any(t in MAIN and not b for t, b in zip(self.tag, boiler)):
+                named = [n and not h for n, h in zip(named, holds)]
+            for p, r, n in zip(self.parent, self.ruled, named):
+                out.append(r or n or (p >= 0 and out[p]))
+            boiler = out
+        return boiler
+
     def chosen(self) -> list[bool]:
         """Elements whose text may be main text: inside an article if there is one, else in main,
         else anywhere."""

@@ -1,5 +1,7 @@
 """Class rules never take a page's article; recurrence does not depend on the host's size."""
 
+import pytest
+
 from casefile.llm import html_template
 
 
@@ -8,6 +10,27 @@ def texts(spark, rows):
     return {r["page_id"]: r["text"] for r in got}
 
 
+NAMES = ["content has-sidebar", "no-sidebar", "nav-open", "article-share", "no-comments", "sidebar", "widget"]
+
+
+def kept(source):
+    page = html_template.Page(source)
+    keep = page.chosen()
+    return " ".join(x for _, n, t in page.segments if keep[n] and (x := t.strip()))
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_wrappers_keep_the_article(name, tag):
+    assert kept(f"<body><nav>Menu</nav><div class='{name}'><{tag}><p>Text</p><div class='ad'>Buy</div></{tag}></div></body>") == "Text"
+
+
+def test_whole_names_are_boilerplate():
+    for name in ("sidebar", "x share", "share-box2", "cookie-notice", "Widget_3"):
+        assert kept(f"<body><article>Text</article><div class='{name}'><article>Teaser</article></div></body>") == "Text"
+        assert kept(f"<body><p>Text</p><div id='{name.split()[-1]}'>Other</div></body>") == "Text"
+
+
 def test_templates_of_small_and_large_hosts(spark):
     page = lambda k, block: f"<body>{block}<div><p>Own {k}</p></div></body>"
     slogan = "<div class=tagline>Our slogan</div>"
