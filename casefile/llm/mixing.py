@@ -1,9 +1,10 @@
 """Mixing sources to target weights by blocks of words.
 
-1. The words of each source, in the order of doc_id, are packed into blocks of BLOCK words; a
-   document's share of its blocks follows from a prefix sum, taken in two levels so that a source
-   that holds most rows is not summed by one task.
-2. Targets: see ``targets``. A source gets a whole number of slots, at most three for a block.
+1. The words of each source, in the order of doc_id, are packed into blocks of BLOCK words (fewer in
+   small sources: see ``Plan``); a document's share of its blocks follows from a prefix sum, taken in
+   two levels so that a source that holds most rows is not summed by one task.
+2. Targets: see ``targets``. A source gets slots, at most three for a block, that hold its target's
+   words: the last slot takes no more of its block than is wanting.
 3. Output shards draw their counts of each source from the slots that are left (a multinomial draw
    without replacement, so the totals are exact). The draws depend on the seed only.
 4. Slot j of a source reads block p_e(j mod n) of epoch e = j div n, where p_e is a pseudorandom
@@ -24,6 +25,8 @@ from pyspark.sql.window import Window
 from casefile.llm.common import pieces, written
 
 BLOCK = 64
+#: A source has so many blocks at least, unless these would have under LEAST words.
+PARTS, LEAST = 16, 16
 SHARD_BLOCKS = 8_192
 #: Beyond so many output shards, shards grow instead of their number.
 MOST_SHARDS = 10_000
@@ -72,23 +75,38 @@ def key_of(seed: int, source: str | None, *more: int) -> int:
     return int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:8], "big")
 
 
-def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """p(index) of a pseudorandom permutation of 0..n-1."""
-    half = max(1, ((n - 1).bit_length() + 1) // 2)
+def _half(n: int) -> int:
+    return max(1, ((n - 1).bit_length() + 1) // 2)
+
+
+def _round(b: np.ndarray, key: int, r: int) -> np.ndarray:
+    f = (b + np.uint64((key >> 8 * r ^ 0x9E3779B97F4A7C15 * (r + 1)) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+    f ^= f >> np.uint64(32)
+    f *= np.uint64(0xD6E8FEB86659FD93)
+    return f >> np.uint64(40)
+
+
+def permuted(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """p(index) of a pseudorandom permutation of 0..n-1; with ``back`` what p takes to index."""
+    half = _half(n)
     low = np.uint64((1 << half) - 1)
 
     def once(x: np.ndarray) -> np.ndarray:
         a, b = x >> np.uint64(half), x & low
         for r in range(6):
-            f = (b + np.uint64((key >> 8 * r ^ 0x9E3779B97F4A7C15 * (r + 1)) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
-            f ^= f >> np.uint64(32)
-            f *= np.uint64(0xD6E8FEB86659FD93)
-            a, b = b, a ^ (f >> np.uint64(40) & low)
+            a, b = b, a ^ (_round(b, key, r) & low)
+        return a << np.uint64(half) | b
+
+    def undone(x: np.ndarray) -> np.ndarray:
+        a, b = x >> np.uint64(half), x & low
+        for r in reversed(range(6)):
+            a, b = b ^ (_round(a, key, r) & low), a
         return a << np.uint64(half) | b
 
-    x = once(index.astype(np.uint64))
+    step = undone if back else once
+    x = step(index.astype(np.uint64))
     while (out := x >= np.uint64(n)).any():
-        x[out] = once(x[out])
+        x[out] = step(x[out])
     return x.astype(np.int64)
 
 
@@ -134,8 +152,9 @@ def positions(sized: DataFrame, rows: int) -> DataFrame:
 
 
 class Plan:
-    """The mixture of ``sized`` (doc_id, source, size): targets, slots and blocks. Sources are a
-    catalogue: one row for each reaches the driver."""
+    """The mixture of ``sized`` (doc_id, source, size): targets, slots and blocks. A source's blocks
+    hold ``block`` words, or a PARTS-th of its words if that is less, but not under LEAST. A source with a
+    positive target takes one word at least. Sources are a catalogue: one row for each reaches the driver."""
 
     def __init__(self, sized: DataFrame, seed: int = 0, block: int = BLOCK):
         self.sized, self.seed, self.block = sized, seed, block
@@ -143,23 +162,43 @@ class Plan:
         self.size = {r["source"]: r["size"] for r in sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))}
         self.rows = sum(r["n"] for r in found)
         self.target = targets(self.size)
-        self.blocks = {s: -(-n // block) for s, n in self.size.items()}
-        self.slots = {s: min(round(self.target[s] / block), MOST * self.blocks[s]) for s in self.size}
+        self.step = {s: min(block, max(n // PARTS, LEAST)) for s, n in self.size.items()}
+        self.blocks = {s: -(-n // self.step[s]) for s, n in self.size.items()}
+        self.wanted = {s: min(max(1, round(t)), MOST * self.size[s]) if t > 0 else 0 for s, t in self.target.items()}
+        filled = {s: self._filled(s) for s in self.size}
+        self.slots = {s: n for s, (n, _) in filled.items()}
+        self.cut = {s: n for s, (_, n) in filled.items()}
+
+    def _filled(self, source: str | None) -> tuple[int, int]:
+        """The slots that hold the words wanted of a source, and the words that the last of them takes."""
+        step, blocks = self.step[source], self.blocks[source]
+        if not self.wanted[source]:
+            return 0, step
+        epoch, rest = divmod(self.wanted[source], self.size[source])
+        if not rest:
+            return epoch * blocks, step
+        # The epoch that is begun meets the source's last block, which may be short, at slot ``short``.
+        short = int(permuted(np.array([blocks - 1]), blocks, key_of(self.seed, source, epoch), back=True)[0])
+        held = lambda n: n * step - (blocks * step - self.size[source] if short < n else 0)
+        n = -(-rest // step)
+        n += held(n) < rest
+        return epoch * blocks + n, rest - held(n - 1)
 
     def catalogue(self) -> DataFrame:
         spark = self.sized.sparkSession
-        data = [(s, n, float(self.target[s])) for s, n in self.size.items()]
-        return spark.createDataFrame(data, "source string, source_size long, target double")
+        data = [(s, n, float(self.target[s]), self.step[s]) for s, n in self.size.items()]
+        return spark.createDataFrame(data, "source string, source_size long, target double, step long")
 
     def drawn(self) -> DataFrame:
-        """shard, slot, source, epoch and block: what each output shard reads, in its order."""
+        """shard, slot, source, epoch, block and most (words): what each output shard reads, in its
+        order."""
         spark = self.sized.sparkSession
         order = list(self.slots)
         counts = draws(self.slots, self.seed)
         first = np.cumsum([[0] * len(order), *counts], axis=0)
         table = [(k, i, order[i], int(first[k][i]), c) for k, row in enumerate(counts) for i, c in enumerate(row) if c]
-        blocks, seed = self.blocks, self.seed
-        schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("source", pa.string()), ("epoch", pa.int64()), ("block", pa.int64())])
+        blocks, seed, step, slots, last = self.blocks, self.seed, self.step, self.slots, self.cut
+        schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("source", pa.string()), ("epoch", pa.int64()), ("block", pa.int64()), ("most", pa.int64())])
 
         def read(batches):
             for batch in batches:
@@ -170,27 +209,28 @@ class Plan:
                         block = np.empty(len(j), np.int64)
                         for e in np.unique(epoch):
                             block[epoch == e] = permuted(at[epoch == e], blocks[source], key_of(seed, source, int(e)))
-                        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(j), pa.int64()), pa.array(j), pa.array([source] * len(j), pa.string()), pa.array(epoch), pa.array(block)], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(j), pa.int64()), pa.array(j), pa.array([source] * len(j), pa.string()), pa.array(epoch), pa.array(block), pa.array(np.where(j == slots[source] - 1, last[source], step[source]))], schema=schema)
 
         small = spark.createDataFrame(table, "shard long, nth int, source string, begin long, n long").repartition(max(1, min(len(counts), 4096)), "shard")
-        return small.mapInArrow(read, "shard long, slot long, source string, epoch long, block long")
+        return small.mapInArrow(read, "shard long, slot long, source string, epoch long, block long, most long")
 
     def packed(self) -> DataFrame:
-        """source, block, doc_id, first and n: the words [first, first + n) of a document that a
-        block holds."""
-        at = positions(self.sized, self.rows).filter("size > 0")
-        b, start, size = self.block, F.col("start"), F.col("size")
-        parts = at.withColumn("block", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))))
+        """source, block, doc_id, size, at, first and n: the words [first, first + n) of a document,
+        which a block holds from its word ``at`` on."""
+        placed = _with_targets(positions(self.sized, self.rows).filter("size > 0"), self)
+        b, start, size = F.col("step"), F.col("start"), F.col("size")
+        parts = placed.withColumn("block", F.explode(F.sequence(F.expr("start div step"), F.expr("(start + size - 1) div step"))))
         begin = F.greatest(F.col("block") * b, start)
         end = F.least((F.col("block") + 1) * b, start + size)
-        return parts.select("source", "block", "doc_id", "size", (begin - start).alias("first"), (end - begin).alias("n"))
+        return parts.select("source", "block", "doc_id", "size", (begin - F.col("block") * b).alias("at"), (begin - start).alias("first"), (end - begin).alias("n"))
 
     def mixed(self) -> DataFrame:
         """The mixture: shard, slot, source, epoch, doc_id, size, first, n."""
         # Slots come from few rows, so Spark would take them for few and broadcast them.
         a, b = self.drawn().hint("merge").alias("a"), self.packed().hint("merge").alias("b")
         on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
-        return a.join(b, on).select("a.shard", "a.slot", "a.source", "a.epoch", "b.doc_id", "b.size", "b.first", "b.n")
+        n = F.least("b.n", F.col("a.most") - F.col("b.at")).alias("n")
+        return a.join(b, on).filter("b.at < a.most").select("a.shard", "a.slot", "a.source", "a.epoch", "b.doc_id", "b.size", "b.first", n)
 
 
 def mix_digest(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
