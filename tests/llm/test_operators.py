@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -62,19 +63,41 @@ def brute_substring(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,chunk,cells", [(35, 8 << 20, 4_000_000), (35, 3_000, 500), (1, 3_000, 2_000), (2, 10_000, 700), (7, 1_000, 1_000)])
-def test_substring_dedup(spark, rows, window, chunk, cells):
-    got = substring_dedup.substring_dedup(documents(spark, rows), window, chunk, cells).collect()
+@pytest.mark.parametrize("window,chunk,cells,fan", [(35, 8 << 20, 4_000_000, None), (35, 3_000, 500, None), (1, 3_000, 2_000, 3), (2, 10_000, 700, 1), (7, 1_000, 1_000, 4), (35, 3_000, 500, 5)])
+def test_substring_dedup(spark, rows, window, chunk, cells, fan):
+    got = substring_dedup.substring_dedup(documents(spark, rows), window, chunk, cells, fan=fan).collect()
     same([tuple(r) for r in got], brute_substring(rows, window))
 
 
+def test_substring_dedup_on_odd_tables(spark):
+    assert substring_dedup.substring_dedup(documents(spark, [])).count() == 0
+    long = "x" * 300_000
+    odd = [(1, f"{long} a {long}b", "a"), (2, " " * 200_000 + "a", "b"), (3, None, None), (3, None, None), (4, f"\n{long}\ta  {long}b ", "a"), (5, f"{long} a {long}c", "a")]
+    got = substring_dedup.substring_dedup(documents(spark, odd), 3, carry=["source", "n_chars"])
+    same([tuple(r[:4]) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()], brute_substring(odd, 3))
+    text = {r["doc_id"]: r["kept_text"] for r in got.collect()}
+    assert text[1] == text[4] == "" and text[2] == odd[1][1] and text[3] is None and text[5] == odd[5][1]
+    assert {(r["doc_id"], r["source"]) for r in got.collect()} == {(i, s) for i, _, s in odd}
+
+
+def test_words_in_bytes():
+    texts = ["", " a\x0bbc ", None, "d", "\u00a0\u2003x", "  ", "é" * 300 + " y"]
+    data, at = substring_dedup.text_bytes(pa.chunked_array([pa.array(["zz", *texts[:3]])[1:], pa.array(texts[3:])]))
+    start, end = substring_dedup.word_bounds(data, at)
+    assert [data[a:b].tobytes() for a, b in zip(start, end)] == [w for t in texts for w in (t or "").encode().split()]
+    one, two = substring_dedup.word_hashes(data, start, end)
+    assert len(set(one.tolist())) == len(set(two.tolist())) == 6
+    again = substring_dedup.word_hashes(*(lambda d, a: (d, *substring_dedup.word_bounds(d, a)))(*substring_dedup.text_bytes(pa.chunked_array([["q bc", "é" * 300]]))))
+    assert again[0][1] == one[1] and again[1][2] == two[4]
+
+
 def test_window_keys_tell_windows_apart():
-    h = np.random.default_rng(0).integers(0, 1 << 63, (500, 2)).astype(np.uint64)
+    h = np.random.default_rng(0).integers(0, 1 << 63, (2, 40_000)).astype(np.uint64)
     for window in (1, 2, 3, 5, 35, 64):
         k1, k2 = substring_dedup.window_keys(h, window)
-        assert len(k1) == 500 - window + 1 == len(set(zip(k1.tolist(), k2.tolist())))
-        again, _ = substring_dedup.window_keys(h[100 : 100 + window], window)
-        assert again[0] == k1[100]
+        assert len(k1) == 40_000 - window + 1 == len(set(zip(k1.tolist(), k2.tolist())))
+        again, _ = substring_dedup.window_keys(h[:, 33_000 : 33_000 + window], window)
+        assert again[0] == k1[33_000]
 
 
 def test_cells_are_packed_losslessly():
