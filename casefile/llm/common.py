@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 from casefile.session import scratch, shared_dir
@@ -48,3 +50,46 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
         total += (n or 0) + 64
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+U = np.uint64
+#: Bytes that are hashed at a time: what numpy works on stays in the CPU's cache. Longer spans than
+#: LONG_SPAN are hashed one by one.
+PIECE, LONG_SPAN = 1 << 17, 256
+#: For each of the two hashes of a span: a random number for each byte, and the powers of an odd base
+#: by which they are weighted.
+_random = np.random.default_rng(35)
+LETTERS = _random.integers(0, 1 << 63, (2, 256), U) * U(2) + U(1)
+POWERS = np.array([[pow(int(base), k, 1 << 64) for k in range(LONG_SPAN + 1)] for base in _random.integers(0, 1 << 62, 2, U) * U(4) + U(3)], U)
+#: Letters for spans with blanks between them.
+WORD_LETTERS = LETTERS.copy()
+WORD_LETTERS[:, [9, 10, 11, 12, 13, 32]] = 0
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> U(32))
+    x = x * U(0xD6E8FEB86659FD93)
+    x = x ^ (x >> U(32))
+    x = x * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(32))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray = LETTERS) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each span of bytes. Spans come in order; what lies between them has a
+    letter of 0."""
+    out, a = (np.empty(len(start), U), np.empty(len(start), U)), 0
+    long = end - start > LONG_SPAN
+    while a < len(start):
+        low = int(start[a])
+        b = max(a + 1, int(np.searchsorted(end, low + PIECE, side="right")))
+        if b > a + 1 or not long[a]:
+            piece, segment = data[low : end[b - 1]].astype(np.intp), start[a:b] - low
+            nth = np.arange(len(piece)) - np.repeat(segment, np.diff(segment, append=len(piece)))
+            np.minimum(nth, LONG_SPAN, out=nth)
+            for h, letter, power in zip(out, letters, POWERS):
+                h[a:b] = mixed(np.add.reduceat(letter[piece] * power[nth], segment))
+        a = b
+    for i in np.flatnonzero(long).tolist():
+        h = xxhash.xxh3_128_intdigest(data[start[i] : end[i]].tobytes())
+        out[0][i], out[1][i] = h >> 64, h & 0xFFFFFFFFFFFFFFFF
+    return out

@@ -1,18 +1,18 @@
 """SentencePiece BPE encoding and decoding with vectorised merge rounds.
 
-The vocabulary and scores come from a model file, whose path is a parameter. Words (a run of spaces,
-then other characters) that a worker has not met are encoded together: their symbols lie in flat
-numpy arrays, and each round merges, in all words at once, the pair of the best rank (the leftmost,
-or all its leftmost non-overlapping occurrences where that provably gives the same), then compacts
-the arrays, until no word has a pair left.
+The vocabulary and scores come from a model file, whose path is a parameter. A batch of texts is one
+array of bytes; its words (a run of spaces, then other characters) are told apart by hashes, and
+those that the worker has not met are encoded together: their symbols lie in flat numpy arrays, and
+each round merges, in all words at once, the pair of the best rank (the leftmost, or all its leftmost
+non-overlapping occurrences where that provably gives the same), then compacts the arrays, until no
+word has a pair left. Very long words are merged at all places at once whose pair is the best one
+as far as any piece reaches (``far``). Ids, their decimals and their text are gathered for whole batches.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
-import re
 from collections import Counter
 
 import numpy as np
@@ -22,13 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casefile.llm.common import pieces, rows
+from casefile.llm.common import pieces, rows, span_hashes
 
 SPACE = "▁"
-#: Words that a worker remembers; when they are more, those not met since the last time go.
-WORDS = 120_000
-#: A word: spaces, then what is none. No piece of the vocabulary may cross its beginning.
-SPLIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+LITERAL = SPACE.encode()
+#: Words that a worker remembers (of up to WORD_IDS ids each); when they are more, the half not met
+#: for longer goes.
+WORDS, WORD_IDS = 400_000, 32
+#: Symbols of a word from which on it counts as very long.
+LONG = 200
+#: Bytes of text in a batch; ids that are turned to text or decimals at a time.
+BATCH, GATHER = 1 << 21, 1 << 17
 NONE = np.int32((1 << 31) - 1)
 
 
@@ -77,27 +81,31 @@ class Bpe:
                 k += 1
             self.keys[at + k], self.values[at + k] = key, value
             self.probes = max(self.probes, k + 1)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.before: dict[str, tuple[bytes, bytes]] = {}
+        #: The number of each code point's symbol, and how many code points a piece has at most.
+        self.symbol = n + np.arange(0x110000, dtype=np.int32)
+        for p in self.ids:
+            if len(p) == 1:
+                self.symbol[ord(p)] = self.ids[p]
+        self.symbol[32] = self.symbol[ord(SPACE)]
+        self.longest = max(map(len, self.ids))
+        #: Words met: two hashes, in the order of the first; where their ids begin and end; their last batch.
+        self.known = Known(self.eos)
         self.is_byte, self.silent = np.zeros(n, bool), np.array([m.is_control(i) for i in range(n)])
         self.is_byte[self.byte] = True
         self.plain = ["" if self.silent[i] else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.plain[self.unk] = " ⁇ "
         self.spaced = np.array([p.startswith(SPACE) for p in self.pieces])
-        self.decimal = [str(i).encode() for i in range(n)]
         data = [p.encode() for p in self.plain]
         for b, i in enumerate(self.byte):
             data[i] = bytes([b])
-        self.flat = np.frombuffer(b"".join(data), np.uint8)
-        self.flat_size = np.array([len(d) for d in data])
-        self.flat_at = np.cumsum(self.flat_size) - self.flat_size
+        self.text, self.decimal = Strings(data), Strings([b"%d " % i for i in range(n)])
 
     def place(self, key: np.ndarray) -> np.ndarray:
         return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - self.places.bit_length())).astype(np.int64)
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make together, or -1."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at, out = self.place(key), np.full(len(key), -1, np.int32)
         todo = np.arange(len(key))
         for k in range(self.probes):
@@ -111,12 +119,93 @@ class Bpe:
         return out
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in one array, and where each word's end, without any cache."""
-        text = "".join(words)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        kinds, inverse = np.unique(points, return_inverse=True)
-        sym = np.array([self.ids.get(chr(c), self.first + c) for c in kinds.tolist()], np.int64)[inverse]
-        word = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+        """Ids of words in one array, and where each word's end, without any cache."""
+        data = [w.replace(SPACE, " ").encode() for w in words]
+        return self.merge(np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data]))
+
+    def merge(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (of ``size`` bytes each) in one array, and where each word's end."""
+        n = len(size)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+        chars = np.diff(chars[np.append(0, np.cumsum(size))])
+        sym, word = self.symbol[points], np.repeat(np.arange(n, dtype=np.int32), chars)
+        if (long := chars > LONG).any():
+            out = long[word]
+            far_sym, far_word = self.far(sym[out], word[out])
+            sym, word = self.near(sym[~out], word[~out])
+            sym, word = np.concatenate([sym, far_sym]), np.concatenate([word, far_word])
+            order = np.argsort(word, kind="stable")
+            sym, word = sym[order], word[order]
+        else:
+            sym, word = self.near(sym, word)
+        if (sym >= self.first).any():  # characters without a piece become their bytes
+            flat, owner = [], []
+            for s, w in zip(sym.tolist(), word.tolist()):
+                got = [self.byte[b] for b in chr(s - self.first).encode("utf-8", "surrogatepass")] if s >= self.first else [s]
+                flat += got
+                owner += [w] * len(got)
+            sym, word = np.array(flat), np.array(owner)
+        return sym.astype(np.uint32), np.cumsum(np.bincount(word, minlength=n))
+
+    def far(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges very long words. A pair that is the best within ``longest`` symbols to either side
+        merges at once: whatever merges before it in the order of ranks begins beyond these symbols,
+        and no piece reaches over them. Equally good pairs so near each other form a chain, which
+        merges from its first on, every second one where they overlap; a chain with an equal before
+        it waits, and it stops behind a merge that makes a pair as good or better."""
+        steps = (self.longest - 1).bit_length()
+        reach = 1 << steps
+        pair = self.pairs(sym, word, np.arange(len(sym)))
+        rank = np.where(pair >= 0, self.rank[pair], NONE)
+        while True:
+            least = np.full(len(rank) + 2 * reach + 1, NONE, np.int32)
+            least[reach : reach + len(rank)] = rank
+            for k in range(steps):  # of each place: the best of it and the reach - 1 after it
+                np.minimum(least[: -(1 << k)], least[1 << k :], out=least[: -(1 << k)])
+            before, after = least[: len(rank)], least[reach + 1 : reach + 1 + len(rank)]
+            hit = np.flatnonzero((rank != NONE) & (rank <= before) & (rank <= after))
+            if not len(hit):
+                return sym, word
+            new = np.append(True, np.diff(hit) > reach)
+            chain = np.cumsum(new) - 1
+            go = (rank[hit[new]] < before[hit[new]])[chain]
+            hit, chain = hit[go], chain[go]
+            run = np.append(True, np.diff(hit) > 1)
+            even = (np.arange(len(hit)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0
+            hit, chain = hit[even], chain[even]
+            if not self.safe[pair[hit]].all():
+                bad = self.overtaken(sym, word, pair, rank, hit)
+                so_far = np.cumsum(bad) - bad
+                hit = hit[so_far == so_far[np.searchsorted(chain, chain)]]
+            sym[hit] = pair[hit]
+            keep, fresh = np.ones(len(sym), bool), np.zeros(len(sym), bool)
+            keep[hit + 1] = False
+            fresh[hit] = True
+            sym, word, pair, rank, fresh = (x[keep] for x in (sym, word, pair, rank, fresh))
+            fresh[:-1] |= fresh[1:]
+            beside = np.flatnonzero(fresh)
+            got = self.pairs(sym, word, beside)
+            pair[beside] = got
+            rank[beside] = np.where(got >= 0, self.rank[got], NONE)
+
+    def overtaken(self, sym: np.ndarray, word: np.ndarray, pair: np.ndarray, rank: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Which merges, in their order, make a pair with a neighbour that is as good or better."""
+        piece, bad = pair[hit], np.zeros(len(hit), bool)
+        merged = np.append(False, np.diff(hit) == 2)
+        for at, left in ((hit - 1, True), (hit + 2, False)):
+            can = np.flatnonzero((at >= 0) & (at < len(sym)))
+            near = sym[at[can]]
+            if left:  # the merge before this one has been made
+                near = np.where(merged[can], pair[hit[can] - 2], near)
+            usual = (word[at[can]] == word[hit[can]]) & (near < self.first)
+            can, near = can[usual], near[usual]
+            got = self.merged(near, piece[can]) if left else self.merged(piece[can], near)
+            bad[can] |= (got >= 0) & (self.rank[got] <= rank[hit[can]])
+        return bad
+
+    def near(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges words, in each of them the best pair a round."""
         done_sym, done_word, done_at = [], [], []
         at = np.arange(len(sym), dtype=np.int32)
         pair = self.pairs(sym, word, np.arange(len(sym)))
@@ -156,15 +245,7 @@ class Bpe:
             rank[beside] = np.where(got >= 0, self.rank[got], NONE)
         sym, word, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_word, done_at))
         order = np.argsort(at)
-        sym, word = sym[order], word[order]
-        if (sym >= self.first).any():  # characters without a piece become their bytes
-            flat, owner = [], []
-            for s, w in zip(sym.tolist(), word.tolist()):
-                got = [self.byte[b] for b in chr(s - self.first).encode("utf-8", "surrogatepass")] if s >= self.first else [s]
-                flat += got
-                owner += [w] * len(got)
-            sym, word = np.array(flat), np.array(owner)
-        return sym.astype(np.uint32), np.cumsum(np.bincount(word, minlength=len(words)))
+        return sym[order], word[order]
 
     def pairs(self, sym: np.ndarray, word: np.ndarray, i: np.ndarray) -> np.ndarray:
         """The piece that symbol i and the next of its word make together, or -1."""
@@ -175,41 +256,69 @@ class Bpe:
         out[can[usual]] = self.merged(a[usual], b[usual])
         return out
 
-    def known_words(self, cut: list[list[str]]) -> dict[str, tuple[bytes, bytes]]:
-        """Of all words in ``cut``: ids as bytes, and in decimal. What was met lately is kept."""
-        if len(self.known) > WORDS:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        new = []
-        for w in set(itertools.chain.from_iterable(cut)).difference(known):
-            if (got := before.get(w)) is not None:
-                known[w] = got
-            else:
-                new.append(w)
-        if new:
-            ids, ends = self.words(new)
-            data, decimal, begin = ids.tobytes(), [self.decimal[i] for i in ids.tolist()], 0
-            for w, end in zip(new, ends.tolist()):
-                known[w] = data[4 * begin : 4 * end], b" ".join(decimal[begin:end])
-                begin = end
-        return known
+    def ids_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts (UTF-8) in one array, each with the end id, and where each text's end."""
+        texts = [b" " + t.replace(LITERAL, b" ") if t else t for t in texts]
+        size = np.array([len(t) for t in texts], np.int64)
+        data, end = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size)
+        begins = data == 32
+        begins[1:] &= data[:-1] != 32
+        begins[(end - size)[size > 0]] = True
+        start = np.flatnonzero(begins)
+        known, which = self.known, np.zeros(0, np.int64)
+        if len(start):
+            stop = np.append(start[1:], len(data))
+            h, g = span_hashes(data, start, stop)
+            order = np.argsort(h)
+            new = np.append(True, np.diff(h[order]) != 0)
+            if (g[order][1:] != g[order][:-1])[~new[1:]].any():  # two words with the same first hash
+                order = np.lexsort((g, h))
+                new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0))
+            distinct = order[new]  # one place of each distinct word
+            nth = np.empty(len(start), np.int64)
+            nth[order] = np.cumsum(new) - 1
+            which = known.find(h[distinct], g[distinct])
+            missing = np.flatnonzero(which < 0)
+            if len(missing):
+                at = np.sort(distinct[missing])
+                length = stop[at] - start[at]
+                where = np.repeat(start[at] - np.cumsum(length) + length, length) + np.arange(length.sum())
+                which[nth[at]] = known.add(h[at], g[at], *self.merge(data[where], length))
+            which = which[nth]
+        # The end id stands behind the words of each text, as a word that is always known.
+        which = np.insert(which, np.searchsorted(start, end), 0)
+        n, begin = known.size[which], known.begin[which]
+        after = np.cumsum(n)
+        ids = known.ids[np.repeat(begin - after + n, n) + np.arange(after[-1] if len(after) else 0)]
+        known.tidy()
+        return ids, after[np.flatnonzero(which == 0)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, with the end id."""
-        cut = [words_of(t) for t in texts]
-        known = self.known_words(cut)
-        end = np.uint32(self.eos).tobytes()
-        return [np.frombuffer(b"".join([*[known[w][0] for w in ws], end]), np.uint32) for ws in cut]
-
-    def encode_decimal(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
-        """Ids of whole texts, with the end id, and the same in decimal, joined by spaces."""
-        cut = [words_of(t) for t in texts]
-        known = self.known_words(cut)
-        end, decimal = np.uint32(self.eos).tobytes(), str(self.eos).encode()
+        ids, end = self.ids_of([t.encode() for t in texts])
+        return np.split(ids, end[:-1])
+
+    def texts_of(self, ids: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The texts of documents' ids, decoded together. Those with ids of single bytes, which need
+        not be UTF-8 together, or beginning with a silent id are decoded one by one."""
+        odd, out, begin = self.is_byte[ids], [], 0
+        odd = np.append(0, np.cumsum(odd))
+        for whole, stops in gathered(self.text, ids, end):
+            at = 0
+            for stop in stops:
+                to = int(end[len(out)])
+                if begin == to or odd[to] > odd[begin] or self.silent[ids[begin]]:
+                    out.append(self.decode_bytes(ids[begin:to]))
+                else:
+                    out.append(whole[at + bool(self.spaced[ids[begin]]) : stop])
+                at, begin = stop, to
+        return out
+
+    def decimals_of(self, ids: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """Documents' ids in decimal, joined by spaces."""
         out = []
-        for ws in cut:
-            got = [known[w] for w in ws]
-            out.append((np.frombuffer(b"".join([*[x for x, _ in got], end]), np.uint32), b" ".join([*[x for _, x in got], decimal])))
+        for whole, stops in gathered(self.decimal, ids, end):
+            out += [whole[a : b - 1] if b > a else b"" for a, b in zip([0, *stops], stops)]
         return out
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
@@ -217,10 +326,7 @@ class Bpe:
         first one dropped. Bytes that are no UTF-8 become U+FFFD each."""
         if not len(ids):
             return b""
-        n = self.flat_size[ids]
-        total = int(n.sum())
-        where = np.repeat(self.flat_at[ids] - np.cumsum(n) + n, n) + np.arange(total)
-        data = self.flat[where].tobytes()
+        data = self.text.join(ids)[0].tobytes()
         if self.is_byte[ids].any():
             try:
                 data.decode()
@@ -246,6 +352,88 @@ class Bpe:
         return self.decode_bytes(ids).decode()
 
 
+class Strings:
+    """Byte strings by number, joined by one gather."""
+
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.array([len(x) for x in strings], np.int32)
+        self.at = (np.cumsum(self.size) - self.size).astype(np.int32)
+
+    def join(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The joined strings, and where each ends."""
+        n = self.size[numbers]
+        end = np.cumsum(n)
+        return self.data[np.repeat(self.at[numbers] - end + n, n) + np.arange(end[-1] if len(end) else 0)], end
+
+
+def gathered(strings: Strings, ids: np.ndarray, end: np.ndarray):
+    """Documents' ids as strings: some documents at a time, with the ends of each. A very long
+    document comes alone, gathered in parts."""
+    begin = done = 0
+    while done < len(end):
+        more = max(done + 1, int(np.searchsorted(end, begin + GATHER, side="right")))
+        stop, parts, ends = int(end[more - 1]), [], [np.zeros(1, np.int64)]
+        for a in range(begin, stop, GATHER):
+            data, at = strings.join(ids[a : min(a + GATHER, stop)])
+            parts.append(data.tobytes())
+            ends.append(at + ends[-1][-1])
+        ends = np.concatenate([ends[0], *ends[1:]])
+        yield b"".join(parts), ends[end[done:more] - begin].tolist()
+        begin, done = stop, more
+
+
+class Known:
+    """Ids of words met, by two hashes. Word 0 is the end id."""
+
+    def __init__(self, end: int):
+        self.h = self.g = np.zeros(0, np.uint64)
+        self.word = np.zeros(0, np.int64)
+        self.ids, self.begin, self.size = np.array([end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.last, self.now = np.zeros(1, np.int64), 0
+
+    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Numbers of words, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            hit = (self.h[at] == h) & (self.g[at] == g)
+            out[hit] = self.word[at[hit]]
+            self.last[out[hit]] = self.now
+        return out
+
+    def add(self, h: np.ndarray, g: np.ndarray, ids: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of new words, given their ids and the end of each in these."""
+        size = np.diff(end, prepend=0)
+        number = len(self.size) + np.arange(len(size))
+        self.begin = np.concatenate([self.begin, len(self.ids) + end - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+        self.last = np.concatenate([self.last, np.full(len(size), self.now)])
+        # Words with the same first hash as another one are not looked up again.
+        self.fresh = h, g, number
+        return number
+
+    def tidy(self) -> None:
+        """After a batch: new words become known; if there are too many, the older half goes, and so
+        do words of many ids."""
+        if (fresh := getattr(self, "fresh", None)) is not None:
+            h, g, word = (np.concatenate(x) for x in zip((self.h, self.g, self.word), fresh))
+            order = np.argsort(h, kind="stable")
+            self.h, self.g, self.word, self.fresh = h[order], g[order], word[order], None
+        self.now += 1
+        if len(self.size) > WORDS:
+            keep = (self.last > np.median(self.last[1:])) & (self.size <= WORD_IDS)
+            keep[0] = True
+            number = np.cumsum(keep) - 1
+            n = self.size[keep]
+            end = np.cumsum(n)
+            self.ids = self.ids[np.repeat(self.begin[keep] - end + n, n) + np.arange(end[-1])]
+            self.begin, self.size, self.last = end - n, n, self.last[keep]
+            stay = keep[self.word]
+            self.h, self.g, self.word = self.h[stay], self.g[stay], number[self.word[stay]]
+
+
 def utf8(data: bytes) -> str:
     """Each byte that is not part of valid UTF-8 becomes one U+FFFD."""
     try:
@@ -266,22 +454,17 @@ def utf8(data: bytes) -> str:
         return "".join(out)
 
 
-def words_of(text: str) -> list[str]:
-    """A text's words after a space is put before it; an empty text has none."""
-    if not text:
-        return []
-    text = text.replace(" ", SPACE)
-    if SPACE + SPACE in text or text[0] == SPACE or text[-1] == SPACE:
-        return SPLIT.findall(SPACE + text)
-    return [SPACE + w for w in text.split(SPACE)]
-
-
 @functools.cache
 def bpe(path: str) -> Bpe:
     """The model's tables, once in a worker process."""
     return Bpe(path)
 
 
+def utf8_of(column: pa.Array) -> list[bytes]:
+    """Whole texts in UTF-8; null is empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with a column ``out``: the ids of each whole ``text``, with the end id, as an array;
     and, if ``decoded`` names one, a column with the text that these ids decode to.
@@ -298,13 +481,11 @@ def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", out: s
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, text):
-                ids = bpe(model).encode([t.as_py() or "" for t in part.column(at)])
-                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                columns = [*part.columns, pa.ListArray.from_arrays(offsets, flat)]
+            for part in pieces(batch, text, BATCH):
+                ids, end = bpe(model).ids_of(utf8_of(part.column(at)))
+                columns = [*part.columns, pa.ListArray.from_arrays(np.append(0, end).astype(np.int32), ids.view(np.int32))]
                 if decoded:
-                    columns.append(pa.array([bpe(model).decode(x) for x in ids], pa.string()))
+                    columns.append(pa.array(bpe(model).texts_of(ids, end), pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -336,13 +517,13 @@ def sentencepiece_digest(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         coder = bpe(model)
         for batch in batches:
-            for part in pieces(batch, "text"):
-                coded = coder.encode_decimal([t.as_py() or "" for t in part.column("text")])
+            for part in pieces(batch, "text", BATCH):
+                ids, end = coder.ids_of(utf8_of(part.column("text")))
                 yield rows({
                     "doc_id": part.column("doc_id").to_pylist(),
-                    "n_tokens": [len(x) for x, _ in coded],
-                    "ids_sha256": [hashlib.sha256(d).hexdigest() for _, d in coded],
-                    "decoded_sha256": [hashlib.sha256(coder.decode_bytes(x)).hexdigest() for x, _ in coded],
+                    "n_tokens": np.diff(end, prepend=0).tolist(),
+                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in coder.decimals_of(ids, end)],
+                    "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in coder.texts_of(ids, end)],
                 }, DIGEST)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

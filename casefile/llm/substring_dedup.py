@@ -27,19 +27,16 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casefile.llm.common import WORD_LETTERS, mixed, span_hashes
+
 WINDOW = 35
 CHUNK_BYTES = 8 << 20
 SLICE_CELLS = 4_000_000
-#: Bytes whose words are hashed at a time: what numpy works on stays in the CPU's cache.
-PIECE = 1 << 17
-#: Longer words are hashed one by one.
-LONG = 256
 #: Words whose windows are hashed at a time.
 RUN = 1 << 15
 #: Messages (chunks times slices) up to which chunks send to slices directly.
@@ -48,20 +45,6 @@ ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 U = np.uint64
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-#: Of each of the two hashes of a word: a random number for each byte (0 for blanks), and the powers
-#: of an odd base by which they are weighted.
-_random = np.random.default_rng(35)
-BYTES = _random.integers(0, 1 << 63, (2, 256), np.uint64) * U(2) + U(1)
-BYTES[:, BLANK] = 0
-POWERS = np.array([[pow(int(base), k, 1 << 64) for k in range(LONG + 1)] for base in _random.integers(0, 1 << 62, 2, np.uint64) * U(4) + U(3)], U)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> U(32))
-    x = x * U(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U(32))
-    x = x * U(0xD6E8FEB86659FD93)
-    return x ^ (x >> U(32))
 
 
 def text_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,26 +69,6 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each word."""
-    out, a = (np.empty(len(start), U), np.empty(len(start), U)), 0
-    long = end - start > LONG
-    while a < len(start):
-        low = int(start[a])
-        b = max(a + 1, int(np.searchsorted(end, low + PIECE, side="right")))
-        if b > a + 1 or not long[a]:
-            piece, segment = data[low : end[b - 1]].astype(np.intp), start[a:b] - low
-            nth = np.arange(len(piece)) - np.repeat(segment, np.diff(segment, append=len(piece)))
-            np.minimum(nth, LONG, out=nth)
-            for h, letter, power in zip(out, BYTES, POWERS):
-                h[a:b] = mixed(np.add.reduceat(letter[piece] * power[nth], segment))
-        a = b
-    for i in np.flatnonzero(long).tolist():
-        h = xxhash.xxh3_128_intdigest(data[start[i] : end[i]].tobytes())
-        out[0][i], out[1][i] = h >> 64, h & 0xFFFFFFFFFFFFFFFF
-    return out
-
-
 def window_keys(hashes: tuple[np.ndarray, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each run of ``window`` words."""
     n = len(hashes[0]) - window + 1
@@ -152,7 +115,7 @@ class Chunk:
     def hash(self) -> Chunk:
         self.k1 = self.k2 = np.empty(0, U)
         if len(self.word):
-            self.k1, self.k2 = (k[self.word] for k in window_keys(word_hashes(self.data, self.start, self.end), self.window))
+            self.k1, self.k2 = (k[self.word] for k in window_keys(span_hashes(self.data, self.start, self.end, WORD_LETTERS), self.window))
         return self
 
     def without(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

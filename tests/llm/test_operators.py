@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -15,6 +16,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from casefile.llm import balltree, html_template, huffman, language_id, matroska, mixing, queries, sentencepiece_bpe, simhash, substring_dedup, url_graph
+from casefile.llm.common import WORD_LETTERS, span_hashes
 from casefile.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk int, part string, shard string, size string"
@@ -85,9 +87,9 @@ def test_words_in_bytes():
     data, at = substring_dedup.text_bytes(pa.chunked_array([pa.array(["zz", *texts[:3]])[1:], pa.array(texts[3:])]))
     start, end = substring_dedup.word_bounds(data, at)
     assert [data[a:b].tobytes() for a, b in zip(start, end)] == [w for t in texts for w in (t or "").encode().split()]
-    one, two = substring_dedup.word_hashes(data, start, end)
+    one, two = span_hashes(data, start, end, WORD_LETTERS)
     assert len(set(one.tolist())) == len(set(two.tolist())) == 6
-    again = substring_dedup.word_hashes(*(lambda d, a: (d, *substring_dedup.word_bounds(d, a)))(*substring_dedup.text_bytes(pa.chunked_array([["q bc", "é" * 300]]))))
+    again = span_hashes(*(lambda d, a: (d, *substring_dedup.word_bounds(d, a)))(*substring_dedup.text_bytes(pa.chunked_array([["q bc", "é" * 300]]))), WORD_LETTERS)
     assert again[0][1] == one[1] and again[1][2] == two[4]
 
 
@@ -150,6 +152,34 @@ def test_sentencepiece_equals_the_library(library):
         assert coder.decode(np.array(ids, np.int64)) == library.decode(ids)
 
 
+def test_sentencepiece_very_long_words(library):
+    r, coder = random.Random(8), sentencepiece_bpe.bpe(queries.PIECES)
+    texts = ["".join(r.choice(letters) for _ in range(r.choice((201, 900, 4000)))) for letters in ("ab", "aab", "etaoinsh", "=-_", "0123456789abcdef", "é字a\U0001f600", "the") for _ in range(12)]
+    texts += [x * n for x in ("a", "=", "ab", "aab", "-=", "the", "é", "字", "00", "banana", "\U0001f600") for n in (201, 1000, 1337)]
+    texts += ["".join(r.choice(("aaa", "=====", "ab" * 9, "x", "then")) for _ in range(900)) + " " + "a" * 300]
+    for text, ids in zip(texts, coder.encode(texts)):
+        assert ids.tolist() == library.encode(text) + [2]
+        assert coder.decode(ids) == library.decode(ids.tolist())
+    begin = time.time()
+    for text in ("".join(r.choice("etaoinsh") for _ in range(1_000_000)), "ab" * 500_000, "a" * 1_000_000):
+        ids, _ = coder.ids_of([text.encode()])
+        assert coder.decode(ids) == text
+    assert time.time() - begin < 60
+
+
+def test_sentencepiece_memory_is_bounded(monkeypatch, library):
+    monkeypatch.setattr(sentencepiece_bpe, "WORDS", 50)
+    monkeypatch.setattr(sentencepiece_bpe, "GATHER", 64)
+    coder, r = sentencepiece_bpe.Bpe(queries.PIECES), random.Random(9)
+    for _ in range(30):
+        texts = [" ".join("".join(r.choice("abcdé▁") for _ in range(r.choice((1, 2, 3, 90)))) for _ in range(r.randint(0, 40))) for _ in range(5)]
+        ids, end = coder.ids_of([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, end[:-1])] == [library.encode(t) + [2] for t in texts]
+        assert coder.decimals_of(ids, end) == [" ".join(map(str, library.encode(t) + [2])).encode() for t in texts]
+        assert coder.texts_of(ids, end) == [library.decode(library.encode(t)).encode() for t in texts]
+    assert len(coder.known.size) < 700 and coder.known.size.max() < 2000
+
+
 def test_sentencepiece_digest(spark, rows, library):
     want = []
     for i, t, _ in rows:
