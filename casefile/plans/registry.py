@@ -48,7 +48,7 @@ def texts(spark, d):
 
 
 def phrases(spark, d):
-    """Whole documents behind a phrase each, in the order of the SQL stand-in (whose own text is cut)."""
+    """Whole documents behind a phrase each."""
     p = F.array(*[F.lit(x) for x in PHRASES])
     return read(spark, d, "documents").select("doc_id", F.concat(F.get(p, (F.col("doc_id") % len(PHRASES)).cast("int")), F.lit(" "), "text").alias("text"))
 
@@ -97,7 +97,7 @@ def _lit(values: list[str]) -> str:
 
 TABLES = {
     "texts": f"SELECT doc_id, text || ' ' || {_lit(PHRASES)}[doc_id % {len(PHRASES)} + 1] AS text, source FROM documents",
-    "phrases": f"SELECT doc_id, {_lit(PHRASES)}[doc_id % {len(PHRASES)} + 1] || ' ' || right(text, 200) AS text FROM documents",
+    "phrases": f"SELECT doc_id, {_lit(PHRASES)}[doc_id % {len(PHRASES)} + 1] || ' ' || text AS text FROM documents",
     "cases": "SELECT c_custkey AS case_id, c_name AS title, 'CN-' || c_custkey AS case_number, CASE WHEN c_nationkey % 3 = 0 THEN 'open' ELSE 'active' END AS status FROM customer",
     "evidence": "SELECT o_orderkey AS evidence_id, o_custkey AS case_id, CASE WHEN o_orderstatus = 'O' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'analyzed' WHEN o_orderkey % 5 = 0 THEN 'verified' ELSE 'flagged' END AS status, split_part(o_orderpriority, '-', 2) AS evidence_type, o_orderdate AS created_at, sha256((o_orderkey % 4000)::VARCHAR) AS original_hash, round(o_totalprice / 499979.0::DOUBLE, 6) AS fused_score, o_orderkey % 7 AS version FROM orders",
     "results": f"SELECT l_orderkey AS evidence_id, l_linenumber AS seq, {_lit(AGENTS)}[l_suppkey % 5 + 1] AS agent_type, round(l_discount * 10, 6) AS confidence, (l_returnflag = 'R' AND l_linenumber = 1) AS failed, round(l_quantity * 10, 2) AS processing_time_ms FROM lineitem",

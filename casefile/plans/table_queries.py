@@ -69,7 +69,7 @@ def readable(spark, d):
     return relational.readable(evidence(spark, d)).select("evidence_id", "status")
 
 
-@query("join1_2_case_counts", sql("cases evidence", "SELECT c.case_id, count(e.evidence_id) AS evidence_count FROM cases c LEFT JOIN (SELECT * FROM evidence WHERE case_id % 3 <> 0) e ON c.case_id = e.case_id GROUP BY c.case_id"))
+@query("join1_2_case_counts", sql("cases evidence", "SELECT c.case_id, count(e.evidence_id) AS evidence_count FROM cases c LEFT JOIN evidence e ON c.case_id = e.case_id GROUP BY c.case_id"))
 def case_counts(spark, d):
     return relational.case_counts(cases(spark, d), evidence(spark, d)).select("case_id", "evidence_count")
 

@@ -270,7 +270,7 @@ def _gated(spark, d):
 GATE = """_x AS (SELECT evidence_id, case_id, fused_score, round((evidence_id % 10) / 10.0::DOUBLE, 2) AS deception, round((evidence_id % 9) / 10.0::DOUBLE, 2) AS manipulation, evidence_id % 11 = 0 AS short, evidence_id % 97 = 0 AS bad_time FROM evidence),
 _z AS (SELECT evidence_id, 'HIGH_DECEPTION_SCORE' AS code, 'high' AS severity FROM _x WHERE deception > 0.7 UNION ALL SELECT evidence_id, 'HIGH_MANIPULATION_SCORE', 'medium' FROM _x WHERE manipulation > 0.7 UNION ALL SELECT evidence_id, 'LOW_FUSION_SCORE', 'high' FROM _x WHERE fused_score < 0.3
  UNION ALL SELECT evidence_id, 'MISSING_CONTENT', 'high' FROM _x WHERE short UNION ALL SELECT evidence_id, 'IMPOSSIBLE_TIMELINE', 'critical' FROM _x WHERE bad_time
- UNION ALL SELECT evidence_id, 'ANALYSIS_ERROR', 'high' FROM results WHERE seq <= 2 AND failed UNION ALL SELECT evidence_id, 'LOW_AGENT_CONFIDENCE', 'medium' FROM results WHERE seq <= 2 AND confidence < 0.5 UNION ALL SELECT evidence_id, 'ANOMALY_DETECTED', 'medium' FROM results WHERE seq <= 2 AND (failed OR confidence < 0.3)),
+ UNION ALL SELECT evidence_id, 'ANALYSIS_ERROR', 'high' FROM results WHERE failed UNION ALL SELECT evidence_id, 'LOW_AGENT_CONFIDENCE', 'medium' FROM results WHERE confidence < 0.5 UNION ALL SELECT evidence_id, 'ANOMALY_DETECTED', 'medium' FROM results WHERE failed OR confidence < 0.3),
 _b AS (SELECT evidence_id, bool_or(severity = 'critical') AS c, bool_or(severity = 'high') AS h, bool_or(severity = 'medium') AS m FROM _z GROUP BY evidence_id),
 _rt AS (SELECT _x.*, CASE WHEN c THEN 'blocked' WHEN h THEN 'review' WHEN m THEN 'review' ELSE 'auto_ok' END AS routing FROM _x LEFT JOIN _b ON _x.evidence_id = _b.evidence_id)"""
 
