@@ -1,7 +1,7 @@
 """Token ids written as canonical, length-limited Huffman codes in independent blocks.
 
 1. Whole texts become ids; each worker remembers the ids of words that it has met, which the
-   tokenizer encodes independently.
+   tokenizer encodes independently, and gathers a batch's ids in arrays.
 2. Ids are counted over the whole table; the counts (one per id of the vocabulary, a proven bound)
    make code lengths by package-merge, and lengths make canonical codes.
 3. Documents are ordered by doc_id in ranges; each block holds about BLOCK ids of consecutive
@@ -14,7 +14,6 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from casefile.llm.common import pieces, rows, written
+from casefile.llm.word_ids import WordIds
 
 END = 2
 LIMIT = 18
@@ -31,15 +31,17 @@ BLOCK = 1 << 17
 STRIDE = 256
 #: Ids in a shard, a stretch of doc_ids that one task writes in order.
 SHARD = 8 << 20
-#: Words that a worker remembers for each of its two tables; when they are more, those not met since
-#: the last time go.
-WORDS = 500_000
+#: Bytes of text that are encoded at a time.
+BATCH = 1 << 21
+#: Words that a worker remembers.
+WORDS = 600_000
 #: White space other than space and newline.
 OTHER = tuple("\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: Where any text may be cut with the same ids: at one space, before it, between two characters
 #: that are no white space.
 CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])")
 SIGNS = ".,!?;:()[]{}\"'%&$#*+-/|<>=~^_@"
+IS_SIGN, IS_LETTER = (np.array([chr(b) in SIGNS for b in range(256)]), np.array([b < 128 and chr(b).isalpha() for b in range(256)]))
 #: Byte-level vocabularies write each byte as a character: printable ones as themselves.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
@@ -51,25 +53,6 @@ def id_type(vocabulary: int) -> type:
     return np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
 
-class Words(dict):
-    """Ids (as bytes) of words that stand after ``lead``, computed when first asked for."""
-
-    def __init__(self, ids: Ids, lead: str):
-        self.ids, self.lead, self.before = ids, lead, {}
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.before.get(word)
-        if got is None:
-            got = self.ids.word(self.lead, word)
-        self[word] = got
-        return got
-
-    def tidy(self) -> None:
-        if len(self) > WORDS:
-            self.before = dict(self)
-            self.clear()
-
-
 class Ids:
     """Ids of texts by a tokenizer file (byte-level, its pre-tokenizer cutting between white space,
     letters and signs). Texts whose white space is single spaces and newlines are cut at these, each
@@ -77,58 +60,71 @@ class Ids:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.n = self.tokenizer.get_vocab_size()
         self.kind = id_type(self.n)
-        self.code = np.dtype(self.kind).char
-        self.after, self.first = Words(self, " "), Words(self, "")
-        self.newline = self.whole("\n")
-
-    def whole(self, text: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def piece(self, text: str) -> bytes:
-        """Ids of what is one piece for the pre-tokenizer."""
-        text = text.encode().decode("latin-1").translate(LETTERS)
-        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
-
-    def word(self, lead: str, word: str) -> bytes:
-        if word.isalpha():
-            if word.isascii():
-                return array(self.code, [t.id for t in self.model.tokenize("Ġ" + word if lead else word)]).tobytes()
-            return self.piece(lead + word)
-        core = word.rstrip(SIGNS)
-        if core.isalpha():
-            return (self.after if lead else self.first)[core] + self.piece(word[len(core) :])
-        return self.whole(lead + word) if word else b""
+        self.known = WordIds([], self.words, WORDS)
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def words(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with the space before it if it has one, in a row, and where each one's
+        end. Letters only, or signs only, are one piece for the pre-tokenizer and go to the model."""
+        whole, tokenize, ids, ends, at = data.tobytes(), self.tokenizer.model.tokenize, [], [], 0
+        for n in size.tolist():
+            word = whole[at : at + n].decode()
+            at += n
+            bare = word[1:] if word[0] == " " else word
+            if not bare.isalpha() and bare.strip(SIGNS):
+                ids += self.whole(word)
+            elif word.isascii():
+                ids += [t.id for t in tokenize("Ġ" + bare if bare is not word else word)]
+            else:
+                ids += [t.id for t in tokenize(word.encode().decode("latin-1").translate(LETTERS))]
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.array(ends, np.int64)
 
     def is_plain(self, t: str) -> bool:
         if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n":
             return False
         return not any(c in t for c in (OTHER[:8] if t.isascii() else OTHER)) and not any(x in t for x in self.special)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self.after.tidy()
-        self.first.tidy()
-        after, first, newline, out = self.after.__getitem__, self.first.__getitem__, self.newline, []
-        for t in texts:
-            if not t:
-                out.append(b"")
-            elif self.is_plain(t):
-                parts = []
-                for line in t.split("\n"):
-                    words = line.split(" ")
-                    parts.append(first(words[0]))
-                    parts += map(after, words[1:])
-                    parts.append(newline)
-                parts.pop()
-                out.append(b"".join(parts))
-            elif any(x in t for x in self.special):
-                out.append(self.whole(t))
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts (each with ``end``, if given) in a row, and where each text's end."""
+        plain = np.array([bool(t) and self.is_plain(t) for t in texts], bool)
+        data = [t.encode() for t, p in zip(texts, plain.tolist()) if p]
+        size = np.array([len(t) for t in data], np.int64)
+        data, stop = np.frombuffer(b"".join(data), np.uint8), np.cumsum(size)
+        # A word begins at a space, a newline or behind one, and with its text; so do the signs with
+        # which it ends.
+        line = data == 10
+        begins = line | (data == 32)
+        begins[1:] |= line[:-1]
+        begins[stop - size] = True
+        sign = IS_SIGN[data]
+        first, last = sign.copy(), sign.copy()
+        first[1:] &= ~sign[:-1]
+        last[:-1] &= ~sign[1:]
+        first, last = np.flatnonzero(first), np.flatnonzero(last)
+        begins[first[IS_LETTER[data[first - 1]] & np.append(begins[1:], True)[last]]] = True
+        start = np.flatnonzero(begins)
+        ids, after = self.known.join(self.known.of(data, start, np.append(start[1:], len(data))[: len(start)]))
+        after = np.append(0, after)[np.append(0, np.searchsorted(start, stop))]
+        parts, n, nth = [], np.zeros(len(texts), np.int64), 0
+        last = [np.array([end], np.uint32)] if end is not None else []
+        for i, p in enumerate(plain.tolist()):
+            if p:
+                got = [ids[after[nth] : after[nth + 1]]]
+                nth += 1
+            elif any(x in texts[i] for x in self.special):
+                got = [np.array(self.whole(texts[i]), np.uint32)]
             else:
-                out.append(b"".join(map(self.whole, CUT.split(t))))
-        return out
+                got = [np.array(self.whole(t), np.uint32) for t in CUT.split(texts[i])] if texts[i] else []
+            got += last
+            parts += got
+            n[i] = sum(map(len, got))
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.cumsum(n)
 
 
 @functools.cache
@@ -142,14 +138,16 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
 
     def run(batches):
         coder = ids_of(tokenizer)
-        last = coder.kind(end).tobytes()
         for batch in batches:
-            for part in pieces(batch, "text"):
-                ids = [x + last for x in coder.encode([t.as_py() or "" for t in part.column("text")])]
-                n = np.bincount(np.frombuffer(b"".join(ids), coder.kind))
+            for part in pieces(batch, "text", BATCH):
+                ids, stop = coder.encode([t or "" for t in part.column("text").to_pylist()], end)
+                n = np.bincount(ids)
                 used = np.flatnonzero(n)
                 counts = used.astype(np.uint32).tobytes() + n[used].astype(np.uint64).tobytes()
-                yield rows({"doc_id": part.column("doc_id").to_pylist(), "n": [len(x) // len(last) for x in ids], "ids": ids, "counts": [counts] + [None] * (len(ids) - 1)}, TOKENS)
+                data, width = ids.astype(coder.kind).tobytes(), np.dtype(coder.kind).itemsize
+                size = np.diff(stop, prepend=0)
+                begin = (stop - size) * width
+                yield rows({"doc_id": part.column("doc_id").to_pylist(), "n": size.tolist(), "ids": [data[a:b] for a, b in zip(begin.tolist(), (stop * width).tolist())], "counts": [counts] + [None] * (len(size) - 1)}, TOKENS)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 

@@ -22,13 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casefile.llm.common import pieces, rows, span_hashes
+from casefile.llm.common import pieces, rows
+from casefile.llm.word_ids import WordIds
 
 SPACE = "▁"
 LITERAL = SPACE.encode()
-#: Words that a worker remembers (of up to WORD_IDS ids each); when they are more, the half not met
-#: for longer goes.
-WORDS, WORD_IDS = 400_000, 32
 #: Symbols of a word from which on it counts as very long.
 LONG = 200
 #: Bytes of text in a batch; ids that are turned to text or decimals at a time.
@@ -88,8 +86,7 @@ class Bpe:
                 self.symbol[ord(p)] = self.ids[p]
         self.symbol[32] = self.symbol[ord(SPACE)]
         self.longest = max(map(len, self.ids))
-        #: Words met: two hashes, in the order of the first; where their ids begin and end; their last batch.
-        self.known = Known(self.eos)
+        self.known = WordIds([self.eos], self.merge)
         self.is_byte, self.silent = np.zeros(n, bool), np.array([m.is_control(i) for i in range(n)])
         self.is_byte[self.byte] = True
         self.plain = ["" if self.silent[i] else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
@@ -139,13 +136,12 @@ class Bpe:
             sym, word = sym[order], word[order]
         else:
             sym, word = self.near(sym, word)
-        if (sym >= self.first).any():  # characters without a piece become their bytes
-            flat, owner = [], []
-            for s, w in zip(sym.tolist(), word.tolist()):
-                got = [self.byte[b] for b in chr(s - self.first).encode("utf-8", "surrogatepass")] if s >= self.first else [s]
-                flat += got
-                owner += [w] * len(got)
-            sym, word = np.array(flat), np.array(owner)
+        if len(odd := np.flatnonzero(sym >= self.first)):  # characters without a piece become their bytes
+            data = [chr(c).encode() for c in (sym[odd] - self.first).tolist()]
+            times = np.ones(len(sym), np.int64)
+            times[odd] = [len(x) for x in data]
+            sym, word = np.repeat(sym, times), np.repeat(word, times)
+            sym[sym >= self.first] = np.array(self.byte)[np.frombuffer(b"".join(data), np.uint8)]
         return sym.astype(np.uint32), np.cumsum(np.bincount(word, minlength=n))
 
     def far(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,32 +261,10 @@ class Bpe:
         begins[1:] &= data[:-1] != 32
         begins[(end - size)[size > 0]] = True
         start = np.flatnonzero(begins)
-        known, which = self.known, np.zeros(0, np.int64)
-        if len(start):
-            stop = np.append(start[1:], len(data))
-            h, g = span_hashes(data, start, stop)
-            order = np.argsort(h)
-            new = np.append(True, np.diff(h[order]) != 0)
-            if (g[order][1:] != g[order][:-1])[~new[1:]].any():  # two words with the same first hash
-                order = np.lexsort((g, h))
-                new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0))
-            distinct = order[new]  # one place of each distinct word
-            nth = np.empty(len(start), np.int64)
-            nth[order] = np.cumsum(new) - 1
-            which = known.find(h[distinct], g[distinct])
-            missing = np.flatnonzero(which < 0)
-            if len(missing):
-                at = np.sort(distinct[missing])
-                length = stop[at] - start[at]
-                where = np.repeat(start[at] - np.cumsum(length) + length, length) + np.arange(length.sum())
-                which[nth[at]] = known.add(h[at], g[at], *self.merge(data[where], length))
-            which = which[nth]
+        which = self.known.of(data, start, np.append(start[1:], len(data))[: len(start)])
         # The end id stands behind the words of each text, as a word that is always known.
         which = np.insert(which, np.searchsorted(start, end), 0)
-        n, begin = known.size[which], known.begin[which]
-        after = np.cumsum(n)
-        ids = known.ids[np.repeat(begin - after + n, n) + np.arange(after[-1] if len(after) else 0)]
-        known.tidy()
+        ids, after = self.known.join(which)
         return ids, after[np.flatnonzero(which == 0)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -383,57 +357,6 @@ def gathered(strings: Strings, ids: np.ndarray, end: np.ndarray):
         begin, done = stop, more
 
 
-class Known:
-    """Ids of words met, by two hashes. Word 0 is the end id."""
-
-    def __init__(self, end: int):
-        self.h = self.g = np.zeros(0, np.uint64)
-        self.word = np.zeros(0, np.int64)
-        self.ids, self.begin, self.size = np.array([end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.last, self.now = np.zeros(1, np.int64), 0
-
-    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
-        """Numbers of words, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        if len(self.h):
-            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-            hit = (self.h[at] == h) & (self.g[at] == g)
-            out[hit] = self.word[at[hit]]
-            self.last[out[hit]] = self.now
-        return out
-
-    def add(self, h: np.ndarray, g: np.ndarray, ids: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Numbers of new words, given their ids and the end of each in these."""
-        size = np.diff(end, prepend=0)
-        number = len(self.size) + np.arange(len(size))
-        self.begin = np.concatenate([self.begin, len(self.ids) + end - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, ids])
-        self.last = np.concatenate([self.last, np.full(len(size), self.now)])
-        # Words with the same first hash as another one are not looked up again.
-        self.fresh = h, g, number
-        return number
-
-    def tidy(self) -> None:
-        """After a batch: new words become known; if there are too many, the older half goes, and so
-        do words of many ids."""
-        if (fresh := getattr(self, "fresh", None)) is not None:
-            h, g, word = (np.concatenate(x) for x in zip((self.h, self.g, self.word), fresh))
-            order = np.argsort(h, kind="stable")
-            self.h, self.g, self.word, self.fresh = h[order], g[order], word[order], None
-        self.now += 1
-        if len(self.size) > WORDS:
-            keep = (self.last > np.median(self.last[1:])) & (self.size <= WORD_IDS)
-            keep[0] = True
-            number = np.cumsum(keep) - 1
-            n = self.size[keep]
-            end = np.cumsum(n)
-            self.ids = self.ids[np.repeat(self.begin[keep] - end + n, n) + np.arange(end[-1])]
-            self.begin, self.size, self.last = end - n, n, self.last[keep]
-            stay = keep[self.word]
-            self.h, self.g, self.word = self.h[stay], self.g[stay], number[self.word[stay]]
-
-
 def utf8(data: bytes) -> str:
     """Each byte that is not part of valid UTF-8 becomes one U+FFFD."""
     try:

@@ -168,9 +168,9 @@ def test_sentencepiece_very_long_words(library):
 
 
 def test_sentencepiece_memory_is_bounded(monkeypatch, library):
-    monkeypatch.setattr(sentencepiece_bpe, "WORDS", 50)
     monkeypatch.setattr(sentencepiece_bpe, "GATHER", 64)
     coder, r = sentencepiece_bpe.Bpe(queries.PIECES), random.Random(9)
+    coder.known.words = 50
     for _ in range(30):
         texts = [" ".join("".join(r.choice("abcdé▁") for _ in range(r.choice((1, 2, 3, 90)))) for _ in range(r.randint(0, 40))) for _ in range(5)]
         ids, end = coder.ids_of([t.encode() for t in texts])
@@ -336,8 +336,12 @@ def test_tokenizer_stretches():
     r, coder = random.Random(9), huffman.Ids(queries.BYTES)
     letters = "aab bc  th\n\n\té1'sñ字\x00ﬁ\xa0\u3000\x85\x1c\U0001f600 s.,"
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["a <|endoftext|> b", "<|endoftext|>", "it's don't. 'tis we'll' x's, 12, a1. (b) c), ü. ñ's -- e.g.\nNew line."]
-    for t, ids in zip(texts, coder.encode(texts)):
-        assert np.frombuffer(ids, np.uint16).tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
+    for end in (None, 2):
+        coder.known.words = 300
+        for k in range(0, len(texts), 700):
+            ids, stop = coder.encode(texts[k : k + 700], end)
+            for t, x in zip(texts[k : k + 700], np.split(ids, stop[:-1])):
+                assert x.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids + [end] * (end is not None)
 
 
 @pytest.mark.parametrize("counts,limit", [([1], 18), ([0, 3, 0, 1], 18), ([2**k for k in range(30)], 10), ([1] * 1024, 10), ([5, 1, 1, 1, 9], 3)])
@@ -404,11 +408,9 @@ def test_every_string_is_near_one_anchor():
 
 
 def test_near_duplicates_by_two_lanes(spark):
-    import corpus_pipeline
-
     base = words(300, 13, 5000)
     texts = [" ".join(base), " ".join(base[:50] + ["other"] + base[51:]), " ".join(words(300, 14, 5000)), " ".join(words(300, 15, 5000))]
-    got = simhash.simhash_near_duplicates(documents(spark, [(k, t, "a") for k, t in enumerate(texts)]), **corpus_pipeline.NEAR).collect()
+    got = simhash.simhash_near_duplicates(documents(spark, [(k, t, "a") for k, t in enumerate(texts)]), shingle=5, lanes=2, most=26, projections=simhash.thirds(2), lane_most=13).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(0, 0), (1, 0), (2, 2), (3, 3)]
 
 
