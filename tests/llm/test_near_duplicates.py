@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from casefile.llm import near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,3 +65,38 @@ def test_rows_without_or_with_equal_doc_ids_stay(spark):
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame([*rows, rows[0]], SCHEMA), "").collect()
     assert sorted(repr(tuple(r)) for r in got) == sorted(repr(r) for r in rows if r[0] != 8)
     assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+@pytest.mark.parametrize("cell", [near_duplicates.CELL, 20_000])
+def test_large_group_of_near_copies(spark, monkeypatch, cell):
+    """Variants of one text, of which many are near enough to few others only; with small cells a
+    bucket is dealt to a grid."""
+    monkeypatch.setattr(near_duplicates, "CELL", cell)
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(f"x{rnd.random()}" if rnd.random() < share else w for w in base) for share in (0.005, 0.015, 0.02, 0.03) for _ in range(90)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    want, near, below = brute_force(rows)
+    assert near > 1000 and below > 1000 and 10 < len(want) < 300
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(repr(tuple(r)) for r in got) == want
+
+
+def test_joining_inside_a_bucket():
+    rnd = np.random.default_rng(7)
+    for _ in range(50):
+        sets = [np.unique(rnd.integers(0, 30, rnd.integers(1, 25))).astype(np.int64) for _ in range(20)]
+        nodes = [bytes([k]) for k in range(20)]
+        parts = [bytes([100 + int(x)]) for x in rnd.integers(0, 12, 20)]
+        links = near_duplicates.joining(nodes, parts, np.zeros(20, int), sets, 60)
+
+        def components(pairs):
+            of = {n: p for n, p in zip(nodes, parts)}
+            for a, b in pairs:
+                x, y = of[a], of[b]
+                of = {n: (x if p == y else p) for n, p in of.items()}
+            return sorted(sorted(n for n in nodes if of[n] == p) for p in set(of.values()))
+
+        near = [(nodes[i], nodes[j]) for i in range(20) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))]
+        assert components(links) == components(near) and set(links) <= {(b, a) for a, b in near} | set(near)
+        assert len(links) < 20
