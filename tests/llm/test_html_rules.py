@@ -1,5 +1,9 @@
 """Class rules never take a page's article; recurrence does not depend on the host's size."""
 
+import collections
+import random
+import time
+
 import pytest
 
 from casefile.llm import html_template
@@ -40,3 +44,81 @@ def test_templates_of_small_and_large_hosts(spark):
     got = texts(spark, [*small, *large, *copies])
     assert all(got[k] == f"Own {k}" for k in range(4)) and all(got[100 + k] == f"Own {k}" for k in range(400))
     assert all(got[900 + k] == "Same page\nOwn 0" for k in range(5))
+
+
+STORY = "<article><h1>Story</h1><div class='social-history'><p>The whole story of the page.</p></div><p>End.</p></article>"
+
+
+def test_copies_and_mirrors_lose_nothing(spark):
+    rows = [(1, "http://a.example/1", STORY)] * 12
+    rows += [(100 + k, f"http://b.example/1?utm={k}", f"<head><link href=/1?utm={k}></head><nav>{k}</nav>{STORY}") for k in range(12)]
+    rows += [(200 + k, f"http://c.example/{k}", f"<p>Seen on {k}</p>{STORY.replace('End', 'End ' + str(k))}") for k in range(12)]
+    got = texts(spark, rows)
+    assert got[1] == got[105] == "Story\nThe whole story of the page.\nEnd."
+    assert got[205] == "Story\nThe whole story of the page.\nEnd 5."
+
+
+def test_recurring_teasers_go(spark):
+    teaser = "<article class=teaser><h2>Read this, too</h2></article>"
+    got = texts(spark, [(k, f"http://t.example/{k}", f"<article><h1>Title {k}</h1><p>{'word ' * 9}{k}</p></article>{teaser}") for k in range(15)])
+    assert all(v == f"Title {k}\n{'word ' * 9}{k}" for k, v in got.items())
+
+
+def counted(rows, least=html_template.PAGES, few=html_template.FEW):
+    """By brute force: each host's recurring subtrees, and each page's text without them."""
+    pages, seen, hosts = {}, collections.defaultdict(set), collections.defaultdict(set)
+    for i, url, source in rows:
+        page = html_template.Page(source)
+        kept = page.chosen()
+        segments = [x for x in page.segments if kept[x[1]]]
+        text, host = html_template.joined_blocks(segments), url.split("/")[2].lower()
+        pages[i] = page, segments, host
+        hosts[host].add(text)
+        for h in {h for h in page.candidates() if h is not None}:
+            seen[host, h].add(text)
+    out, changed = {}, 0
+    for i, (page, segments, host) in pages.items():
+        enough = min(least, max(few, -(-len(hosts[host]) // 2)))
+        hashes, left = page.candidates(), []
+        for x in segments:
+            n, gone = x[1], False
+            while n >= 0:
+                under = lambda m, n=n: m == n or (m > 0 and under(page.parent[m]))
+                size = sum(sum(map(len, t.split())) for _, m, t in segments if under(m))
+                gone |= hashes[n] is not None and len(seen[host, hashes[n]]) >= enough and not (page.article[n] and 2 * size > sum(sum(map(len, t.split())) for *_, t in segments))
+                n = page.parent[n]
+            if not gone:
+                left.append(x)
+        out[i] = html_template.joined_blocks(left)
+        changed += out[i] != html_template.joined_blocks(segments)
+    return out, changed
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(4)
+    blocks = [f"<div><p>Block {k}</p><ul><li>one<li>two {k}</ul></div>" for k in range(4)] + ["<section><h2>Same</h2></section>", "<table><tr><td>x<td>y</table>", "<p>Shared words</p>"]
+
+    def page(k):
+        inner = "".join(r.sample(blocks, 3))
+        own = "".join(f"<p>{' '.join(r.choice('abcdef') * 5 for _ in range(9))} {k}</p>" for _ in range(3))
+        wrap = r.choice(("<article>{}</article>", "<div class=page>{}</div>", "<main><section>{}</section></main>", "{}"))
+        return f"<body><nav><ul><li>Home</ul></nav>{r.choice(blocks)}{wrap.format(own + inner)}<footer>(c)</footer></body>"
+
+    rows = [(k, f"http://Host{k % 3}.example/{k}", page(k)) for k in range(75)] + [(100 + k, "http://tiny.example/", page(k)) for k in range(3)]
+    rows += [(200 + k, f"http://host1.example/{k}", rows[1][2]) for k in range(5)]
+    want, changed = counted(rows)
+    assert texts(spark, rows) == want and changed > 40
+
+
+def test_odd_pages_in_linear_time(spark):
+    rows = [(1, "http://o.example/1", "<div>" * 40_000 + "deep" + "</div>" * 40_000), (2, "http://o.example/2", "<p>text <a href=\"open> " * 20_000), (3, "http://o.example/3", "<" * 300_000), (4, "http://o.example/4", "<ul><li>" + "<span>" * 20_000 + "<li>x" * 20_000), (5, "http://o.example/5", "<a b='" * 60_001), (6, None, None), (6, None, None), (7, "http://o.example/7", "<p>" + "word " * 400_000)]
+    begin = time.time()
+    got = texts(spark, rows)
+    assert time.time() - begin < 60
+    assert got[1] == "deep" and got[3] == "<" * 300_000 and got[4].startswith("x") and got[6] == "" and got[7] == ("word " * 400_000).strip()
+    assert texts(spark, []) == {}
+
+
+def test_quotes_in_tags():
+    assert kept("<p title='a > b' class=\"x>y\">one</p><p>two <b a=\"open>three</b>") == "one two three"
+    assert kept("1 < 2 and <3 <b>x</b> <!-- <p>no</p> --> y <!doctype z> </ p>") == "1 < 2 and <3 x y"
