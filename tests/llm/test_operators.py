@@ -293,8 +293,8 @@ def test_page_rank_against_brute_force(spark):
 # 7
 
 
-@pytest.mark.parametrize("shard,block", [(16_384, 4_096), (100, 7)])
-def test_top_k(spark, shard, block):
+@pytest.mark.parametrize("shard", [16_384, 30])
+def test_top_k(spark, shard):
     r = np.random.default_rng(5)
     x = r.normal(size=(600, 8)) * 2
     x[100:200] = x[100]
@@ -302,7 +302,7 @@ def test_top_k(spark, shard, block):
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, shard int, dim int")
     v = balltree.integer_vectors(df)
     got = collections.defaultdict(list)
-    for row in balltree.top_k(v, v.filter("vec_id % 100 = 0"), 10, shard, block).orderBy("query_id", "rank").collect():
+    for row in balltree.top_k(v, v.filter("vec_id % 100 = 0"), 10, shard).orderBy("query_id", "rank").collect():
         got[row["query_id"]].append((row["rank"], row["vec_id"], row["score"]))
     y = np.floor(x * 1024).astype(np.int64)
     for q in range(0, 600, 100):
@@ -313,6 +313,36 @@ def test_top_k(spark, shard, block):
     assert balltree.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [16_384, 40])
+def test_top_k_of_repeated_ids_and_rows(spark, shard):
+    """Every row is a query of its own and a candidate of all others, whatever ids they share."""
+    r = np.random.default_rng(6)
+    x = r.integers(-3, 4, (300, 5))
+    ids = [int(i) for i in r.integers(0, 12, 300) * 50]
+    x[40:60], ids[40:50] = x[40], [100] * 10
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, v array<long>")
+    got = collections.Counter(map(tuple, balltree.top_k(df, df.filter("vec_id % 100 = 0"), 7, shard).collect()))
+    want = collections.Counter()
+    for q in range(300):
+        if ids[q] % 100 == 0:
+            s = x @ x[q]
+            best = sorted((-int(s[j]), ids[j]) for j in range(300) if j != q)[:7]
+            want.update((ids[q], k + 1, j, -n) for k, (n, j) in enumerate(best))
+    assert got == want
+
+
+def test_top_k_prunes_far_centres(spark, monkeypatch):
+    monkeypatch.setattr(balltree, "CENTRES", 8)
+    r = np.random.default_rng(8)
+    x = (r.normal(size=(2000, 6)) + r.normal(size=(5, 6))[r.integers(0, 5, 2000)] * 30).round().astype(np.int64)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, v array<long>")
+    got = balltree.top_k(df, df.filter("vec_id % 100 = 0"), 10, 50).orderBy("query_id", "rank").collect()
+    for q in range(0, 2000, 100):
+        s = x @ x[q]
+        want = sorted((-int(s[j]), j) for j in range(2000) if j != q)[:10]
+        assert [(g["vec_id"], g["score"]) for g in got if g["query_id"] == q] == [(j, -n) for n, j in want]
+
+
 # 8
 
 
