@@ -22,30 +22,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casefile.llm.common import pieces, written
+from casefile.llm.common import pieces, with_row, written
 
 BLOCK = 64
 #: A source has so many blocks at least, unless these would have under LEAST words.
 PARTS, LEAST = 16, 16
 SHARD_BLOCKS = 8_192
-#: Beyond so many output shards, shards grow instead of their number.
-MOST_SHARDS = 10_000
 MOST = 3
+#: Copies of a row that are dealt out together.
+COPIES = 100_000
 #: The prefix sum has so many bins of documents; beyond BIN_ROWS documents a bin, more bins.
 BINS, BIN_ROWS = 256, 20_000
-SIZES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+SIZES = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+SIZES_DDL = "row string, doc_id long, source string, size long"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the words of each whole text (null: 0)."""
+    """row, doc_id, source and size: the words of each whole text (null: 0). ``row`` tells a row from
+    all that differ in any column."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
                 n = [len(t.as_buffer().to_pybytes().split()) if t.is_valid and len(t.as_buffer() or b"") else 0 for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n, pa.int64())], schema=SIZES)
+                yield pa.RecordBatch.from_arrays([part.column("_row").cast(pa.string()), part.column("doc_id"), part.column("source"), pa.array(n, pa.int64())], schema=SIZES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, source string, size long")
+    return with_row(docs).select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, SIZES_DDL)
 
 
 def weight_of(rank: int) -> int:
@@ -110,26 +112,38 @@ def permuted(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndar
     return x.astype(np.int64)
 
 
-def draws(slots: dict[str | None, int], seed: int, shard_blocks: int = SHARD_BLOCKS) -> list[list[int]]:
-    """For each output shard its counts of the sources (in the order of ``slots``): multinomial
-    draws by the slots left; what a source no longer has is drawn anew from the others."""
-    left = np.array(list(slots.values()), np.int64)
-    shard_blocks = max(shard_blocks, -(-int(left.sum()) // MOST_SHARDS))
-    random = np.random.default_rng(seed)
-    out = []
-    while left.sum():
-        got, want = np.zeros(len(left), np.int64), min(shard_blocks, int(left.sum()))
+def drawn_counts(slots: np.ndarray, shard: int, shards: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many slots of each source an output shard takes, and how many the shards before it take.
+
+    Slots are dealt down a binary tree of shards: at each node the left half's are drawn, multinomially
+    by what the node has of each source (what a source does not have is drawn anew from the others),
+    by a seed of the node's own. So every shard's counts follow from its number alone, each shard has
+    ``size`` slots but for the last, and the totals are exact."""
+    have, before, low, high = slots.astype(np.int64), np.zeros(len(slots), np.int64), 0, shards
+    while high - low > 1:
+        middle = (low + high) // 2
+        random = np.random.default_rng([seed, low, high])
+        got, want = np.zeros(len(have), np.int64), size * (middle - low)
         while (short := want - int(got.sum())) > 0:
-            rest = left - got
-            got = np.minimum(got + random.multinomial(short, rest / rest.sum()), left)
-        out.append(got.tolist())
-        left -= got
-    return out
+            rest = have - got
+            got = np.minimum(got + random.multinomial(short, rest / rest.sum()), have)
+        if shard < middle:
+            have, high = got, middle
+        else:
+            have, before, low = have - got, before + got, middle
+    return have, before
+
+
+def draws(slots: dict[str | None, int], seed: int, shard_blocks: int = SHARD_BLOCKS) -> list[list[int]]:
+    """For each output shard its counts of the sources (in the order of ``slots``)."""
+    all_ = np.array(list(slots.values()), np.int64)
+    shards = -(-int(all_.sum()) // shard_blocks)
+    return [drawn_counts(all_, k, shards, shard_blocks, seed)[0].tolist() for k in range(shards)]
 
 
 def positions(sized: DataFrame, rows: int) -> DataFrame:
     """``sized`` with start: the words of the same source before the document (doc_id order; nulls
-    first; equal doc_ids by size). Bins of doc_ids are summed first, then documents within bins."""
+    first; equal doc_ids by size, then row). Bins of doc_ids are summed first, then documents within bins."""
     bins = max(1, min(max(BINS, -(-rows // BIN_ROWS)), rows // 16))
     bounds = sized.approxQuantile("doc_id", [k / bins for k in range(1, bins)], 1 / (8 * bins)) if bins > 1 else []
     spark = sized.sparkSession
@@ -141,14 +155,14 @@ def positions(sized: DataFrame, rows: int) -> DataFrame:
             ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(shared.value, ids, side="right"))], schema=schema)
 
-    binned = sized.mapInArrow(bin_, "doc_id long, source string, size long, bin long")
+    binned = sized.mapInArrow(bin_, SIZES_DDL + ", bin long")
     sums = binned.groupBy("source", "bin").agg(F.sum("size").alias("t"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("source", "bin", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bin").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bin").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = binned.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.alias("p").join(base.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.bin") == F.col("b.bin")))
-    return joined.select("p.doc_id", "p.source", "p.size", (F.col("b.base") + F.col("p.within")).alias("start"))
+    return joined.select("p.row", "p.doc_id", "p.source", "p.size", (F.col("b.base") + F.col("p.within")).alias("start"))
 
 
 class Plan:
@@ -191,63 +205,68 @@ class Plan:
 
     def drawn(self) -> DataFrame:
         """shard, slot, source, epoch, block and most (words): what each output shard reads, in its
-        order."""
-        spark = self.sized.sparkSession
+        order. A task draws its own shards' counts."""
         order = list(self.slots)
-        counts = draws(self.slots, self.seed)
-        first = np.cumsum([[0] * len(order), *counts], axis=0)
-        table = [(k, i, order[i], int(first[k][i]), c) for k, row in enumerate(counts) for i, c in enumerate(row) if c]
-        blocks, seed, step, slots, last = self.blocks, self.seed, self.step, self.slots, self.cut
+        all_ = np.array([self.slots[s] for s in order], np.int64)
+        shards = max(1, -(-int(all_.sum()) // SHARD_BLOCKS))
+        blocks, seed, step, last = self.blocks, self.seed, self.step, self.cut
         schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("source", pa.string()), ("epoch", pa.int64()), ("block", pa.int64()), ("most", pa.int64())])
 
         def read(batches):
             for batch in batches:
-                for shard, _, source, begin, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    for k in range(begin, begin + n, 1 << 16):
-                        j = np.arange(k, min(k + (1 << 16), begin + n))
-                        epoch, at = np.divmod(j, blocks[source])
-                        block = np.empty(len(j), np.int64)
-                        for e in np.unique(epoch):
-                            block[epoch == e] = permuted(at[epoch == e], blocks[source], key_of(seed, source, int(e)))
-                        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(j), pa.int64()), pa.array(j), pa.array([source] * len(j), pa.string()), pa.array(epoch), pa.array(block), pa.array(np.where(j == slots[source] - 1, last[source], step[source]))], schema=schema)
-
-        small = spark.createDataFrame(table, "shard long, nth int, source string, begin long, n long").repartition(max(1, min(len(counts), 4096)), "shard")
-        return small.mapInArrow(read, "shard long, slot long, source string, epoch long, block long, most long")
+                for shard in batch.column("shard").to_pylist():
+                    counts, before = drawn_counts(all_, shard, shards, SHARD_BLOCKS, seed)
+                    for i in np.flatnonzero(counts).tolist():
+                        source, begin, end = order[i], int(before[i]), int(before[i] + counts[i])
+                        for k in range(begin, end, 1 << 16):
+                            j = np.arange(k, min(k + (1 << 16), end))
+                            epoch, at = np.divmod(j, blocks[source])
+                            block = np.empty(len(j), np.int64)
+                            for e in np.unique(epoch):
+                                block[epoch == e] = permuted(at[epoch == e], blocks[source], key_of(seed, source, int(e)))
+                            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(j), pa.int64()), pa.array(j), pa.array([source] * len(j), pa.string()), pa.array(epoch), pa.array(block), pa.array(np.where(j == all_[i] - 1, last[source], step[source]))], schema=schema)
+
+        numbers = self.sized.sparkSession.range(0, shards, 1, min(shards, 4096)).select(F.col("id").alias("shard"))
+        return numbers.mapInArrow(read, "shard long, slot long, source string, epoch long, block long, most long")
 
     def packed(self) -> DataFrame:
-        """source, block, doc_id, size, at, first and n: the words [first, first + n) of a document,
+        """source, block, row, doc_id, size, at, first and n: the words [first, first + n) of a document,
         which a block holds from its word ``at`` on."""
         placed = _with_targets(positions(self.sized, self.rows).filter("size > 0"), self)
         b, start, size = F.col("step"), F.col("start"), F.col("size")
         parts = placed.withColumn("block", F.explode(F.sequence(F.expr("start div step"), F.expr("(start + size - 1) div step"))))
         begin = F.greatest(F.col("block") * b, start)
         end = F.least((F.col("block") + 1) * b, start + size)
-        return parts.select("source", "block", "doc_id", "size", (begin - F.col("block") * b).alias("at"), (begin - start).alias("first"), (end - begin).alias("n"))
+        return parts.select("source", "block", "row", "doc_id", "size", (begin - F.col("block") * b).alias("at"), (begin - start).alias("first"), (end - begin).alias("n"))
 
     def mixed(self) -> DataFrame:
-        """The mixture: shard, slot, source, epoch, doc_id, size, first, n."""
+        """The mixture: shard, slot, source, epoch, row, doc_id, size, first, n."""
         # Slots come from few rows, so Spark would take them for few and broadcast them.
         a, b = self.drawn().hint("merge").alias("a"), self.packed().hint("merge").alias("b")
         on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
         n = F.least("b.n", F.col("a.most") - F.col("b.at")).alias("n")
-        return a.join(b, on).filter("b.at < a.most").select("a.shard", "a.slot", "a.source", "a.epoch", "b.doc_id", "b.size", "b.first", n)
+        return a.join(b, on).filter("b.at < a.most").select("a.shard", "a.slot", "a.source", "a.epoch", "b.row", "b.doc_id", "b.size", "b.first", n)
 
 
 def mix_digest(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document.
 
-    ``docs`` has doc_id, text and source; other columns are ignored. A null source is a source of
-    its own, the last. Documents without words take no part in blocks and have taken 0. doc_ids tell
-    documents apart: rows with an equal doc_id, source and size share what they take evenly. An
-    empty table, or one without words, takes nothing.
+    ``docs`` has doc_id, text and source; other columns only tell rows apart. A null source is a source
+    of its own, the last. Documents without words take no part in blocks and have taken 0. Null or
+    shared doc_ids are documents of their own; rows equal in all columns share what they take evenly,
+    the rest going to any of them. Texts are counted whole. An empty table, or one without words, takes nothing.
     """
     sized = written(sizes(docs), "sizes")
     plan = Plan(sized, seed, block)
-    taken = plan.mixed().groupBy("source", "doc_id", "size").agg(F.sum("n").alias("taken")).alias("t")
-    same = sized.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").alias("c")
-    keys = lambda x, y: F.col(f"{x}.source").eqNullSafe(F.col(f"{y}.source")) & F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.size") == F.col(f"{y}.size"))
-    out = sized.alias("s").join(taken, keys("s", "t"), "left").select("s.*", F.coalesce("t.taken", F.lit(0)).alias("taken"))
-    out = out.alias("o").join(same, keys("o", "c"), "left").select("o.doc_id", "o.source", "o.size", F.expr("taken div coalesce(copies, 1)").alias("taken"))
+    taken = plan.mixed().groupBy("row").agg(F.sum("n").alias("taken"))
+    alike = sized.groupBy("row").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("doc_id", "source", "size")])
+    shares = written(alike.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0))), "shares")
+    # A row that occurs very often is dealt out in stretches of its copies.
+    chunks = F.expr(f"explode(sequence(0L, (copies - 1) div {COPIES}))").alias("chunk")
+    often = shares.filter(f"copies > {COPIES}").select("*", chunks).repartition("row", "chunk")
+    each = shares.filter(f"copies <= {COPIES}").withColumn("chunk", F.lit(0).cast("long")).unionByName(often)
+    each = each.withColumn("k", F.expr(f"explode(sequence(chunk * {COPIES}, least(copies, (chunk + 1) * {COPIES}) - 1))"))
+    out = each.select("doc_id", "source", "size", F.expr("taken div copies + int(k < taken % copies)").alias("taken"))
     return _with_targets(out, plan).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -261,11 +280,12 @@ def mix_texts(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """The mixture as documents: ``docs`` (doc_id, text, source, n_chars and more) with one row for
     each document and epoch, whose text is what the epoch takes of it, in the document's order.
     A whole text stays as it is; of a part the words are joined by one space. Documents without
-    words have nothing to take and give no row. doc_ids tell documents apart: of rows that share one,
-    each is cut by the words taken of all."""
-    sized = written(sizes(docs), "sizes")
-    taken = Plan(sized, seed, block).mixed().groupBy("source", "doc_id", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"))
-    joined = docs.alias("d").join(taken.select(F.col("doc_id").alias("_of"), F.col("size").alias("_size"), F.col("parts").alias("_parts")), F.col("d.doc_id").eqNullSafe(F.col("_of")))
+    words have nothing to take and give no row. Rows equal in all columns are one document; null or
+    shared doc_ids are documents of their own."""
+    sized = written(sizes(docs).dropDuplicates(["row"]), "sizes")
+    taken = Plan(sized, seed, block).mixed().groupBy("row", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"))
+    keyed = with_row(docs).alias("d")
+    joined = keyed.join(taken.select(F.col("row").alias("_of"), F.col("size").alias("_size"), F.col("parts").alias("_parts")), F.col("d._row") == F.col("_of"))
     fields = docs.columns
     text, chars = fields.index("text"), fields.index("n_chars") if "n_chars" in fields else None
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casefile.llm import simhash
-from casefile.llm.common import pieces, words_of, written
+from casefile.llm.common import pieces, with_row, words_of, written
 from casefile.llm.components import connected_components
 from casefile.llm.simhash import LOWER, SEED
 
@@ -72,12 +72,6 @@ def fingerprint_of(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * count > len(hashes)).tobytes()
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with _row, a key of the whole row; only equal rows share one."""
-    parts = [F.coalesce(F.md5("text"), F.lit("-"))] + [F.coalesce(F.concat(F.lit("+"), F.md5(F.col(c).cast("string"))), F.lit("-")) for c in docs.columns if c != "text"]
-    return docs.withColumn("_row", F.md5(F.concat_ws("|", *parts)))
-
-
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         for batch in batches:
