@@ -16,7 +16,13 @@ def one(value: Column) -> Column:
 
 
 def hits(lowered: Column, phrases: list[str]) -> Column:
-    return F.size(t.phrases_found(lowered, phrases)).cast("double")
+    """How many phrases occur: a sum of plain comparisons, which stays in generated code."""
+    return reduce(lambda a, b: a + b, [F.contains(lowered, F.lit(p.lower())).cast("int") for p in phrases], F.lit(0)).cast("double")
+
+
+def pattern_hits(lowered: Column, patterns: list[str]) -> Column:
+    """How many patterns occur; literal patterns are compiled once in a task."""
+    return reduce(lambda a, b: a + b, [lowered.rlike(p).cast("int") for p in patterns], F.lit(0)).cast("double")
 
 
 def per(words: Column, n: int) -> Column:
@@ -27,23 +33,23 @@ def per(words: Column, n: int) -> Column:
 def with_scores(df: DataFrame, text: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
     """SCR1-SCR5: darvo, gaslighting, manipulation, deception, hedging, certainty and emotional.
 
-    Adds one column each, in [0, 1]; a null text scores like an empty one. Lower-casing and word
-    counts are computed once, in a projection below the scores.
+    Adds one column each, in [0, 1]; a null text scores like an empty one. Lower-casing and counts
+    of words are computed once, in a projection below the scores; the scores stay in generated code.
     """
     x = lexicon or Lexicon()
-    base = df.withColumns({"_low": F.lower(F.coalesce(F.col(text), F.lit(""))), "_words": t.word_count(text).cast("double")})
+    base = df.withColumns({"_low": F.lower(F.coalesce(F.col(text), F.lit(""))), "_words": t.word_count(text).cast("double"), "_caps": t.caps_count(text)})
     low, words = F.col("_low"), F.col("_words")
     base = base.withColumns({
         "darvo": one(hits(low, x.darvo) / F.greatest(words, F.lit(1.0)) * 100 / 5),
-        "gaslighting": one((hits(low, x.gaslighting) + F.size(t.patterns_found(low, x.gaslighting_patterns))) / 5),
+        "gaslighting": one((hits(low, x.gaslighting) + pattern_hits(low, x.gaslighting_patterns)) / 5),
     })
     return base.withColumns({
         "manipulation": one(F.col("darvo") * 0.4 + F.col("gaslighting") * 0.4 + F.least(F.lit(0.2), hits(low, x.manipulation) * 0.05)),
         "deception": one((hits(low, x.qualifiers) + hits(low, x.distancing) * 0.5 + hits(low, x.formal) * 0.3) / per(words, 50)),
         "hedging": one(hits(low, x.hedges) / per(words, 20)),
         "certainty": one(hits(low, x.certainty) / per(words, 20)),
-        "emotional": one((t.exclamations(text) * 0.1 + t.caps_count(text) * 0.1 + hits(low, x.emotions) * 0.2) / per(words, 50)),
-    }).drop("_low", "_words")
+        "emotional": one((t.exclamations(text) * 0.1 + F.col("_caps") * 0.1 + hits(low, x.emotions) * 0.2) / per(words, 50)),
+    }).drop("_low", "_words", "_caps")
 
 
 def probabilities(darvo: Column, gaslighting: Column) -> Column:
@@ -58,6 +64,12 @@ def first_maximum(probs: Column) -> Column:
     return F.get(F.filter(probs, lambda s: s["p"] == best), F.lit(0))
 
 
+def ranked(probs: Column) -> Column:
+    """SRT4: probabilities in falling order; equal ones stay in theirs."""
+    at = F.transform(probs, lambda s, i: F.struct((-s["p"]).alias("down"), i.alias("i"), s["cls"].alias("cls"), s["p"].alias("p")))
+    return F.transform(F.array_sort(at), lambda s: F.struct(s["cls"], s["p"]))
+
+
 def behavioral_confidence(d: Column, g: Column, m: Column, embedded: Column) -> Column:
     """SCR8, with JOIN9's boost where embeddings exist."""
     base = 0.5 + F.abs((d + g + m) / 3 - 0.5) * 2 * 0.3

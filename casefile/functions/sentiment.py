@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casefile.functions import text as t
 
-# Fixed values of the published rule-based model: negation, boosters, caps and normalisation.
+# A simplified rule-based model: some negations, boosters and dampers, and normalisation (fixed values).
 NEGATIONS = ["not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "cannot", "can't", "don't", "doesn't", "didn't", "isn't", "wasn't", "won't", "wouldn't", "shouldn't", "couldn't", "without"]
 BOOSTERS = ["very", "really", "extremely", "absolutely", "completely", "so", "too", "totally"]
 DAMPERS = ["slightly", "somewhat", "barely", "hardly", "almost", "kinda"]
@@ -19,9 +19,10 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, text: str = "text", broadcast
     and turned by a negation among the three before; compound = s / sqrt(s^2 + 15). Texts without a
     known word are neutral (0, 0, 1, 0). The lexicon is broadcast if it has few rows."""
     words = F.transform(t.tokens(F.lower(text)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    w = docs.select("doc_id", words.alias("w")).select("doc_id", "w", F.posexplode("w").alias("i", "word"))
-    before = lambda n: F.when(F.col("i") >= n, F.get("w", F.col("i") - n))
-    w = w.select("doc_id", "word", before(1).alias("b1"), before(2).alias("b2"), before(3).alias("b3"))
+    # Each word takes the three before it along, so that no row carries the whole text.
+    before = lambda i, n: F.when(i >= n, F.get("w", i - n)).alias(f"b{n}")
+    near = F.transform("w", lambda x, i: F.struct(x.alias("word"), *[before(i, n) for n in (1, 2, 3)]))
+    w = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(near).alias("x")).select("doc_id", "x.*")
     small = lexicon.count() <= broadcast_rows
     hit = w.join(F.broadcast(lexicon) if small else lexicon, "word", "left")
     sign = F.signum("valence")

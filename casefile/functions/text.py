@@ -1,4 +1,5 @@
-"""Text expressions: all are native column functions, so they stay inside generated code.
+"""Text expressions: all are native column functions. Those that look into arrays (F.filter,
+F.transform) are evaluated beside generated code; scores use none of these.
 
 Regular expressions use Unicode classes by default ((?U), (?u)), as texts are multilingual.
 """
@@ -38,7 +39,7 @@ def tokens(text: Column | str, spaces: str = SPACES) -> Column:
 
 def word_count(text: Column | str) -> Column:
     """STR3: number of words."""
-    return F.size(tokens(text))
+    return F.regexp_count(F.coalesce(col(text), F.lit("")), F.lit(r"(?U)\S+"))
 
 
 def caps_count(text: Column | str) -> Column:
@@ -59,16 +60,19 @@ def sentences(text: Column | str) -> Column:
 
 
 def match_spans(text: Column, pattern: str) -> Column:
-    """STR5: matches of a pattern as structs of start, end (code points) and text. A match begins
-    after all gaps and matches before it."""
+    """STR5: matches of a pattern as structs of start, end (code points) and text, for texts of some
+    hundred matches; ``entities.spans`` gives the same as rows, however many they are."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("size"), m.alias("text")))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
-    def span(m: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, g: a + F.length(g))
-        return F.struct(before.alias("start"), (before + F.length(m)).alias("end"), m.alias("text"))
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        span = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["text"].alias("text"))
+        return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.transform(found, span)
+    return F.aggregate(sizes, first, add, lambda acc: acc["out"])
 
 
 def luhn(number: Column) -> Column:

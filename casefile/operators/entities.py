@@ -37,23 +37,32 @@ REDACTED = {"PII_PHONE": "[PHONE REDACTED]", "PII_EMAIL": "[EMAIL REDACTED]", "P
 UNICODE = "(?iu)"
 
 
-def _spans(text: Column, label: str, patterns: list[str], flags: str) -> Column:
-    def named(pattern: str, k: int) -> Column:
-        return F.transform(t.match_spans(text, flags + pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(label).alias("label"), m["text"].alias("text"), F.lit(k).alias("pattern")))
+def spans(docs: DataFrame, text: str, groups: dict[str, list[str]], flags: str = "") -> DataFrame:
+    """doc_id, label, pattern (its number), nth, start, end and text of every match.
 
-    return F.flatten(F.array(*[named(p, k) for k, p in enumerate(patterns)]))
+    A match begins after all gaps and matches before it: a running sum over the matches of one text
+    and pattern, so that the work stays in proportion to them. Each label's patterns run only over
+    texts where one of them occurs. Only lengths and matches are shuffled.
+    """
+    c, parts = F.col(text), []
+    for label, patterns in groups.items():
+        any_ = F.regexp_like(c, F.lit(flags + "(?:" + "|".join(patterns) + ")"))
+        for k, p in enumerate(patterns):
+            found = F.regexp_extract_all(c, F.lit(flags + p), F.lit(0))
+            gaps = F.slice(F.transform(F.split(c, flags + p, -1), F.length), 1, F.size(found))
+            match = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("text")))
+            parts.append(F.when(any_, F.struct(F.lit(label).alias("label"), F.lit(k).alias("pattern"), match.alias("matches"))))
+    rows = docs.filter(c.isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("_row"), F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("m"))
+    one = rows.select("doc_id", "_row", "m.label", "m.pattern", F.posexplode("m.matches").alias("nth", "x")).select("doc_id", "_row", "label", "pattern", "nth", "x.*")
+    before = Window.partitionBy("_row", "label", "pattern").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.length("text")).over(before).cast("int")
+    return one.withColumn("end", end).select("doc_id", "label", "pattern", "nth", (F.col("end") - F.length("text")).alias("start"), "end", "text")
 
 
 def pattern_mentions(docs: DataFrame, text: str = "text", patterns: dict[str, list[str]] | None = None, flags: str = UNICODE) -> DataFrame:
-    """STR5: mentions(doc_id, start, end, label, text, pattern, confidence, source). Each label's
-    patterns run only over texts where one of them occurs."""
-    c, parts = F.col(text), []
-    for label, ps in (patterns or PATTERNS).items():
-        any_ = flags + "(?:" + "|".join(ps) + ")"
-        parts.append(F.when(F.regexp_like(c, F.lit(any_)), _spans(c, label, ps, flags)))
-    none = F.array().cast("array<struct<start:int,end:int,label:string,text:string,pattern:int>>")
-    found = docs.filter(c.isNotNull()).select("doc_id", F.explode(F.flatten(F.array(*[F.coalesce(p, none) for p in parts]))).alias("m"))
-    return found.select("doc_id", "m.*", F.lit(0.95).alias("confidence"), F.lit("pattern").alias("source"))
+    """STR5: mentions(doc_id, start, end, label, text, pattern, confidence, source)."""
+    found = spans(docs, text, patterns or PATTERNS, flags)
+    return found.select("doc_id", "start", "end", "label", "text", "pattern", F.lit(0.95).alias("confidence"), F.lit("pattern").alias("source"))
 
 
 def personal_mentions(docs: DataFrame, text: str = "text", flags: str = UNICODE) -> DataFrame:
@@ -130,17 +139,22 @@ def extraction_confidence(mentions: DataFrame) -> DataFrame:
 
 def sentence_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Sentences with offsets: runs of other characters than . ! ? with the signs that end them."""
-    return docs.select("doc_id", F.posexplode(t.match_spans(F.col(text), r"[^.!?]+[.!?]*")).alias("sentence", "s")).select("doc_id", "sentence", "s.start", "s.end", F.col("s.text").alias("sentence_text"))
+    found = spans(docs, text, {"": [r"[^.!?]+[.!?]*"]})
+    return found.select("doc_id", F.col("nth").alias("sentence"), "start", "end", F.col("text").alias("sentence_text"))
 
 
 def relations(docs: DataFrame, mentions: DataFrame, text: str = "text", rules: list | None = None) -> DataFrame:
-    """JOIN5: pairs of mentions in one sentence whose labels and verb a rule names. Mentions are put
-    into their sentence first (equal doc_id, place inside), then paired by sentence."""
+    """JOIN5: pairs of mentions in one sentence whose labels and verb a rule names. Each mention gets
+    the last sentence that begins before it, by a window over the places of a document; then mentions
+    are paired by sentence. The pairs of a sentence are the result itself, so a text without full
+    stops gives as many as the rules name."""
     spark = docs.sparkSession
     table = spark.createDataFrame([(k, a, v, b) for k, (a, vs, b) in enumerate(rules or RELATIONS) for v in vs], "rule int, src_label string, verb string, tgt_label string")
-    s = sentence_spans(docs, text)
-    m = mentions.select("doc_id", F.col("start").alias("m_start"), F.col("end").alias("m_end"), "label", F.col("text").alias("m_text"))
-    inside = s.join(m, "doc_id").filter("m_start >= start and m_end <= end")
+    s = sentence_spans(docs, text).select("doc_id", F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct("sentence", "end", "sentence_text").alias("s"))
+    m = mentions.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("kind"), F.struct(F.col("start").alias("m_start"), F.col("end").alias("m_end"), "label", F.col("text").alias("m_text")).alias("m"))
+    so_far = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    placed = s.unionByName(m, allowMissingColumns=True).withColumn("s", F.last("s", ignorenulls=True).over(so_far))
+    inside = placed.filter("kind = 1 and m.m_end <= s.end").select("doc_id", "s.sentence", "s.sentence_text", "m.*")
     a = inside.select("doc_id", "sentence", "sentence_text", F.struct("m_start", "m_end", "label", "m_text").alias("src"), F.col("label").alias("src_label"))
     b = inside.select("doc_id", "sentence", F.struct("m_start", "m_end", "label", "m_text").alias("tgt"), F.col("label").alias("tgt_label"))
     ruled = a.join(F.broadcast(table), "src_label").filter(F.contains(F.lower("sentence_text"), F.col("verb")))

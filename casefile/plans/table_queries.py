@@ -11,6 +11,7 @@ from casefile.functions import text as t
 from casefile.operators import custody as cu
 from casefile.operators import email as em
 from casefile.operators import media, relational, telemetry
+from casefile.plans import text_queries
 from casefile.plans.registry import _lit, cases, custody, evidence, log, query, read, results, sql
 from casefile.session import scratch, ship
 from casefile.sources import files, sinks
@@ -362,6 +363,12 @@ def noise(spark, d):
     return media.noise_inconsistency(x).withColumn("noise", R("noise"))
 
 
+@query("scr22_image_risk", """SELECT l_returnflag, CASE (l_discount::DOUBLE * 3 > 0.15::DOUBLE)::INT + (l_tax::DOUBLE * 5 > 0.2::DOUBLE)::INT + (l_linenumber = 1)::INT WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS risk, count(*) AS n FROM lineitem GROUP BY ALL""")
+def image_risks(spark, d):
+    risk = score.image_risk(F.col("l_discount").cast("double") * 3, F.col("l_tax").cast("double") * 5, F.col("l_linenumber") == 1)
+    return read(spark, d, "lineitem").groupBy("l_returnflag", risk.alias("risk")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("scr19_22_file_risks", """SELECT l_returnflag, risk, macro, image, count(*) AS n FROM (SELECT l_returnflag,
  CASE WHEN made > changed OR (l_quantity > 50)::INT + (l_linenumber > 5)::INT + (macro IN ('medium', 'high'))::INT >= 3 THEN 'high' WHEN (l_quantity > 50)::INT + (l_linenumber > 5)::INT + (macro IN ('medium', 'high'))::INT >= 1 THEN 'medium' ELSE 'low' END AS risk, macro,
  CASE (l_discount > 0.05)::INT + (l_tax > 0.04)::INT + (l_linenumber = 1)::INT WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS image
@@ -370,8 +377,7 @@ def file_risks(spark, d):
     x = read(spark, d, "lineitem")
     macro = score.macro_risk(F.col("l_partkey") % 2, F.lit(0), F.col("l_suppkey") % 6, F.greatest(F.lit(0), F.col("l_linenumber") - 6))
     found = score.tamper_warnings({"created": F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), "modified": F.lit("1999-01-01 00:00:00"), "revisions": F.col("l_quantity"), "hidden": F.col("l_linenumber") * 2, "structure": F.lit(False), "author": F.lit("a"), "creator": F.lit(None).cast("string"), "has_metadata": F.lit(True), "macro_risk": macro})
-    image = score.image_risk(F.col("l_discount") + 0.1, F.col("l_tax") + 0.16, F.col("l_linenumber") == 1)
-    y = x.select("l_returnflag", score.tamper_risk(found).alias("risk"), macro.alias("macro"), score.risk_of(score.warnings((F.col("l_discount") > 0.05, "e"), (F.col("l_tax") > 0.04, "n"), (F.col("l_linenumber") == 1, "d")), 2).alias("image"), image.alias("_"))
+    y = x.select("l_returnflag", score.tamper_risk(found).alias("risk"), macro.alias("macro"), score.risk_of(score.warnings((F.col("l_discount") > 0.05, "e"), (F.col("l_tax") > 0.04, "n"), (F.col("l_linenumber") == 1, "d")), 2).alias("image"))
     return y.groupBy("l_returnflag", "risk", "macro", "image").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -452,6 +458,26 @@ def reports(spark, d):
     return sinks.case_reports(cases(spark, d).drop("status"), e).select("case_id", F.md5("report").alias("digest"))
 
 
+@query("snk3_custody_export", sql("custody", "SELECT evidence_id % 20 AS evidence_id, count(*) AS n, sum(id)::BIGINT AS ids, min(action) AS first, md5(string_agg(output_hash, '' ORDER BY id)) AS hashes FROM custody GROUP BY 1"))
+def custody_export(spark, d):
+    """Written as JSON and as CSV by evidence, and read back."""
+    x = custody(spark, d).withColumn("evidence_id", F.col("evidence_id") % 20)
+    at = f"{scratch(spark)}/custody-{uuid.uuid4().hex}"
+    sinks.export_custody(x, f"{at}/json")
+    sinks.export_custody(x, f"{at}/csv", "csv")
+    back = spark.read.schema("id long, action string, evidence_id long").json(f"{at}/json").join(spark.read.option("header", True).csv(f"{at}/csv").select(F.col("id").cast("long").alias("id"), "output_hash"), "id")
+    return back.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.min("action").alias("first"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "output_hash"))), lambda s: s["output_hash"]), "")).alias("hashes"))
+
+
+@query("snk5_result_file", sql("texts", text_queries.FUSED + " SELECT 'd' || doc_id || '.txt' AS file, status, fused_class AS class, round(fused_score, 6) AS score FROM _f"))
+def result_file(spark, d):
+    """Results written as JSON lines and read back."""
+    done = text_queries.behavior(score.with_scores(text_queries.texts(spark, d)))
+    at = f"{scratch(spark)}/results-{uuid.uuid4().hex}"
+    sinks.write_results(done.select(F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("file"), "status", F.col("fused_class").alias("class"), R("fused_score").alias("score")), at)
+    return spark.read.schema("file string, status string, class string, score double").json(at)
+
+
 @query("snk6_stage_events", sql("evidence", "SELECT 'stage_gate' AS action, 'evidence' AS resource_type, evidence_id::VARCHAR AS resource_id, '{\"status\":\"' || status || '\"}' AS new_value FROM evidence"))
 def stage_events(spark, d):
     return sinks.stage_events(evidence(spark, d), "gate", F.current_timestamp()).select("action", "resource_type", "resource_id", "new_value")
@@ -460,14 +486,21 @@ def stage_events(spark, d):
 FOLD = """_o AS (SELECT user_id, id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM log)"""
 
 
-@query("stm2_accepted_limit")
+ACCEPTED = """WITH RECURSIVE o AS (SELECT user_id, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, id, t, n, [t] AS held, true AS allowed FROM o WHERE n = 1 UNION ALL
+ SELECT o.user_id, o.id, o.t, o.n, CASE WHEN len(list_filter(r.held, lambda x: x > o.t - 86400000000)) < 3 THEN list_append(list_filter(r.held, lambda x: x > o.t - 86400000000), o.t) ELSE list_filter(r.held, lambda x: x > o.t - 86400000000) END, len(list_filter(r.held, lambda x: x > o.t - 86400000000)) < 3 FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id::VARCHAR AS key, id, allowed, greatest(0, 3 - len(held))::INTEGER AS remaining FROM r"""
+WINDOWED = """WITH RECURSIVE o AS (SELECT user_id, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, id, t, n, t AS b, 1 AS c FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.id, o.t, o.n, CASE WHEN o.t >= r.b + 86400000000 THEN o.t ELSE r.b END, CASE WHEN o.t >= r.b + 86400000000 THEN 1 ELSE r.c + 1 END FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id::VARCHAR AS key, id, c <= 3 AS allowed, greatest(0, 3 - c)::INTEGER AS remaining FROM r"""
+
+
+@query("stm2_accepted_limit", ACCEPTED)
 def accepted(spark, d):
     return state.limited_batch(log(spark, d), "user_id", 86_400, 3)
 
 
-@query("stm3_fixed_window", """WITH RECURSIVE o AS (SELECT user_id, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-r AS (SELECT user_id, id, t, n, t AS b, 1 AS c FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.id, o.t, o.n, CASE WHEN o.t >= r.b + 86400000000 THEN o.t ELSE r.b END, CASE WHEN o.t >= r.b + 86400000000 THEN 1 ELSE r.c + 1 END FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
-SELECT user_id::VARCHAR AS key, id, c <= 3 AS allowed, greatest(0, 3 - c)::INTEGER AS remaining FROM r""")
+@query("stm3_fixed_window", WINDOWED)
 def fixed(spark, d):
     return state.limited_batch(log(spark, d), "user_id", 86_400, 3, fixed=True)
 
@@ -486,13 +519,27 @@ def _run(out):
     return spark.read.schema(out.schema).parquet(f"{at}/rows")
 
 
-@query("stm1_stream_first_by_content", "SELECT count(DISTINCT props) AS n FROM events")
+def _run_complete(out):
+    """A stream of aggregates run to the end of what is there; each batch replaces the rows before."""
+    spark = out.sparkSession
+    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{at}/rows")
+    out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/rows")
+
+
+@query("stm1_stream_first_by_content", "SELECT DISTINCT sha256(props) AS sha256 FROM events")
 def stream_first(spark, d):
     s = _stream(spark, d).withColumn("sha256", F.sha2("props", 256)).select("event_id", "ts", "sha256")
-    return _run(state.first_by_content(s, "3650 days")).agg(F.count(F.lit(1)).alias("n"))
+    return _run(state.first_by_content(s, "3650 days")).select("sha256")
+
 
+@query("stm3_stream_fixed_window", WINDOWED)
+def stream_window(spark, d):
+    return _run(state.limited(_stream(spark, d).withColumn("id", F.col("event_id")), "user_id", 86_400, 3, fixed=True))
 
-@query("stm2_stream_accepted_limit")
+
+@query("stm2_stream_accepted_limit", ACCEPTED)
 def stream_limit(spark, d):
     return _run(state.limited(_stream(spark, d).withColumn("id", F.col("event_id")), "user_id", 86_400, 3))
 
@@ -506,23 +553,42 @@ def stream_custody(spark, d):
     return _run(state.custody_breaks(chain)).groupBy(F.col("evidence_id").cast("long").alias("evidence_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stm4_stream_scores", sql("texts", "SELECT count(*) AS n FROM documents"))
+@query("stm4_stream_scores", "WITH texts AS (SELECT doc_id, text FROM documents)," + text_queries.SCORED + " SELECT doc_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in text_queries.SCORES) + " FROM _s")
 def stream_scores(spark, d):
     """Arriving documents scored, each batch appended to a table."""
     at = f"{scratch(ship(spark))}/stream-{uuid.uuid4().hex}"
     docs = ship(spark).readStream.schema(read(spark, d, "documents").schema).parquet(f"{d}/documents.parque[t]")
     state.score_arrivals(docs, lambda df, _: df.drop("text").write.mode("append").parquet(f"{at}/rows"), f"{at}/state").awaitTermination()
-    return spark.read.parquet(f"{at}/rows").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{at}/rows").select("doc_id", *[R(c).alias(c) for c in text_queries.SCORES])
+
+
+COUNTERS = "SELECT time_bucket(INTERVAL 1 day, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL"
+PROGRESS = "SELECT user_id AS evidence_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS stage, arg_max(value, struct_pack(a := ts, b := event_id)) AS progress FROM events GROUP BY user_id"
+
+
+def _counters(events):
+    return state.stage_counters(events, "1 day").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", R("mean_value").alias("mean_value"))
 
 
-@query("stm5_stage_counters", "SELECT time_bucket(INTERVAL 1 day, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def _progress(events):
+    return state.job_progress(events.select(F.col("user_id").alias("evidence_id"), F.col("event_type").alias("stage"), F.col("value").alias("progress"), "ts", F.col("event_id").alias("id")))
+
+
+@query("stm5_stage_counters", COUNTERS)
 def stage_counters(spark, d):
-    """The batch form of the counters; as a stream they take the same plan."""
-    x = state.stage_counters(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 day")
-    return x.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", R("mean_value").alias("mean_value"))
+    return _counters(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
 
+@query("stm5_stream_stage_counters", COUNTERS)
+def stream_counters(spark, d):
+    return _run_complete(_counters(_stream(spark, d)))
 
-@query("stm7_job_progress", "SELECT user_id AS evidence_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS stage, arg_max(value, struct_pack(a := ts, b := event_id)) AS progress FROM events GROUP BY user_id")
+
+@query("stm7_job_progress", PROGRESS)
 def job_progress(spark, d):
-    x = read(spark, d, "events").select(F.col("user_id").alias("evidence_id"), F.col("event_type").alias("stage"), F.col("value").alias("progress"), "ts", F.col("event_id").alias("id"))
-    return state.job_progress(x)
+    return _progress(read(spark, d, "events"))
+
+
+@query("stm7_stream_job_progress", PROGRESS)
+def stream_progress(spark, d):
+    return _run_complete(_progress(_stream(spark, d)))

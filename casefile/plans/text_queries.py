@@ -8,8 +8,8 @@ from casefile.functions import ingest, score
 from casefile.functions import lexicon as lx
 from casefile.functions import sentiment as sent
 from casefile.functions import text as t
-from casefile.operators import entities, fusion
-from casefile.plans.registry import _lit, evidence, phrases, query, read, results, sql, texts
+from casefile.operators import analysis, entities, fusion, relational
+from casefile.plans.registry import TABLES, _lit, evidence, phrases, query, read, results, sql, texts
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -37,13 +37,8 @@ def text_scores(spark, d):
 
 
 def behavior(df):
-    """SCR7-SCR10, SCR12, SCR24, SCR25 and FIL7's text on scored texts (confidence boosted as if
-    embeddings existed for even documents)."""
-    p = score.probabilities(F.col("darvo"), F.col("gaslighting"))
-    df = df.withColumns({"probs": p, "confidence": score.behavioral_confidence(F.col("darvo"), F.col("gaslighting"), F.col("manipulation"), F.col("doc_id") % 2 == 0), "severity": score.severity(F.col("darvo"), F.col("gaslighting"), F.col("manipulation"), F.col("deception"))})
-    df = df.withColumn("fused_score", score.fused(F.col("severity"), F.lit(None).cast("double"), F.col("confidence")))
-    best = score.first_maximum(F.col("probs"))
-    return df.withColumns({"primary_class": best["cls"], "primary_p": best["p"], "fused_class": score.fused_class(F.col("probs"), F.col("fused_score")), "status": score.status(F.col("fused_score")), "tier": score.risk_tier(F.col("fused_score"))})
+    """Confidence boosted as if embeddings existed for even documents."""
+    return analysis.behavior(df, F.col("doc_id") % 2 == 0)
 
 
 FUSED = (
@@ -72,10 +67,46 @@ SELECT fused_class, status, CASE WHEN high THEN 'review' WHEN medium THEN 'revie
 def flagship(spark, d):
     """Texts scored, fused and routed in one pass, then counted."""
     df = behavior(score.with_scores(texts(spark, d)))
-    o = lx.Fusion()
-    high = (F.col("deception") > o.deception) | (F.col("fused_score") < o.least_score) | (F.length(F.trim("text")) < o.least_chars)
-    routing = F.when(high | (F.col("manipulation") > o.manipulation), "review").otherwise("auto_ok")
-    return df.groupBy("fused_class", "status", routing.alias("routing")).agg(F.count(F.lit(1)).alias("n"), R(F.avg("fused_score")).alias("mean_score"))
+    df = analysis.gate(df)
+    return df.groupBy("fused_class", "status", "routing").agg(F.count(F.lit(1)).alias("n"), R(F.avg("fused_score")).alias("mean_score"))
+
+
+KINDS = ["text", "image", "audio", "video", "document", "email", "mixed", "other"]
+KIND = f"{_lit(KINDS)}[doc_id % 8 + 1]"
+ROUTED = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{'>'.join(v)}'" for k, v in ingest.ROUTES.items()) + f" ELSE '{'>'.join(ingest.ROUTES['text'])}' END"
+
+
+@query("evidence_to_gate", f"WITH docs AS ({TABLES['texts']}),\ntexts AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS text FROM docs)," + FUSED.replace("doc_id % 2 = 0", "false") + f""",
+_k AS (SELECT *, {KIND} AS kind, doc_id % 10 = 0 AS empty FROM _f),
+_g AS (SELECT *, {ROUTED} AS stages, empty AND kind IN ('image', 'document', 'mixed') AS needs_ocr, CASE WHEN empty THEN 'blocked' WHEN deception > 0.7 OR fused_score < 0.3 OR length(trim(text)) < 50 OR manipulation > 0.7 THEN 'review' ELSE 'auto_ok' END AS routing FROM _k)
+SELECT kind, stages, needs_ocr, routing, fused_class, count(*) AS n FROM _g GROUP BY ALL""")
+def evidence_to_gate(spark, d):
+    """All stages from evidence rows, some with bytes only or nothing, to the gate."""
+    k = F.col("doc_id")
+    rows = texts(spark, d).withColumns({"evidence_type": F.get(F.array(*[F.lit(x) for x in KINDS]), (k % 8).cast("int")), "raw": F.when(k % 10 == 5, F.encode("text", "utf-8")).otherwise(F.lit(b""))})
+    done = analysis.evidence_stages().run(rows.withColumn("text", F.when(k % 5 == 0, "").otherwise(F.col("text"))))
+    return done.groupBy(F.col("evidence_type").alias("kind"), F.array_join("stages", ">").alias("stages"), "needs_ocr", "routing", "fused_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("srt4_ranked_classes", sql("texts", FUSED + """,
+_c AS (SELECT doc_id, unnest(['normal', 'darvo', 'gaslighting', 'manipulation', 'aggressive', 'defensive']) AS cls, unnest([pn, darvo, gaslighting, pm, 0.0, 0.0]) AS p, unnest(range(6)) AS i FROM _q)
+SELECT doc_id, string_agg(cls, '>' ORDER BY p DESC, i) AS ranked FROM _c GROUP BY doc_id"""))
+def ranked_classes(spark, d):
+    df = behavior(score.with_scores(texts(spark, d)))
+    return df.select("doc_id", F.array_join(F.transform(score.ranked(F.col("probs")), lambda x: x["cls"]), ">").alias("ranked"))
+
+
+@query("fil5_behavioral_minimum", "SELECT doc_id, length(trim(CASE WHEN doc_id % 3 = 0 THEN left(text, 9) || '   ' ELSE coalesce(text, '') END)) >= 10 AS enough FROM documents")
+def behavioral_minimum(spark, d):
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.left("text", F.lit(9)), F.lit("   "))).otherwise(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", relational.behavioral_minimum(text).alias("enough"))
+
+
+@query("fil6_8_ocr_and_routes", f"SELECT kind, {ROUTED} AS stages, count(*) FILTER (doc_id % 3 = 0 AND kind IN ('image', 'document', 'mixed')) AS ocr, count(*) AS n FROM (SELECT doc_id, {KIND} AS kind FROM documents) GROUP BY ALL")
+def ocr_and_routes(spark, d):
+    kind = F.get(F.array(*[F.lit(x) for x in KINDS]), (F.col("doc_id") % 8).cast("int"))
+    x = read(spark, d, "documents").select(kind.alias("kind"), F.when(F.col("doc_id") % 3 != 0, "x").alias("text"))
+    return x.groupBy("kind", F.array_join(ingest.route(F.col("kind")), ">").alias("stages")).agg(F.count_if(ingest.needs_ocr(F.col("kind"), "text")).alias("ocr"), F.count(F.lit(1)).alias("n"))
 
 
 @query("str1_2_lexicon_hits", sql("texts", f"""_a AS (SELECT doc_id, lower(text) AS low FROM texts)
@@ -210,16 +241,28 @@ def relations(spark, d):
     return entities.relations(docs, mentions).filter("source <> target").groupBy("doc_id", "verb", "source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scr27_clusters")
+@query("scr27_clusters", r"""
+WITH d AS (SELECT conv_id * 1000 + turn AS doc_id, text || ' Anna called Bob. Bob met with Anna in Rome.' || CASE WHEN turn % 2 = 0 THEN ' Carl works for Station.' ELSE '' END AS text FROM conversations),
+m AS (SELECT doc_id, 'PERSON' AS label, unnest(regexp_extract_all(text, '\b(?:Anna|Bob|Carl)\b')) AS name FROM d UNION ALL SELECT doc_id, 'ORG', unnest(regexp_extract_all(text, '\bStation\b')) FROM d UNION ALL SELECT doc_id, 'GPE', unnest(regexp_extract_all(text, '\bRome\b')) FROM d)
+SELECT doc_id, name AS canonical, label, array_to_string(list(name), '|') AS mentions, count(*) AS n FROM m GROUP BY doc_id, label, name HAVING count(*) > 1""")
 def clusters(spark, d):
     _, mentions = _people(spark, d)
     return entities.clusters(mentions).select("doc_id", "canonical", "label", F.array_join("mentions", "|").alias("mentions"), "n")
 
 
+NEGATED = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sent.NEGATIONS) + ")"
 LEX = [("the", 0.4), ("of", -0.3), ("no", -1.2), ("de", 0.7), ("love", 3.2), ("hate", -2.7), ("horrible", -2.5), ("und", 0.2)]
 
 
-@query("scr6_sentiment")
+@query("scr6_sentiment", sql("texts", rf"""
+_w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS w FROM texts),
+_u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM _w),
+_b AS (SELECT *, lag(word) OVER p AS b1, lag(word, 2) OVER p AS b2, lag(word, 3) OVER p AS b3 FROM _u WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+_l AS (SELECT * FROM (VALUES {", ".join(f"('{w}', {v}::DOUBLE)" for w, v in LEX)}) l(word, valence)),
+_v AS (SELECT doc_id, (valence + sign(valence) * CASE WHEN b1 IN {tuple(sent.BOOSTERS)} THEN 0.293::DOUBLE WHEN b1 IN {tuple(sent.DAMPERS)} THEN -0.293::DOUBLE ELSE 0.0 END)
+  * CASE WHEN coalesce(b1 IN {NEGATED}, false) OR coalesce(b2 IN {NEGATED}, false) OR coalesce(b3 IN {NEGATED}, false) THEN -0.74::DOUBLE ELSE 1.0 END AS v FROM _b LEFT JOIN _l USING (word)),
+_s AS (SELECT doc_id, sum(coalesce(v, 0)) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS p, sum(CASE WHEN v < 0 THEN v - 1 ELSE 0 END) AS n, count(*) FILTER (coalesce(v, 0) = 0) AS z FROM _v GROUP BY doc_id)
+SELECT t.doc_id, coalesce(round(abs(n) / (p + abs(n) + z), 3), 0) AS neg, coalesce(round(p / (p + abs(n) + z), 3), 0) AS pos, coalesce(round(z / (p + abs(n) + z), 3), 1) AS neu, coalesce(round(s / sqrt(s * s + 15), 4), 0) AS compound FROM texts t LEFT JOIN _s ON t.doc_id = _s.doc_id"""))
 def sentiment(spark, d):
     return sent.sentiment(texts(spark, d), spark.createDataFrame(LEX, "word string, valence double"))
 
@@ -334,6 +377,18 @@ def critique(spark, d):
     return results(spark, d).select("evidence_id", "seq", "agent_type", R(score.critique(F.col("agent_type"), f)).alias("critique"))
 
 
+@query("scr23_critique_files", """SELECT kind, l_linenumber, round(CASE kind WHEN 'image' THEN least(1.0, c * CASE s WHEN 1 THEN 0.7 WHEN 2 THEN 0.85 ELSE 1.0 END + CASE WHEN s > 3 THEN 0.05 ELSE 0 END)
+ WHEN 'document' THEN least(1.0, least(1.0, c * CASE s WHEN 1 THEN 0.7 WHEN 2 THEN 0.85 ELSE 1.0 END + CASE WHEN s > 4 THEN 0.05 ELSE 0 END) + CASE WHEN s > 5 THEN 0.03 ELSE 0 END)
+ WHEN 'audio' THEN least(1.0, c * CASE WHEN s * 9 < 10 THEN 0.5 WHEN s * 9 < 50 THEN 0.8 ELSE 1.0 END + CASE WHEN s > 1 THEN 0.1 ELSE 0 END)
+ WHEN 'video' THEN least(1.0, least(1.0, c * CASE WHEN s - 2 < 1 THEN 0.5 WHEN s - 2 < 5 THEN 0.8 ELSE 1.0 END + CASE WHEN s > 2 THEN 0.05 ELSE 0 END) + CASE WHEN s > 6 THEN 0.1 ELSE 0 END) ELSE least(1.0, c + least(0.1, s * 0.02)) END, 6) AS critique, count(*) AS n
+ FROM (SELECT l_linenumber, l_linenumber AS s, round(l_discount * 10, 6)::DOUBLE AS c, ['image', 'document', 'audio', 'video', 'other'][l_suppkey % 5 + 1] AS kind FROM lineitem) GROUP BY ALL""")
+def critique_files(spark, d):
+    s, yes = F.col("l_linenumber"), F.lit(True)
+    kind = F.get(F.array(*[F.lit(x) for x in ("image", "document", "audio", "video", "other")]), (F.col("l_suppkey") % 5).cast("int"))
+    f = {"ok": yes, "confidence": F.round(F.col("l_discount") * 10, 6).cast("double"), "findings": s, "chars": s, "both_patterns": yes, "consistency": F.lit(1.0), "anomalies": F.lit(0), "agents": s, "labels": s, "relations": s, "risk": F.when(s == 1, "high").when(s == 2, "medium").otherwise("low"), "has_exif": s > 3, "verified": s > 4, "has_metadata": s > 5, "words": s * 9, "engines": s, "engine_variance": s * 0.02, "speakers": s, "seconds": s - 2, "scenes": F.greatest(F.lit(0), s - 2), "has_audio": s > 6}
+    return read(spark, d, "lineitem").groupBy(kind.alias("kind"), "l_linenumber", R(score.critique(kind, f)).alias("critique")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("str9_html_to_text", r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages""")
 def html_text(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(t.html_to_text("html")).alias("digest"))
@@ -390,6 +445,25 @@ def types(spark, d):
     return _names(spark, d).select("o_orderkey", ingest.type_of_extension("name").alias("by_name"), ingest.document_kind_of_extension("name").alias("by_folder"), ingest.type_of_mime("mime").alias("by_mime"))
 
 
+HEADS = ["25504446", "504B0304", "504B0304", "504B0304", "504B0304", "D0CF11E0A1B11AE1", "D0CF11E0A1B11AE1", "7B5C727466", "", ""]
+ENTRIES = ["", "word/", "xl/", "ppt/", "content.xml", "Word.Document", "Workbook", "", "", ""]
+
+
+@query("src7_document_types", "SELECT doc_id, ['pdf', 'docx', 'xlsx', 'pptx', 'odt', 'doc', 'xls', 'rtf', 'docx', 'unknown'][doc_id % 10 + 1] AS type FROM documents")
+def document_types(spark, d):
+    k = (F.col("doc_id") % 10).cast("int")
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), k)
+    content = F.concat(F.unhex(pick(HEADS)), F.encode(pick(ENTRIES), "utf-8"), F.encode("text", "utf-8"))
+    return read(spark, d, "documents").select("doc_id", ingest.document_type(content, F.when(k == 8, "a/b.DOCX").otherwise("a/b.zzz")).alias("type"))
+
+
+@query("str17_double_compression", "SELECT doc_id, doc_id % 7 <> 6 AND doc_id % 5 > 2 AS double FROM documents")
+def double_compression(spark, d):
+    k = F.col("doc_id")
+    content = F.concat(F.unhex(F.when(k % 7 == 6, "00D8").otherwise("FFD8")), F.unhex(F.repeat(F.lit("FFDB0043"), (k % 5).cast("int"))), F.encode("text", "utf-8"))
+    return read(spark, d, "documents").select("doc_id", t.double_compressed(content).alias("double"))
+
+
 @query("src8_upload_errors", f"""WITH n AS (SELECT o_orderkey, {NAMES} AS name, CASE o_orderkey % 6 WHEN 0 THEN 'text/evil' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 3 THEN 'audio/wav' ELSE 'text/plain' END AS mime, o_orderkey * 1000 AS size FROM orders),
 e AS (SELECT *, lower(regexp_extract(name, '(\\.[^.]+)$', 1)) AS ext FROM n),
 r AS (SELECT CASE WHEN contains(name, '..') OR contains(name, '?') THEN 'Filename contains invalid characters or patterns' WHEN ext = '' THEN 'File must have an extension' WHEN ext = '.exe' THEN 'File type ''.exe'' is not allowed' WHEN size > 10485760 THEN 'File size exceeds maximum allowed (10MB)' WHEN mime = 'text/evil' THEN 'Content type ''text/evil'' is not allowed' END AS error FROM e)

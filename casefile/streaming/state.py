@@ -62,55 +62,79 @@ def _limiter(fold: Callable, first: Any, pack: Callable, unpack: Callable, span_
     span = span_s * 1_000_000
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # nothing that it holds can count any more
+            state.remove()
+            return
         rows = pd.concat(parts).sort_values(["micros", "id"])
         held = unpack(state.get) if state.exists else first
         held, out = fold(held, list(zip(rows["id"].tolist(), rows["micros"].tolist())), span, limit)
         state.update(pack(held))
+        expire(state, (int(rows["micros"].max()) + span) // 1000)
         yield pd.DataFrame([(str(key[0]), *o) for o in out], columns=["key", "id", "allowed", "remaining"])
 
     return step
 
 
-def limited(stream: DataFrame, by: str, seconds: int = 60, limit: int = 100, fixed: bool = False) -> DataFrame:
+def expire(state: GroupState, at_ms: int) -> None:
+    """Let the state go once the watermark has passed a time."""
+    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs()) + 1)
+
+
+def limited(stream: DataFrame, by: str, seconds: int = 60, limit: int = 100, fixed: bool = False, late: str = "10 minutes") -> DataFrame:
     """STM2 (sliding, accepted requests only) and STM3 (fixed window). Requests of a batch are taken
-    in the order of (ts, id); state is a key's accepted times, or its window's begin and count."""
-    keyed = stream.select(F.col(by).cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    in the order of (ts, id), those later than ``late`` are dropped; state is a key's accepted times,
+    or its window's begin and count, until the watermark has passed its window."""
+    at = F.col("ts").cast("timestamp")
+    keyed = stream.select(F.col(by).cast("string").alias("key"), F.col("id").cast("long").alias("id"), at.alias("ts"), F.unix_micros(at).alias("micros")).withWatermark("ts", late)
     if fixed:
         step, state = _limiter(fixed_window, (0, 0), lambda x: x, lambda x: tuple(x), seconds, limit), "begin long, n long"
     else:
         step, state = _limiter(accepted_within, [], lambda x: (x,), lambda x: list(x[0]), seconds, limit), "times array<long>"
-    return keyed.groupBy("key").applyInPandasWithState(step, LIMITED, state, "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("key").applyInPandasWithState(step, LIMITED, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limited_batch(requests: DataFrame, by: str, seconds: int = 60, limit: int = 100, fixed: bool = False) -> DataFrame:
-    """The same over a whole table: a fold for each key."""
+    """The same over a whole table: a fold over the requests of each key, which come sorted. A task
+    holds a batch and one key's state, however many requests a key has."""
     span = seconds * 1_000_000
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["micros", "id"])
-        fold, first = (fixed_window, (0, 0)) if fixed else (accepted_within, [])
-        _, out = fold(first, list(zip(rows["id"].tolist(), rows["micros"].tolist())), span, limit)
-        return pd.DataFrame([(pdf["key"].iloc[0], *o) for o in out], columns=["key", "id", "allowed", "remaining"])
+    fold, first = (fixed_window, (0, 0)) if fixed else (accepted_within, [])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, first
+        for pdf in batches:
+            out = []
+            for key, rows in pdf.groupby(pdf["key"].fillna("\0"), sort=False):
+                held = held if key == last else first
+                last = key
+                held, got = fold(held, list(zip(rows["id"].tolist(), rows["micros"].tolist())), span, limit)
+                out += [(rows["key"].iloc[0], *o) for o in got]
+            yield pd.DataFrame(out, columns=["key", "id", "allowed", "remaining"])
 
     keyed = requests.select(F.col(by).cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return keyed.groupBy("key").applyInPandas(group, LIMITED)
+    return keyed.repartition("key").sortWithinPartitions("key", "micros", "id").mapInPandas(run, LIMITED)
 
 
-def custody_breaks(stream: DataFrame) -> DataFrame:
+def custody_breaks(stream: DataFrame, keep_days: int = 365, late: str = "10 minutes") -> DataFrame:
     """STM6: a row for each entry whose input hash is not the output hash before; the state is one
-    hash for each evidence. Entries of a batch are taken in the order of (ts, id)."""
+    hash for each evidence, forgotten ``keep_days`` after its last entry (WIN1 checks whole logs).
+    Entries of a batch are taken in the order of (ts, id)."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, out = (state.get[0] if state.exists else None), []
-        for id_, found, result in pd.concat(parts).sort_values(["ts", "id"])[["id", "input_hash", "output_hash"]].itertuples(index=False):
+        rows = pd.concat(parts).sort_values(["ts", "id"])
+        for id_, found, result in rows[["id", "input_hash", "output_hash"]].itertuples(index=False):
             if last is not None and found != last:
                 out.append((str(key[0]), id_, last, found))
             last = result
         state.update((last,))
+        expire(state, int(rows["ts"].max().timestamp() * 1000) + keep_days * 86_400_000)
         yield pd.DataFrame(out, columns=["evidence_id", "id", "expected", "found"])
 
-    rows = stream.select(F.col("evidence_id").cast("string").alias("evidence_id"), F.col("id").cast("long").alias("id"), "ts", "input_hash", "output_hash")
-    return rows.groupBy("evidence_id").applyInPandasWithState(step, "evidence_id string, id long, expected string, found string", "last string", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.col("evidence_id").cast("string").alias("evidence_id"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "input_hash", "output_hash").withWatermark("ts", late)
+    return rows.groupBy("evidence_id").applyInPandasWithState(step, "evidence_id string, id long, expected string, found string", "last string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def score_arrivals(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, text: str = "text", available_now: bool = True):
