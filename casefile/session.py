@@ -47,11 +47,13 @@ def local_session(cores: int | str = "*", name: str = "casefile", memory: str =
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (a test on one
-    machine) a folder of this machine is made and set.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master is this
+    machine (a test) a folder of this machine is made and set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(spark, "_casefile_dir", None) or tempfile.mkdtemp(prefix="casefile-")
         spark._casefile_dir = at
     if spark.sparkContext.getCheckpointDir() is None:
