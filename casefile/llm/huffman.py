@@ -31,6 +31,8 @@ BLOCK = 1 << 17
 STRIDE = 256
 #: Ids in a shard, a stretch of doc_ids that one task writes in order.
 SHARD = 8 << 20
+#: Where a null doc_id stands.
+NULL, MOST_ID = -(1 << 63), (1 << 63) - 1
 #: Bytes of text that are encoded at a time.
 BATCH = 1 << 21
 #: Words that a worker remembers.
@@ -236,10 +238,26 @@ BLOCKS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("doc_ids", pa
 CODED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("within", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+def stretches(tokens: DataFrame, total: int, shards: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of stretches of doc_ids that hold about as many ids each, and the number of shards of
+    each stretch: one, but for a doc_id (or null) that alone has more ids than a shard, whose stretch is
+    its own. The driver gets a number for each shard and each such doc_id, of which there are no more."""
+    size = -(-total // shards) if shards else SHARD
+    shards = shards or max(1, -(-total // SHARD))
+    bounds = {int(np.floor(x)) for x in tokens.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 1 / (8 * shards))} if shards > 1 else set()
+    heavy = {NULL if r["doc_id"] is None else r["doc_id"]: r["n"] for r in tokens.groupBy("doc_id").agg(F.sum("n").alias("n")).filter(F.col("n") > 2 * size).collect()}
+    ordered = np.array(sorted(bounds | set(heavy) | {h + 1 for h in heavy if h < MOST_ID}), np.int64)
+    parts = np.ones(len(ordered) + 1, np.int64)
+    for h, n in heavy.items():
+        parts[np.searchsorted(ordered, h, side="right")] = -(-n // size)
+    return ordered, parts
+
+
 def huffman_write(tokens: DataFrame, vocabulary: int, limit: int = LIMIT, shards: int | None = None) -> tuple[DataFrame, list[int]]:
     """The written blocks of ``tokens`` (from ``tokenized``) in ascending doc_id order, and the code's
     lengths. Blocks are rows of a Parquet table in the shared folder: shard, block, the documents'
-    ids and sizes, checkpoints and bits. A null doc_id comes first; equal ones stand by size and ids."""
+    ids and sizes, checkpoints and bits. A null doc_id comes first; equal ones stand by size and bits,
+    where they fill several shards by a hash of their bits first. Each task writes one shard."""
     spark, kind = tokens.sparkSession, id_type(vocabulary)
 
     def count(batches):
@@ -255,13 +273,14 @@ def huffman_write(tokens: DataFrame, vocabulary: int, limit: int = LIMIT, shards
     for row in tokens.select("counts").filter("counts is not null").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row["id"]] = row["n"]  # at most one row for each id of the vocabulary
     lengths = code_lengths(counts, limit)
-    shards = shards or max(1, int(-(-int(counts.sum()) // SHARD)))
-    bounds = tokens.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 1 / (8 * shards)) if shards > 1 else []
-    shared = spark.sparkContext.broadcast((lengths, canonical(lengths), np.array(bounds)))
+    bounds, parts = stretches(tokens, int(counts.sum()), shards)
+    first = np.append(0, np.cumsum(parts))
+    shards = int(first[-1])
+    shared = spark.sparkContext.broadcast((lengths, canonical(lengths), bounds, parts, first))
 
     def code(batches):
         """Each document's bits: packing comes before the shuffle, which then moves a third as much."""
-        lengths, codes, bounds = shared.value
+        lengths, codes, bounds, parts, first = shared.value
         for batch in batches:
             for part in pieces(batch, "ids", 1 << 18):  # what numpy works on stays in the CPU's cache
                 flat = np.frombuffer(b"".join(part.column("ids").to_pylist()), kind)
@@ -270,11 +289,14 @@ def huffman_write(tokens: DataFrame, vocabulary: int, limit: int = LIMIT, shards
                 begin = np.cumsum(size) - size
                 offsets = [at[a : a + n : STRIDE].astype(np.uint64).tobytes() for a, n in zip(begin.tolist(), size.tolist())]
                 ids = part.column("doc_id")
-                shard = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(), side="right")
+                stretch = np.searchsorted(bounds, ids.fill_null(NULL).to_numpy(), side="right")
+                # Documents of one id that fill several shards are dealt by their bits.
+                hashed = np.array([zlib.crc32(x) for x in bits], np.uint64)
+                shard = first[stretch] + (hashed * parts[stretch].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), ids, part.column("n"), pa.array(offsets, pa.binary()), pa.array(bits, pa.binary())], names=["shard", "doc_id", "n", "offsets", "bits"])
 
     coded = tokens.select("doc_id", "n", "ids").mapInArrow(code, "shard long, doc_id long, n long, offsets binary, bits binary")
-    ordered = coded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "n", "bits")
+    ordered = coded.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "n", "bits")
 
     def block(batches):
         """Blocks of consecutive documents; each document begins at a byte of its own."""
@@ -368,8 +390,8 @@ def huffman_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end: i
     """Write the ids of every whole text and read them back: doc_id, start, n_tokens, ids_crc32.
 
     ``docs`` has doc_id and text; other columns are ignored. Null and empty texts have the end id
-    only. A null doc_id comes before all others; repeated doc_ids each keep a row, in order of
-    size and code bits. An empty table gives an empty result.
+    only. A null doc_id comes before all others; repeated doc_ids each keep a row (see
+    ``huffman_write`` for their order). Texts are encoded whole, however long. An empty table gives an empty result.
     """
     tokens = written(tokenized(docs, tokenizer, end), "tokens")
     blocks, lengths = huffman_write(tokens, vocabulary)

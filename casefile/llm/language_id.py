@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 
 from casefile.llm.common import pieces
 
-#: The sample's bounds: slices for each language, and characters of a slice.
+#: The sample's bounds: slices for each language, and characters of a slice; languages.
 SLICES, SLICE = 160, 250
+LANGUAGES = 500
 CONTEXT = 8
 LEVEL, BLOCK, SHORT = 5, 4096, 500
 #: A smaller margin (1 - best / second) is a rejection.
@@ -71,11 +72,13 @@ def predict(text: str | None, coders: list) -> tuple[str, float]:
 def fit(labelled: DataFrame) -> Model:
     """Learn from rows with text and lang (null in either: left out).
 
-    At most SLICES slices of SLICE characters for each language reach the driver: its texts fall
-    into that many hash bins, and the text with the smallest hash of each bin gives a slice. At a
+    At most SLICES slices of SLICE characters for each of the LANGUAGES most frequent languages reach
+    the driver (ties: the first by name): a language's texts fall into that many hash bins, and the text with the smallest hash of each bin gives a slice. At a
     tie in size the language with more rows is preferred.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    usable = usable.join(F.broadcast(common), "lang")
     begin = 1 + F.pmod(F.shiftright("h", 16), F.greatest(F.length("text") - SLICE, F.lit(1)))
     cut = F.substring("text", begin.cast("int"), F.lit(SLICE))
     bins = usable.groupBy("lang", F.pmod("h", F.lit(SLICES)).alias("bin")).agg(F.min(F.struct("h", cut.alias("cut"))).alias("s"), F.count(F.lit(1)).alias("n"))

@@ -21,7 +21,7 @@ from casefile.llm.common import pieces, rows, written
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, GROUP, BLOCK, CUES, CUE, CUE_AT = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x1C53BB6B, 0xBB, 0xB7
 SCALE, DURATION, NUMBER, UID, KIND, CODEC, LACING, RATE, CHANNELS, DEPTH = 0x2AD7B1, 0x4489, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0xB5, 0x9F, 0x6264
-DOCTYPE, CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0x4282, 0xB3, 0xF7, 0xF1
+DOCTYPE, CUE_TIME, CUE_TRACK, CUE_CLUSTER, REFERENCE, FRAME_NS = 0x4282, 0xB3, 0xF7, 0xF1, 0xFB, 0x23E383
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT, EBML}
 #: Elements that end a cluster (or, inside it, an element) of unknown size.
 TOP = {CLUSTER, CUES, INFO, TRACKS}
@@ -40,7 +40,7 @@ def number(id_: int, value: int) -> bytes:
 
 
 HEAD = element(EBML, number(0x4286, 1) + number(0x42F7, 1) + number(0x42F2, 4) + number(0x42F3, 8) + element(DOCTYPE, b"matroska") + number(0x4287, 4) + number(0x4285, 2))
-TRACK_HEAD = element(TRACKS, element(TRACK, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + number(LACING, 1) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(RATE, struct.pack(">d", SAMPLE_RATE)) + number(CHANNELS, 1) + number(DEPTH, 8))))
+TRACK_HEAD = element(TRACKS, element(TRACK, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + number(LACING, 1) + number(FRAME_NS, FRAME * 1_000_000_000 // SAMPLE_RATE) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(RATE, struct.pack(">d", SAMPLE_RATE)) + number(CHANNELS, 1) + number(DEPTH, 8))))
 
 
 def vint(value: int) -> bytes:
@@ -135,9 +135,13 @@ def lace_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[int, list[int
 
 class Media:
     """What a Matroska file says: tracks, packets (track, timestamp in ns, offset, size, key frame,
-    lacing), cues (time, track, offset in the segment), duration and time scale."""
+    lacing), cues (time, track, offset in the segment), duration and time scale.
 
-    def __init__(self, data: bytes):
+    With ``since`` (ns), packets begin with the cluster that the last cue up to that time points at;
+    clusters before it are passed over by their sizes."""
+
+    def __init__(self, data: bytes, since: int | None = None):
+        self.skip, self.passed = since is not None, []
         self.tracks: list[dict] = []
         self.packets: list[tuple[int, int, int, int, bool, int]] = []
         self.cues: list[tuple[int, int, int]] = []
@@ -147,9 +151,17 @@ class Media:
             if not data or head(data, 0)[0] != EBML:
                 raise ValueError("no EBML header")
             self.walk(data, 0, len(data), 0)
+            if self.skip:
+                self.skip = False
+                begin = max((c for t, _, c in self.cues if t * self.scale <= since), default=0)
+                for at, end in self.passed:
+                    if at - self.segment >= begin:
+                        self.walk(data, at, end, SEGMENT)
         except (ValueError, IndexError, struct.error) as e:
             self.error = str(e) or type(e).__name__
-        self.packets = [(t, at * self.scale, *rest) for t, at, *rest in self.packets]
+        # Frames of one block follow each other by their track's frame duration, if it says one.
+        step = {t.get(NUMBER): t.get(FRAME_NS, 0) for t in self.tracks}
+        self.packets = [(t, at * self.scale + nth * step.get(t, 0), *rest) for t, at, *rest, nth in self.packets]
 
     def walk(self, data: bytes, at: int, end: int, inside: int) -> int:
         """Read elements up to ``end``; returns where an element of unknown size ends."""
@@ -165,19 +177,29 @@ class Media:
                 raise ValueError("an element beyond its parent")
             if id_ == SEGMENT:
                 self.segment = at
+            if id_ == CLUSTER and self.skip and size >= 0:
+                self.passed.append((start, stop))
+                at = stop
+                continue
             if id_ == CLUSTER:
                 self.clusters.append(start - self.segment)
+            if id_ == GROUP:
+                group, self.refers = len(self.packets), False
             if id_ == TRACK:
                 self.tracks.append({})
             if id_ == CUE:
                 self.cue = {}
             if id_ in MASTERS:
                 at = self.walk(data, at, stop, id_)
+                if id_ == GROUP and self.refers:  # it needs another frame
+                    self.packets[group:] = [(*x[:4], False, *x[5:]) for x in self.packets[group:]]
                 if id_ == CUE:
                     self.cues.append(tuple(self.cue.get(k, 0) for k in (CUE_TIME, CUE_TRACK, CUE_CLUSTER)))
                 continue
             if id_ in (SIMPLE_BLOCK, BLOCK):
                 self.block(data, at, stop, id_ == SIMPLE_BLOCK)
+            elif id_ == REFERENCE and inside == GROUP:
+                self.refers = True
             elif id_ == TIMESTAMP:
                 self.cluster = int.from_bytes(data[at:stop], "big")
             elif id_ == SCALE:
@@ -197,8 +219,8 @@ class Media:
         (relative,) = struct.unpack_from(">h", data, at)
         flags = data[at + 2]
         at, sizes = lace_sizes(data, at + 3, end, flags >> 1 & 3)
-        for size in sizes:
-            self.packets.append((track, self.cluster + relative, at, size, bool(flags & 0x80) if simple else True, flags >> 1 & 3))
+        for nth, size in enumerate(sizes):
+            self.packets.append((track, self.cluster + relative, at, size, bool(flags & 0x80) if simple else True, flags >> 1 & 3, nth))
             at += size
 
 
@@ -223,17 +245,18 @@ def with_matroska(docs: DataFrame) -> DataFrame:
 PACKET = pa.schema([("doc_id", pa.int64()), ("packet", pa.int64()), ("track", pa.int32()), ("timestamp_ns", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("key_frame", pa.bool_()), ("lacing", pa.int32()), ("cue", pa.bool_())])
 
 
-def matroska_packets(media: DataFrame) -> DataFrame:
+def matroska_packets(media: DataFrame, since_ns: int | None = None) -> DataFrame:
     """One row for each packet of each ``media`` (with doc_id): its number, track, timestamp, byte
     range and lacing, and whether a cue points at its time. A null, empty or damaged file gives the
-    packets before the damage; see ``matroska_errors``."""
+    packets before the damage; see ``matroska_errors``. With ``since_ns`` only the packets from the
+    cluster on to which the cues lead for that time, numbered from there. Files are read whole, however long."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "media"):
                 out: dict[str, list] = {f.name: [] for f in PACKET}
                 for doc, data in zip(part.column("doc_id").to_pylist(), part.column("media").to_pylist()):
-                    found = Media(data or b"")
+                    found = Media(data or b"", since_ns)
                     cued = {t * found.scale for t, _, _ in found.cues}
                     for k, p in enumerate(found.packets):
                         for name, value in zip(out, (doc, k, *p, p[1] in cued)):
@@ -268,7 +291,8 @@ def feature(payload: bytes, media: Media) -> str:
 
 def matroska_digest(docs: DataFrame) -> DataFrame:
     """Store each whole text as Matroska in the shared folder, read the stored bytes back, and
-    return what they hold. Repeated rows each give a row; an empty table gives an empty result."""
+    return what they hold. Null and empty texts are 64 zero bytes. Repeated rows each give a row, equal
+    texts equal values; texts are stored whole, however long; an empty table gives an empty result."""
     stored = written(with_matroska(docs), "matroska")
 
     def run(batches):

@@ -32,6 +32,8 @@ RADIUS, BITS, CHECKS = 3, 23, 11
 GENERATOR = 0b110001110101
 #: A home with more fingerprints is split; each part gets all of its visitors.
 HOME = 4096
+#: Fingerprints whose connections a task remembers, so as not to give a link again.
+KNOWN = 200_000
 #: (lane, shift, width) of the fields of each projection.
 PAIR = [[(0, 0, 23), (0, 23, 23)]]
 
@@ -214,18 +216,26 @@ def links(prints: DataFrame, lanes: int = 1, most: int = 2, projections: list |
     def compare(batches):
         """Rows come ordered by anchor; the last anchor of a batch waits for the next batch. Links
         of what the task has already connected, at whatever anchor, are left out."""
-        left, known = None, {}
+        left, last, known = [], None, {}
         for batch in batches:
-            table = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch]).combine_chunks()
-            if not table.num_rows:
+            if not batch.num_rows:
                 continue
-            key = [table.column(c).to_numpy() for c in ("anchor", "part")]
-            edge = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in key])))
-            if len(edge) > 1:
-                yield from found(table.slice(0, edge[-1]), edge, known)
-            left = table.slice(edge[-1])
-        if left is not None:
-            yield from found(left, np.array([0, left.num_rows]), known)
+            key = [batch.column(c).to_numpy() for c in ("anchor", "part")]
+            edge = np.flatnonzero(np.append((key[0][0], key[1][0]) != last, np.logical_or.reduce([k[1:] != k[:-1] for k in key])))
+            last = key[0][-1], key[1][-1]
+            if len(edge):
+                done = pa.Table.from_batches([*left, batch.slice(0, edge[-1])], batch.schema).combine_chunks()
+                if done.num_rows:
+                    before = done.num_rows - edge[-1]
+                    yield from found(done, np.unique(np.concatenate([[0], edge + before])), known)
+                left = [batch.slice(edge[-1])]
+            else:
+                left.append(batch)
+            if len(known) > KNOWN:  # links are given twice rather than remembered without end
+                known.clear()
+        if left:
+            table = pa.Table.from_batches(left).combine_chunks()
+            yield from found(table, np.array([0, table.num_rows]), known)
 
     def found(table: pa.Table, edge: np.ndarray, known: dict[bytes, bytes]):
         home = table.column("home").to_numpy(zero_copy_only=False)
@@ -261,8 +271,8 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, *
     included; fewer words make one shingle. A bit is 1 if over half of the shingles' hashes have
     it. Defined cases: a null or empty text, or one without words, has fingerprint zero and is
     linked like any other; repeated rows each give a row; a row whose doc_id is null is linked, too,
-    but gives no component its id (a component of such rows alone has a null id); an empty table
-    gives an empty result. Copies meet only as one fingerprint, however many there are.
+    but gives no component its id (a component of such rows alone has a null id); texts are read whole,
+    however long; an empty table gives an empty result. Copies meet only as one fingerprint, however many there are.
     """
     prints = written(fingerprints(docs, shingle, lanes), "fingerprints")
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))

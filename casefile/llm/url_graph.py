@@ -51,7 +51,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     total = seeds.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
     share = seeds.select("host", F.expr(f"({SCALE} div {max(1, total['n'] or 0)}) * n").alias("seed"))
     out = edges.groupBy("src").agg(F.sum("w").alias("out"))
-    flow = edges.join(out, "src")
+    flow = written(edges.join(out, "src"), "flow")  # read in each round
     rank = share.select("host", F.col("seed").alias("rank"))
     for k in range(rounds):
         sent = flow.join(rank, flow["src"] == rank["host"]).select(F.col("dst").alias("host"), F.expr(f"(rank * {DAMPING} div 100 div out) * w").alias("rank"))

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from casefile.llm import balltree, html_template, huffman, language_id, matroska, mixing, queries, sentencepiece_bpe, simhash, substring_dedup, url_graph
@@ -119,6 +120,37 @@ def test_language_model_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def brute_language(text, model):
+    """By whole-text compression of each block, without any of the operator's helpers."""
+    import zstandard
+
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data = bytes(b if b not in b"\t\n\v\f\r" else 32 for b in text.lower().encode() if b >= 128 or 97 <= b <= 122 or b in b" \t\n\v\f\r")
+    total = []
+    for k, (lang, words, context) in enumerate(model.languages):
+        d = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = lambda x, d=d: len(zstandard.ZstdCompressor(level=5, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+        n = max(0, size(context + data) - size(context)) if len(data) < 500 else sum(size(data[i : i + 4096]) for i in range(0, len(data), 4096))
+        total.append((n, k, lang))
+    (a, _, best), (b, *_) = sorted(total)[:2]
+    return best, 1 - a / b if b else 0.0
+
+
+def test_language_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs.filter(~language_id.held_out("doc_id")))
+    got = language_id.identify_language(docs, model).collect()
+    for r in got:
+        want = brute_language(r["text"], model)
+        assert (r["lang_pred"], round(r["score"], 9)) == (want[0], round(want[1], 9))
+    # At a tie the language with more rows is preferred.
+    tied = spark.createDataFrame([("b", "mmm nnn ooo")] * 2 + [("a", "mmm nnn ooo")], "lang string, text string").withColumn("doc_id", F.lit(1))
+    model = language_id.fit(tied)
+    assert [x for x, *_ in model.languages] == ["b", "a"]
+    assert {(r["lang_pred"], r["score"]) for r in language_id.identify_language(tied, model).collect()} == {("b", 0.0)}
+
+
 def test_language_odd_cases(spark, rows):
     docs = documents(spark, rows)
     model = language_id.fit(docs)
@@ -201,7 +233,12 @@ def test_matroska_round_trip(spark, rows):
         data = (r["text"] or "").encode()
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = matroska.written_media(payload)
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), matroska.feature(payload, matroska.Media(media)))
     assert matroska.matroska_digest(documents(spark, rows)).count() == len(rows)
+    assert matroska.matroska_digest(documents(spark, [])).count() == 0
+    same_text = {r["media_sha256"] for r in matroska.matroska_digest(documents(spark, [(1, "x y", "a"), (1, "x y", "a"), (2, "x y", None)])).collect()}
+    assert len(same_text) == 1
 
 
 def test_matroska_lacing_unknown_sizes_and_damage(spark):
@@ -225,6 +262,19 @@ def test_matroska_lacing_unknown_sizes_and_damage(spark):
     assert errors[1] is None and all(errors[k] for k in (2, 3, 4, 5))
     packets = matroska.matroska_packets(df).filter("doc_id = 1").orderBy("packet").collect()
     assert len(packets) == 22 and packets[0]["track"] == 2
+    group = matroska.element(matroska.GROUP, matroska.element(matroska.BLOCK, b"\x82\x00\x01\x00abc") + matroska.element(matroska.REFERENCE, b"\xff"))
+    track = matroska.element(matroska.TRACKS, matroska.element(matroska.TRACK, matroska.number(matroska.NUMBER, 2) + matroska.number(matroska.FRAME_NS, 40_000_000)))
+    clusters = [matroska.element(matroska.CLUSTER, matroska.number(matroska.TIMESTAMP, 1000 * k) + blocks + group) for k in range(4)]
+    body, cues = track, b""
+    for k, c in enumerate(clusters):
+        cues += matroska.element(matroska.CUE, matroska.number(matroska.CUE_TIME, 1000 * k) + matroska.element(matroska.CUE_AT, matroska.number(matroska.CUE_TRACK, 2) + matroska.number(matroska.CUE_CLUSTER, len(body))))
+        body += c
+    data = matroska.HEAD + matroska.element(matroska.SEGMENT, body + matroska.element(matroska.CUES, cues))
+    media = matroska.Media(data)
+    assert [p[1] // 1_000_000 for p in media.packets[:4]] == [-5, 35, 75, 115] and [p[4] for p in media.packets[:11]] == [False] * 11
+    assert not media.packets[10][4] and data[media.packets[10][2] :][:3] == b"abc"
+    assert matroska.Media(data, 2_500_000_000).packets == [p for p in media.packets if p[1] >= 1_900_000_000]
+    assert matroska.Media(data, 0).packets == media.packets
     for n in (0, 1, 126, 127, 128, 16382, 16383, 70_000):
         assert matroska.read_vint(matroska.vint(n) + bytes(9), 0)[0] == n
 
@@ -362,6 +412,25 @@ def test_huffman_files(spark, rows):
     assert huffman.huffman_token_files(documents(spark, rows).limit(0), queries.BYTES, queries.BYTES_IDS).count() == 0
 
 
+def test_huffman_shards_of_one_doc_id(spark, monkeypatch):
+    """A third of all rows without a doc_id, and a third with the same, fill shards of their own."""
+    monkeypatch.setattr(huffman, "SHARD", 300)
+    r = random.Random(10)
+    rows = [(i, " ".join(r.choice("abcdefg") * 3 for _ in range(r.randint(0, 9))), "a") for i in [None] * 150 + [7] * 150 + list(range(150))]
+    got = huffman.huffman_token_files(documents(spark, rows), queries.BYTES, queries.BYTES_IDS).collect()
+    tokenizer = Tokenizer.from_file(queries.BYTES)
+    want = collections.Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t, _ in rows for x in [tokenizer.encode(t, add_special_tokens=False).ids + [2]])
+    assert collections.Counter((g["doc_id"], g["n_tokens"], g["ids_crc32"]) for g in got) == want
+    at = 0
+    for g in sorted(got, key=lambda g: g["start"]):
+        assert g["start"] == at
+        at += g["n_tokens"]
+    ids = [-1 if g["doc_id"] is None else g["doc_id"] for g in sorted(got, key=lambda g: g["start"])]
+    assert ids == sorted(ids)
+    bounds, parts = huffman.stretches(huffman.tokenized(documents(spark, rows), queries.BYTES), 3000)
+    assert (parts > 1).sum() == 2 and bounds[0] == huffman.NULL
+
+
 def test_tokenizer_stretches():
     r, coder = random.Random(9), huffman.Ids(queries.BYTES)
     letters = "aab bc  th\n\n\té1'sñ字\x00ﬁ\xa0\u3000\x85\x1c\U0001f600 s.,"
