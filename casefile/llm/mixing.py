@@ -280,12 +280,15 @@ def mix_texts(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """The mixture as documents: ``docs`` (doc_id, text, source, n_chars and more) with one row for
     each document and epoch, whose text is what the epoch takes of it, in the document's order.
     A whole text stays as it is; of a part the words are joined by one space. Documents without
-    words have nothing to take and give no row. Rows equal in all columns are one document; null or
-    shared doc_ids are documents of their own."""
+    words (null or empty texts) have nothing to take and give no row. Rows equal in all columns are one
+    document; null or shared doc_ids are documents of their own. Texts are read whole; an empty table
+    gives an empty result."""
     sized = written(sizes(docs).dropDuplicates(["row"]), "sizes")
+    keyed = with_row(docs)
+    if docs.count() > sized.count():
+        keyed = keyed.dropDuplicates(["_row"])
     taken = Plan(sized, seed, block).mixed().groupBy("row", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"))
-    keyed = with_row(docs).alias("d")
-    joined = keyed.join(taken.select(F.col("row").alias("_of"), F.col("size").alias("_size"), F.col("parts").alias("_parts")), F.col("d._row") == F.col("_of"))
+    joined = keyed.alias("d").join(taken.select(F.col("row").alias("_of"), F.col("size").alias("_size"), F.col("parts").alias("_parts")), F.col("d._row") == F.col("_of"))
     fields = docs.columns
     text, chars = fields.index("text"), fields.index("n_chars") if "n_chars" in fields else None
 
