@@ -5,7 +5,7 @@
    all other elements but prose inside an article give a hash of their whole subtree.
 2. Hashes are counted by host in Spark: by how many pages with different main texts, so that copies
    and mirrors of a page count once. Recurring ones are joined back to pages.
-3. A recurring subtree is deleted, unless it holds over half of a page's article. The text segments
+3. A recurring subtree is deleted; what holds over half of a page's article is none. The text segments
    that stand in no deleted or marked subtree make the blocks of the result.
 """
 
@@ -37,7 +37,7 @@ BOILER = frozenset("head nav footer aside form button select script style textar
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body caption dd dt head html legend li optgroup option tbody td tfoot th thead tr".split())
 MAIN = frozenset(("article", "main"))
-WHOLE = frozenset(("main", "html", "body"))
+WHOLE = frozenset(("main", "html", "head", "body"))
 #: In an article only these are looked up among the templates; the rest is prose.
 CONTAINERS = frozenset("div section ul ol dl table figure details header".split())
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -197,9 +197,8 @@ class Page:
                 return out
         return [not b for b in self.boiler]
 
-    def pruned(self, segments: list, hashes: list[int | None]) -> tuple[list[int], list[int | None], list[int], list]:
-        """Parents, hashes, whether in an article, and segments, with only the elements that have a
-        hash and hold text."""
+    def pruned(self, segments: list, hashes: list[int | None]) -> tuple[list[int], list[int | None], list]:
+        """Parents, hashes and segments, with only the elements that have a hash and hold text."""
         up: list[int] = []  # of each element: itself or the nearest one around it that has a hash
         for i, p in enumerate(self.parent):
             up.append(i if hashes[i] is not None or not i else up[p])
@@ -211,22 +210,33 @@ class Page:
                 n = up[self.parent[n]]
         order = sorted(held)
         number = {n: k for k, n in enumerate(order)}
-        return [number[up[self.parent[n]]] if n else -1 for n in order], [hashes[n] for n in order], [int(self.article[n]) for n in order], [(b, number[up[n]], t) for b, n, t in segments]
+        return [number[up[self.parent[n]]] if n else -1 for n in order], [hashes[n] for n in order], [(b, number[up[n]], t) for b, n, t in segments]
 
-    def candidates(self) -> list[int | None]:
+    def candidates(self, kept: list[bool]) -> list[int | None]:
         """Hashes of the elements that may be templates: no prose inside an article, nor what an
-        element marked by its tag or role holds."""
+        element marked by its tag or role holds, nor what has over half of an article's kept text."""
+        chars = self.chars([s for s in self.segments if kept[s[1]]])
         out: list[int | None] = []
         inside: list[bool] = []
         for i, (p, tag) in enumerate(zip(self.parent, self.tag)):
             may = i and tag not in WHOLE and tag not in RAW and (tag in CONTAINERS or tag == "article" or not self.article[i]) and not (p >= 0 and inside[p])
+            may = may and not (self.article[i] and 2 * chars[i] > chars[0])
             inside.append(self.ruled[i] or (p >= 0 and inside[p]))
             out.append(int.from_bytes(self.sums[i].digest(), "big", signed=True) if may else None)
         return out
 
+    def chars(self, segments: list) -> list[int]:
+        """Characters of each element's text, without white space."""
+        out = [0] * len(self.parent)
+        for _, n, t in segments:
+            out[n] += sum(map(len, t.split()))
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parent[n]] += out[n]
+        return out
+
 
-PARSED = "page_id long, url string, html64 long, text64 long, hash array<long>, body binary"
-SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html64", pa.int64()), ("text64", pa.int64()), ("hash", pa.list_(pa.int64())), ("body", pa.binary())])
+PARSED = "page_id long, url string, html64 long, text64 long, hash array<long>, held int, body binary"
+SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html64", pa.int64()), ("text64", pa.int64()), ("hash", pa.list_(pa.int64())), ("held", pa.int32()), ("body", pa.binary())])
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -242,8 +252,9 @@ def hash64(text: str) -> int:
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """Each page's hashes of possible templates, and its body: elements and the segments of text
-    that boilerplate does not hold, compressed, since they are stored and shuffled once each."""
+    """Each page's hashes of possible templates (the first ``held`` of them stand in the body), and its
+    body: elements and the segments of text that boilerplate does not hold, compressed, since they are
+    stored and shuffled once each."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=6)
@@ -252,30 +263,25 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                 out: dict[str, list] = {f.name: [] for f in SCHEMA}
                 for i, url, source in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                     page = Page(source or "")
-                    kept, hashes = page.chosen(), page.candidates()
+                    kept = page.chosen()
+                    hashes = page.candidates(kept)
                     segments = [s for s in page.segments if kept[s[1]]]
                     body = page.pruned(segments, hashes)
-                    data = json.dumps(body, ensure_ascii=False).encode("utf-8", "surrogatepass")
-                    for name, value in zip(out, (i, url, hash64(source or ""), hash64(joined_blocks(segments)), sorted({h for h in hashes if h is not None}), pack.compress(data))):
+                    data = json.dumps(body, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
+                    held = {h for h in body[1] if h is not None}
+                    listed = [*sorted(held), *sorted({h for h in hashes if h is not None} - held)]
+                    for name, value in zip(out, (i, url, hash64(source or ""), hash64(joined_blocks(segments)), listed, len(held), pack.compress(data))):
                         out[name].append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, PARSED)
 
 
-def without(parent: list[int], hashes: list[int | None], article: list[int], segments: list, gone: set[int]) -> list:
-    """The segments that stand in no subtree of ``gone``. In an article a subtree with over half of
-    the text stays, but what it holds may go."""
-    chars = [0] * len(parent)
-    for _, n, t in segments:
-        chars[n] += sum(map(len, t.split()))
-    whole = sum(chars)
-    for n in range(len(parent) - 1, 0, -1):
-        if parent[n] >= 0:
-            chars[parent[n]] += chars[n]
+def without(parent: list[int], hashes: list[int | None], segments: list, gone: set[int]) -> list:
+    """The segments that stand in no subtree of ``gone``."""
     lost: list[bool] = []
-    for p, h, a, c in zip(parent, hashes, article, chars):
-        lost.append((h in gone and not (a and 2 * c > whole)) or (p >= 0 and lost[p]))
+    for p, h in zip(parent, hashes):
+        lost.append(h in gone or (p >= 0 and lost[p]))
     return [s for s in segments if not lost[s[1]]]
 
 
@@ -307,7 +313,7 @@ def _host():
 
 def assembled(parsed: DataFrame, templates: DataFrame) -> DataFrame:
     """The pages' texts without the templates of their hosts."""
-    subtrees = parsed.select(_host(), "html64", F.explode("hash").alias("h")).distinct()
+    subtrees = parsed.select(_host(), "html64", F.explode(F.slice("hash", F.lit(1), F.col("held"))).alias("h"))
     drop = subtrees.join(templates, ["host", "h"]).groupBy("host", "html64").agg(F.collect_set("h").alias("drop"))
 
     def run(batches):

@@ -74,18 +74,19 @@ def counted(rows, least=html_template.PAGES, few=html_template.FEW):
         text, host = html_template.joined_blocks(segments), url.split("/")[2].lower()
         pages[i] = page, segments, host
         hosts[host].add(text)
-        for h in {h for h in page.candidates() if h is not None}:
+        for h in {h for h in page.candidates(kept) if h is not None}:
             seen[host, h].add(text)
     out, changed = {}, 0
     for i, (page, segments, host) in pages.items():
         enough = min(least, max(few, -(-len(hosts[host]) // 2)))
-        hashes, left = page.candidates(), []
+        hashes, left = page.candidates(page.chosen()), []
         for x in segments:
             n, gone = x[1], False
             while n >= 0:
                 under = lambda m, n=n: m == n or (m > 0 and under(page.parent[m]))
                 size = sum(sum(map(len, t.split())) for _, m, t in segments if under(m))
-                gone |= hashes[n] is not None and len(seen[host, hashes[n]]) >= enough and not (page.article[n] and 2 * size > sum(sum(map(len, t.split())) for *_, t in segments))
+                gone |= hashes[n] is not None and len(seen[host, hashes[n]]) >= enough
+                assert hashes[n] is None or not page.article[n] or 2 * size <= sum(sum(map(len, t.split())) for *_, t in segments)
                 n = page.parent[n]
             if not gone:
                 left.append(x)
