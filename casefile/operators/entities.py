@@ -49,11 +49,11 @@ def spans(docs: DataFrame, text: str, groups: dict[str, list[str]], flags: str =
         any_ = F.regexp_like(c, F.lit(flags + "(?:" + "|".join(patterns) + ")"))
         for k, p in enumerate(patterns):
             found = F.regexp_extract_all(c, F.lit(flags + p), F.lit(0))
-            gaps = F.slice(F.transform(F.split(c, flags + p, -1), F.length), 1, F.size(found))
+            gaps = F.transform(F.split(c, flags + p, -1), F.length)  # one more than matches
             match = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("text")))
             parts.append(F.when(any_, F.struct(F.lit(label).alias("label"), F.lit(k).alias("pattern"), match.alias("matches"))))
     rows = docs.filter(c.isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("_row"), F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("m"))
-    one = rows.select("doc_id", "_row", "m.label", "m.pattern", F.posexplode("m.matches").alias("nth", "x")).select("doc_id", "_row", "label", "pattern", "nth", "x.*")
+    one = rows.select("doc_id", "_row", "m.label", "m.pattern", F.posexplode("m.matches").alias("nth", "x")).select("doc_id", "_row", "label", "pattern", "nth", "x.*").filter("text is not null")
     before = Window.partitionBy("_row", "label", "pattern").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("text")).over(before).cast("int")
     return one.withColumn("end", end).select("doc_id", "label", "pattern", "nth", (F.col("end") - F.length("text")).alias("start"), "end", "text")

@@ -43,11 +43,12 @@ def chain_hash(spark, d):
     return cu.chain_hash(custody(spark, d))
 
 
-@query("set6_verify_content", sql("evidence", """SELECT CASE WHEN status = 'analyzed' THEN CASE WHEN evidence_id % 13 = 0 THEN 'flagged' ELSE 'verified' END ELSE status END AS new_status, count(*) AS n FROM evidence GROUP BY ALL"""))
+@query("set6_verify_content", sql("evidence", """SELECT evidence_id, CASE WHEN status = 'analyzed' THEN CASE WHEN evidence_id % 13 = 0 THEN 'flagged' ELSE 'verified' END ELSE status END AS new_status, CASE WHEN status = 'analyzed' AND evidence_id % 13 <> 0 THEN 'verified' END AS entry FROM evidence"""))
 def verify_content(spark, d):
     e = evidence(spark, d).withColumn("storage_path", F.col("evidence_id").cast("string"))
     scan = e.select(F.col("storage_path").alias("path"), F.when(F.col("evidence_id") % 13 == 0, "x").otherwise(F.col("original_hash")).alias("sha256"))
-    return cu.verify_content(e, scan)[0].groupBy("new_status").agg(F.count(F.lit(1)).alias("n"))
+    out, entries = cu.verify_content(e, scan)
+    return out.join(entries.select("evidence_id", F.col("action").alias("entry")), "evidence_id", "left").select("evidence_id", "new_status", "entry")
 
 
 @query("src13_first_entries", sql("evidence", "SELECT evidence_id, created_at AS ts, 'intake' AS agent_id, 'uploaded' AS action, original_hash AS input_hash, original_hash AS output_hash FROM evidence"))
