@@ -161,6 +161,7 @@ def test_language_odd_cases(spark, rows):
         assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or ""))
         assert not (r["lang_pred"] == "und") or (r["score"] == 0 and r["rejected"])
     assert {r["lang_pred"] for r in language_id.identify_language(docs, language_id.Model([])).collect()} == {"und"}
+    assert language_id.identify_language(docs.limit(0), model).count() == 0
 
 
 # 3
@@ -221,6 +222,8 @@ def test_sentencepiece_digest(spark, rows, library):
     both = sentencepiece_bpe.sentencepiece_encode(documents(spark, rows), queries.PIECES, decoded="decoded")
     assert all(r["decoded"] == (r["text"] or "") for r in both.collect())
     coded = both.drop("decoded")
+    assert sentencepiece_bpe.sentencepiece_digest(documents(spark, []), queries.PIECES).count() == 0
+    assert sentencepiece_bpe.sentencepiece_encode(documents(spark, []), queries.PIECES, decoded="decoded").count() == 0
     for r in sentencepiece_bpe.sentencepiece_decode(coded, queries.PIECES).collect():
         assert r["ids"] == library.encode(r["text"] or "") + [2] and r["decoded"] == (r["text"] or "")
 
@@ -322,6 +325,12 @@ def test_url_rules_and_graph(spark):
     assert url_graph.judge_urls(spark.createDataFrame([], "page_id long, url string, html string"), queries.RULES).count() == 0
 
 
+def test_url_rules_of_equal_length(spark):
+    rows = spark.createDataFrame([(1, "http://x.com/ab/1", None), (1, "http://x.com/ab/1", None), (2, "http://y.com/ab", "")], "page_id long, url string, html string")
+    got = url_graph.judge_urls(rows, [("block", "x.com/"), ("allow", "com/ab")]).collect()
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in got) == [(1, "com/ab", "allow")] * 2 + [(2, "com/ab", "allow")]
+
+
 def test_page_rank_against_brute_force(spark):
     r = random.Random(3)
     edges = {(r.randrange(12), r.randrange(12)): r.randint(1, 4) for _ in range(40)}
