@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casefile.llm import balltree, html_template, huffman, language_id, matroska, mixing, sentencepiece_bpe, simhash, substring_dedup, url_graph
+from casefile.llm import balltree, html_template, huffman, language_id, matroska, merkle, mixing, sentencepiece_bpe, simhash, substring_dedup, url_graph
 from casefile.session import ship
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -63,4 +63,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_sentencepiece, op4_matroska, op5_html_template, op6_url_graph, op7_balltree, op8_huffman, op9_simhash, op10_mixing)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_sentencepiece, op4_matroska, op5_html_template, op6_url_graph, op7_balltree, op8_huffman, op9_simhash, op10_mixing, op12_merkle)}

@@ -64,3 +64,45 @@ SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d_10.rank
 FROM v LEFT JOIN t_10 ON v.host = t_10.host LEFT JOIN d_10 ON v.host = d_10.host
 """
 )
+
+
+def _crc32(x: str) -> str:
+    """The unsigned crc32 of a number's decimal digits."""
+    bits = "list_reduce(list_prepend(xor(a, b), range(8)), lambda r, k: xor(r >> 1, 3988292384 * (r & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(({x})::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {bits}), 4294967295::BIGINT)"
+
+
+def _field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(({x})::VARCHAR) || ':' || {x} END"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes and runs over leaves (tree, idx, digest), level by level."""
+    return f"""{name}_nodes AS (SELECT tree, 0 AS level, idx, digest, count(*) OVER (PARTITION BY tree) AS n FROM {leaves}
+  UNION ALL SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 2) // 3) FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, idx // 3),
+{name}_runs AS (SELECT tree, level, idx // 3 AS run, list(digest ORDER BY idx) AS d FROM {name}_nodes WHERE n > 1 GROUP BY ALL)"""
+
+
+def _climb(name: str, start: str) -> str:
+    """Proofs and folded digests from rows (row, tree, idx, proof, h) up to the tree's root."""
+    return f"""{name}_up AS (SELECT row, tree, 0 AS level, idx, proof, h FROM {start}
+  UNION ALL SELECT u.row, u.tree, u.level + 1, r.run, proof || array_to_string(d[1:u.idx % 3], '') || array_to_string(d[u.idx % 3 + 2:], ''), sha256(array_to_string(d[1:u.idx % 3], '') || h || array_to_string(d[u.idx % 3 + 2:], ''))
+  FROM {name}_up u JOIN {name}_runs r ON u.tree = r.tree AND u.level = r.level AND u.idx // 3 = r.run)"""
+
+
+SQL["op12_merkle"] = f"""
+WITH RECURSIVE f AS (SELECT doc_id, source, coalesce('1' || source, '0') AS tree, text, {_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} AS head,
+  doc_id IS NOT NULL AND {_crc32("coalesce(doc_id, 0)")} % 2 = 0 AS tampered FROM documents),
+x AS (SELECT doc_id, tree, sha256(head || {_field("text")}) AS digest, sha256(head || CASE WHEN tampered THEN {_field("replace(text, chr(10), '')")} ELSE {_field("text")} END) AS h FROM f),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx, row_number() OVER () AS row FROM x),
+{_tree("s", "l")},
+t AS (SELECT 't' AS tree, tree AS source, digest, row_number() OVER (ORDER BY tree) - 1 AS idx FROM s_nodes WHERE n = 1),
+{_tree("t", "t")},
+b AS (SELECT row, tree, idx, '' AS proof, h FROM l),
+{_climb("s", "b")},
+m AS (SELECT u.row, 't' AS tree, t.idx, u.proof, u.h FROM s_up u JOIN s_nodes n ON u.tree = n.tree AND u.level = n.level AND n.n = 1 JOIN t ON u.tree = t.source),
+{_climb("t", "m")}
+SELECT l.doc_id, l.digest AS leaf, t.digest AS subroot, r.digest AS root, sha256(u.proof) AS proof_sha256, u.h AS folded_root, u.h = r.digest AS verified, l.h <> l.digest AS tampered,
+  CASE WHEN l.tree <> '0' THEN l.tree[2:] END AS source, l.idx AS leaf_index
+FROM t_up u JOIN t_nodes r ON u.level = r.level AND r.n = 1 JOIN l ON l.row = u.row JOIN t ON l.tree = t.source
+"""
