@@ -106,3 +106,21 @@ SELECT l.doc_id, l.digest AS leaf, t.digest AS subroot, r.digest AS root, sha256
   CASE WHEN l.tree <> '0' THEN l.tree[2:] END AS source, l.idx AS leaf_index
 FROM t_up u JOIN t_nodes r ON u.level = r.level AND r.n = 1 JOIN l ON l.row = u.row JOIN t ON l.tree = t.source
 """
+
+SQL["op13_prefix_trie"] = f"""
+WITH RECURSIVE o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS first, {_crc32("conv_id")} % 4 AS h FROM o),
+r AS (SELECT c.conv_id, 0 AS part, o.i, o.role, o.text FROM c JOIN o ON o.conv_id = c.first AND o.i < c.h UNION ALL SELECT c.conv_id, 1, o.i, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.i >= c.h),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS d, role, text, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM r),
+p AS (SELECT c.conv_id, 0::BIGINT AS d, '' AS id, '' AS parent, 0::BIGINT AS words FROM c
+  UNION ALL SELECT t.conv_id, t.d, sha256(p.id || ':' || strlen(t.role) || ':' || t.role || t.text), p.id, t.words::BIGINT FROM p JOIN t ON t.conv_id = p.conv_id AND t.d = p.d + 1),
+e AS (SELECT *, lead(d) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS ends FROM p),
+n AS (SELECT d, id, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ended FROM e GROUP BY d, id),
+k AS (SELECT d - 1 AS d, parent AS id, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, id)),
+s AS (SELECT d, id, d AS up, id AS top, (n_convs - 1) * words AS saved, (n_children = 0)::BIGINT AS leaf FROM w
+  UNION ALL SELECT s.d, s.id, w.d - 1, w.parent, s.saved, s.leaf FROM s JOIN w ON w.d = s.up AND w.id = s.top WHERE s.up > 0),
+u AS (SELECT up AS d, top AS id, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM s GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves, u.saved_tokens, sha256(w.ended) AS ends_sha256
+FROM w JOIN u USING (d, id) LEFT JOIN w q ON q.d = w.d - 1 AND q.id = w.parent
+"""
