@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casefile.llm import balltree, html_template, huffman, language_id, matroska, merkle, mixing, prefix_trie, sentencepiece_bpe, simhash, substring_dedup, url_graph
+from casefile.llm import balltree, html_template, huffman, language_id, matroska, merkle, mixing, pii, prefix_trie, sentencepiece_bpe, simhash, substring_dedup, url_graph
 from casefile.session import ship
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -63,6 +63,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.fit(docs))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
 
@@ -71,4 +76,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_sentencepiece, op4_matroska, op5_html_template, op6_url_graph, op7_balltree, op8_huffman, op9_simhash, op10_mixing, op12_merkle, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_sentencepiece, op4_matroska, op5_html_template, op6_url_graph, op7_balltree, op8_huffman, op9_simhash, op10_mixing, op11_pii, op12_merkle, op13_prefix_trie)}
