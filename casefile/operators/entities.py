@@ -37,26 +37,79 @@ REDACTED = {"PII_PHONE": "[PHONE REDACTED]", "PII_EMAIL": "[EMAIL REDACTED]", "P
 UNICODE = "(?iu)"
 
 
+#: Marks before and after a match; a text's own ones are taken for another private sign while it is searched.
+BEGIN, END, OTHER = "\ue000", "\ue001", "\ue002"
+
+
+def _like(pattern: str):
+    return lambda c, low: F.regexp_like(c, F.lit(pattern))
+
+
+def _holds(words: list[str]):
+    """Words in lower case. Other letters than their own stand for i, k and s if case is ignored, so these are given, too."""
+    return lambda c, low: _any(F.contains(low, F.lit(w)) for w in words)
+
+
+def _any(conditions) -> Column:
+    out = None
+    for x in conditions:
+        out = x if out is None else out | x
+    return out
+
+
+def _likes(label: str, *patterns: str) -> dict:
+    return dict(zip(PATTERNS[label], map(_like, patterns)))
+
+
+#: What a text must hold for a pattern to occur in it, beside a digit for those of NUMBERS: parts that are found faster than the
+#: pattern. Patterns that are not here are always searched for.
+NEEDS = {
+    **_likes("PHONE", *[r"[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}", r"\([0-9]{3}\)", r"[0-9]{3}[-.\s][0-9]{3}[-.\s][0-9]{4}"]), **_likes("SSN", r"[0-9]{3}[-\s]?[0-9]{2}[-\s]?[0-9]{4}"), **_likes("CREDIT_CARD", "[0-9]{13}"),
+    **_likes("CASE_NUMBER", "[0-9][-:][0-9]{2,4}[-:]", "[0-9]:[0-9]{2}-", "-[0-9]{4,}-[0-9]{4}"), **_likes("LEGAL_CITATION", r"[0-9]\s+[uU]", r"[0-9]\s+[cC]", r"\s[vV]\.?\s"), **_likes("DATE", "[0-9]/[0-9]", "[0-9]{4}-[0-9]{2}-", r"\s[0-9]{1,2},?\s+[0-9]{4}"),
+    **_likes("TIME", "[0-9]:[0-9]{2}"), **_likes("IP_ADDRESS", r"[0-9]\.[0-9]"), **dict(zip(PATTERNS["EMAIL"] + PATTERNS["MONEY"] + PATTERNS["URL"], map(_holds, (["@"], ["$"], ["usd", "u\u017fd", "eur", "gbp", "cad"], ["dollar", "euro", "pound"], ["http"], ["www."])))),
+}
+NUMBERS = [p for label in ("PHONE", "SSN", "CREDIT_CARD", "CASE_NUMBER", "LEGAL_CITATION", "DATE", "TIME", "IP_ADDRESS") for p in PATTERNS[label]]
+
+
+#: Patterns with the same matches that are found faster: a mail's local part begins where its run of letters does, or where the
+#: match before it ends, so that other places of the run need no try.
+FASTER = {PATTERNS["EMAIL"][0]: r"(?:(?<![a-zA-Z0-9._%+-])|\G)[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"}
+
+
 def spans(docs: DataFrame, text: str, groups: dict[str, list[str]], flags: str = "") -> DataFrame:
     """doc_id, label, pattern (its number), nth, start, end and text of every match.
 
-    A match begins after all gaps and matches before it: a running sum over the matches of one text
-    and pattern, so that the work stays in proportion to them. Each label's patterns run only over
-    texts where one of them occurs. Only lengths and matches are shuffled.
-    """
-    c, parts = F.col(text), []
-    for label, patterns in groups.items():
-        any_ = F.regexp_like(c, F.lit(flags + "(?:" + "|".join(patterns) + ")"))
-        for k, p in enumerate(patterns):
-            found = F.regexp_extract_all(c, F.lit(flags + p), F.lit(0))
-            gaps = F.transform(F.split(c, flags + p, -1), F.length)  # one more than matches
-            match = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("text")))
-            parts.append(F.when(any_, F.struct(F.lit(label).alias("label"), F.lit(k).alias("pattern"), match.alias("matches"))))
-    rows = docs.filter(c.isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("_row"), F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("m"))
-    one = rows.select("doc_id", "_row", "m.label", "m.pattern", F.posexplode("m.matches").alias("nth", "x")).select("doc_id", "_row", "label", "pattern", "nth", "x.*").filter("text is not null")
-    before = Window.partitionBy("_row", "label", "pattern").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("text")).over(before).cast("int")
-    return one.withColumn("end", end).select("doc_id", "label", "pattern", "nth", (F.col("end") - F.length("text")).alias("start"), "end", "text")
+    A text that holds what a pattern needs is searched once: matches are put between marks, and the text is cut at them. A match
+    begins after all gaps and matches before it, a running sum over the pieces of one text and pattern, so that the
+    work stays in proportion to the text. Only lengths and matches are shuffled."""
+    all_ = [(label, k, p) for label, patterns in groups.items() for k, p in enumerate(patterns)]
+    c = F.col("_text")
+    marks = F.contains(text, F.lit(BEGIN)) | F.contains(text, F.lit(END))
+    own = docs.filter(F.col(text).isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_own"), F.when(marks, F.translate(text, BEGIN + END, OTHER * 2)).otherwise(F.col(text)).alias("_text"))
+    own = own.select("*", F.lower("_text").alias("_low"), F.regexp_like(c, F.lit("[0-9]")).alias("_digit"))
+
+    def needed(i: int, p: str) -> Column:
+        if p not in NEEDS or "U" in flags:  # (?U) takes other digits for digits, too
+            return F.lit(i)
+        need = NEEDS[p](c, F.col("_low"))
+        return F.when(F.col("_digit") & need if p in NUMBERS else need, F.lit(i))
+
+    todo = F.filter(F.array(*[needed(i, p) for i, (_, _, p) in enumerate(all_)]), lambda x: x.isNotNull())
+    each = own.select("doc_id", "_row", "_own", "_text", todo.alias("_todo")).select("doc_id", "_row", "_own", "_text", F.explode("_todo").alias("_p"))
+    marked = None
+    for i, (_, _, p) in enumerate(all_):
+        put = F.regexp_replace(c, flags + FASTER.get(p, p), f"{BEGIN}$0{END}")
+        marked = F.when(F.col("_p") == i, put) if marked is None else marked.when(F.col("_p") == i, put)
+    # A generator's output is not put into the filter above it, so that each text is searched once.
+    found = each.select("doc_id", "_row", "_p", "_own", F.col("_own").eqNullSafe(c).alias("_same"), F.explode(F.array(marked)).alias("_m")).filter(F.contains("_m", F.lit(BEGIN)))
+    pieces = found.select("doc_id", "_row", "_p", F.when(~F.col("_same"), F.col("_own")).alias("_own"), F.posexplode(F.split("_m", BEGIN)).alias("_nth", "_piece"))
+    match = F.when(F.col("_nth") > 0, F.substring_index("_piece", END, 1))
+    sized = pieces.select("doc_id", "_row", "_p", "_own", "_nth", match.alias("_match"), (F.length("_piece") - (F.col("_nth") > 0).cast("int")).alias("_size"))
+    before = Window.partitionBy("_row", "_p").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("start", F.sum("_size").over(before).cast("int")).filter("_nth > 0").withColumn("_length", F.length("_match"))
+    label, number = (F.get(F.array(*[F.lit(x[j]) for x in all_]), F.col("_p")) for j in (0, 1))
+    taken = F.when(F.col("_own").isNull(), F.col("_match")).otherwise(F.substr("_own", F.col("start") + 1, F.col("_length")))
+    return placed.select("doc_id", label.alias("label"), number.alias("pattern"), (F.col("_nth") - 1).alias("nth"), "start", (F.col("start") + F.col("_length")).alias("end"), taken.alias("text"))
 
 
 def pattern_mentions(docs: DataFrame, text: str = "text", patterns: dict[str, list[str]] | None = None, flags: str = UNICODE) -> DataFrame:
@@ -90,15 +143,32 @@ def merged_spans(mentions: DataFrame) -> DataFrame:
     return grouped.groupBy("doc_id", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("label", F.struct("start", -F.col("end"), "label")).alias("label")).drop("_g")
 
 
+#: Code points of the pieces in which a text is cut up to be rewritten.
+PIECE = 128
+
+
+def _cut(pieces: Column, begin: Column, end: Column) -> Column:
+    """The code points from begin to end of a text that is cut into pieces of PIECE each: looking a place up takes
+    no more than a piece."""
+    first, last = F.floor(begin / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    head = F.substr(F.get(pieces, first), begin % PIECE + 1, end - begin)
+    between = F.when(last - first > 1, F.array_join(F.transform(F.sequence(first + 1, last - 1), lambda k: F.get(pieces, k)), ""))
+    tail = F.when(last > first, F.substr(F.get(pieces, last), F.lit(1), end % PIECE))
+    return F.concat(*[F.coalesce(x, F.lit("")) for x in (head, between, tail)])
+
+
 def _replaced(docs: DataFrame, mentions: DataFrame, text: str, by) -> DataFrame:
-    spans = merged_spans(mentions).groupBy("doc_id").agg(F.reverse(F.sort_array(F.collect_list(F.struct("start", "end", "label")))).alias("_spans"))
+    """Gaps and replacements in order, joined once, so that the time is in proportion to the text and its mentions."""
+    spans = merged_spans(mentions).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("_spans"))
+    cut = docs.join(spans, "doc_id", "left").withColumn("_pieces", F.when(F.col("_spans").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    pieces = F.col("_pieces")
 
-    def put(acc: Column, s: Column) -> Column:
-        original = F.substr(F.col(text), s["start"] + 1, s["end"] - s["start"])
-        return F.concat(F.substr(acc, F.lit(1), s["start"]), by(s["label"], original), F.substr(acc, s["end"] + 1))
+    def put(s: Column, i: Column) -> Column:
+        gap = _cut(pieces, F.when(i > 0, F.get("_spans", i - 1)["end"]).otherwise(0), s["start"])
+        return F.concat(gap, by(s["label"], _cut(pieces, s["start"], s["end"])))
 
-    changed = F.aggregate(F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int,label:string>>")), F.col(text), put)
-    return docs.join(spans, "doc_id", "left").withColumn(text, changed).drop("_spans")
+    changed = F.concat(F.array_join(F.transform("_spans", put), ""), _cut(pieces, F.element_at("_spans", -1)["end"], F.length(text)))
+    return cut.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(changed)).drop("_spans", "_pieces")
 
 
 def redact(docs: DataFrame, mentions: DataFrame, text: str = "text", names: dict[str, str] | None = None) -> DataFrame:

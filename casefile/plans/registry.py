@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casefile.session import ship
+from casefile.session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,7 +50,7 @@ def texts(spark, d):
 def phrases(spark, d):
     """Whole documents behind a phrase each."""
     p = F.array(*[F.lit(x) for x in PHRASES])
-    return read(spark, d, "documents").select("doc_id", F.concat(F.get(p, (F.col("doc_id") % len(PHRASES)).cast("int")), F.lit(" "), "text").alias("text"))
+    return spread(read(spark, d, "documents")).select("doc_id", F.concat(F.get(p, (F.col("doc_id") % len(PHRASES)).cast("int")), F.lit(" "), "text").alias("text"))
 
 
 def cases(spark, d):

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import casefile
 
@@ -44,6 +44,13 @@ def local_session(cores: int | str = "*", name: str = "casefile", memory: str =
     )
 
 
+def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A small table's rows dealt out to all cores, for work that is long for each byte: a file with one row group is one task,
+    however many cores there are. Tables of over ``most`` bytes have row groups enough and stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
