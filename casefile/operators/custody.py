@@ -1,25 +1,24 @@
 """Custody logs: one row for each entry (evidence_id, id, ts, agent_id, action, input_hash,
-output_hash), ordered by (ts, id). Windows are by evidence, whose chains are short."""
+output_hash), ordered by (ts, id). A chain may hold any share of all entries."""
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 
-def in_order():
-    return Window.partitionBy("evidence_id").orderBy("ts", "id")
+from casefile.operators.ordered import previous
 
 
 def linked(custody: DataFrame, seed: str | None = None) -> DataFrame:
     """WIN1, WIN2: each entry with what its input hash must be (null for the first of an unseeded
     chain) and whether it is. ``seed`` names a column with the evidence's original hash."""
-    before = F.lag("output_hash").over(in_order())
-    rank = F.row_number().over(in_order())
-    expected = before if seed is None else F.when(rank == 1, F.col(seed)).otherwise(before)
-    out = custody.withColumns({"idx": rank - 1, "expected": expected})
-    return out.withColumn("linked", F.col("expected").isNull() | F.col("expected").eqNullSafe(F.col("input_hash")))
+    before = F.col("_before")["output_hash"]
+    expected = before if seed is None else F.when(F.col("_idx") == 0, F.col(seed)).otherwise(before)
+    out = previous(custody, ["evidence_id"], ["ts", "id"], ["output_hash"]).withColumns({"idx": F.col("_idx").cast("int"), "expected": expected})
+    return out.drop("_idx", "_before").withColumn("linked", F.col("expected").isNull() | F.col("expected").eqNullSafe(F.col("input_hash")))
 
 
 def verify(custody: DataFrame, seed: str | None = None) -> DataFrame:
@@ -34,11 +33,33 @@ def issues(custody: DataFrame, seed: str | None = None) -> DataFrame:
     return linked(custody, seed).filter(~F.col("linked")).select("evidence_id", "idx", "expected", F.col("input_hash").alias("found"))
 
 
+def _hashed(batches):
+    """SHA-256 of each chain's lines, which come together and in order; only the hash's state is held."""
+    chain, state = None, None
+    for batch in batches:
+        names, out = batch.schema.names[:1], []
+        ids, lines = batch.column(0), batch.column(batch.num_columns - 1).to_pylist()
+        for id_, line in zip(ids.to_pylist(), lines):
+            if state is None or id_ != chain:
+                if state is not None:
+                    out.append((chain, state.hexdigest()))
+                chain, state = id_, hashlib.sha256(line.encode())
+            else:
+                state.update(b"|" + line.encode())
+        kind = ids.type
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], kind), pa.array([h for _, h in out])], names=[*names, "chain_hash"])
+    if state is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([chain], kind), pa.array([state.hexdigest()])], names=[*names, "chain_hash"])
+
+
 def chain_hash(custody: DataFrame) -> DataFrame:
-    """WIN3: SHA-256 over all entries in order."""
-    entry = F.struct("ts", "id", F.concat_ws("|", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "agent_id", "action", "input_hash", "output_hash").alias("line"))
-    listed = custody.groupBy("evidence_id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    return listed.select("evidence_id", F.sha2(F.concat_ws("|", F.transform("e", lambda x: x["line"])), 256).alias("chain_hash"))
+    """WIN3: SHA-256 over all entries in order. Entries are sorted by Spark and read one by one, so a chain of any length takes
+    no more memory than one entry; a hash has to be taken in order, so one task reads a chain."""
+    line = F.concat_ws("|", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "agent_id", "action", "input_hash", "output_hash").alias("line")
+    lines = custody.select("evidence_id", "ts", "id", line)
+    kind = lines.schema["evidence_id"].dataType.simpleString()
+    return lines.repartition("evidence_id").sortWithinPartitions("evidence_id", "ts", "id", "line").select("evidence_id", "line").mapInArrow(_hashed, f"evidence_id {kind}, chain_hash string")
 
 
 def first_entries(evidence: DataFrame, agent: str = "intake", action: str = "uploaded") -> DataFrame:

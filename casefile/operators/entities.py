@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casefile.functions import text as t
+from casefile.operators.components import components, kept
 
 # They must be these for results to agree.
 PATTERNS = {
@@ -232,25 +233,69 @@ def relations(docs: DataFrame, mentions: DataFrame, text: str = "text", rules: l
     return pairs.select("doc_id", "rule", "verb", F.col("src.m_text").alias("source"), F.col("src.m_start").alias("source_start"), F.col("tgt.m_text").alias("target"), F.col("tgt.m_start").alias("target_start"), F.lit(0.7).alias("confidence"), F.substring("sentence_text", 1, 200).alias("context"))
 
 
+_PLACED = "doc_id long, start int, end int, label string, text string, cluster long"
+
+
+def _clustered(batches):
+    """Mentions, which come by document and in order, with the number of their cluster. Held are one document's words."""
+    doc, first, count = None, {}, 0
+    for batch in batches:
+        out = []
+        for doc_id, start, end, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "end", "label", "text"))):
+            if doc_id != doc:
+                doc, first, count = doc_id, {}, 0
+            low = (text or "").lower()
+            keys = {(label, low)} | ({(label, w, "word") for w in low.split()} if label == "PERSON" else set())
+            at = min((first[k] for k in keys if k in first), default=count)
+            count += at == count
+            for k in keys:
+                first[k] = min(first.get(k, at), at)
+            out.append(at)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "cluster"])
+
+
 def clusters(mentions: DataFrame) -> DataFrame:
-    """SCR27: mentions of a document that likely mean the same: equal texts of a label; persons who
-    share a word. Greedy in the mentions' order, so that it runs document by document."""
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[dict] = []
-        for label, text in pdf.sort_values(["start", "end", "label", "text"])[["label", "text"]].itertuples(index=False):
-            low = text.lower()
-            keys = {low} | (set(low.split()) if label == "PERSON" else set())
-            for c in found:
-                if c["label"] == label and (low in c["texts"] or (label == "PERSON" and keys & c["words"])):
-                    break
-            else:
-                c = {"label": label, "texts": set(), "words": set(), "mentions": []}
-                found.append(c)
-            c["texts"].add(low)
-            c["words"] |= keys
-            c["mentions"].append(text)
-        rows = [(pdf["doc_id"].iloc[0], c["mentions"][0], c["label"], c["mentions"], len(c["mentions"])) for c in found if len(c["mentions"]) > 1]
-        return pd.DataFrame(rows, columns=["doc_id", "canonical", "label", "mentions", "n"])
-
-    return mentions.select("doc_id", "start", "end", "label", "text").groupBy("doc_id").applyInPandas(group, "doc_id long, canonical string, label string, mentions array<string>, n long")
+    """SCR27: mentions of a document that likely mean the same: equal texts of a label; persons who share a word. A mention
+    joins the first cluster that it matches, in the mentions' order, so documents are read in order, row by row."""
+    rows = mentions.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label", "text")
+    placed = rows.repartition("doc_id").sortWithinPartitions("doc_id", "start", "end", "label", "text").mapInArrow(_clustered, _PLACED)
+    found = placed.groupBy("doc_id", "cluster").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label", "text"))).alias("m")).filter(F.size("m") > 1)
+    return found.select("doc_id", F.get("m", F.lit(0))["text"].alias("canonical"), F.get("m", F.lit(0))["label"].alias("label"), F.transform("m", lambda x: x["text"]).alias("mentions"), F.size("m").cast("long").alias("n"))
+
+
+#: A word's names are dealt out so many ways, so that a word which most persons share is not one task's.
+WAYS = 64
+
+
+def linked_names(mentions: DataFrame) -> DataFrame:
+    """SCR27 across documents: label, name (a mention's text in lower case) and cluster, the smallest name that
+    it is linked to. Persons are linked if they share a word, in any documents, and by others between them; other labels by equal names only.
+
+    A name is linked to the smallest of its way among the names with a word, and these to the smallest of the word's: as many links
+    as words, never a pair of all that share one."""
+    names = mentions.select("label", F.lower("text").alias("name")).filter("name is not null and label is not null").distinct()
+    persons = names.filter("label = 'PERSON'")
+    words = persons.select("name", F.explode(F.array_distinct(F.filter(F.split("name", t.SPACES), lambda w: w != ""))).alias("word"))
+    words = words.withColumn("way", F.pmod(F.xxhash64("name"), F.lit(WAYS)))
+    ways = words.groupBy("word", "way").agg(F.min("name").alias("low"))
+    links = words.join(ways, ["word", "way"]).select(F.col("name").alias("a"), F.col("low").alias("b"))
+    over = ways.join(ways.groupBy("word").agg(F.min("low").alias("least")), "word").select(F.col("low").alias("a"), F.col("least").alias("b"))
+    found = components(links.union(over)).select(F.lit("PERSON").alias("label"), F.col("node").alias("name"), "component")
+    return names.join(found, ["label", "name"], "left").select("label", "name", F.coalesce("component", "name").alias("cluster"))
+
+
+def linked_mentions(mentions: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Mentions, each with the cluster of its name."""
+    names = linked_names(mentions) if names is None else names
+    return mentions.withColumn("_name", F.lower("text")).join(names.withColumnRenamed("name", "_name"), ["label", "_name"]).drop("_name")
+
+
+def linked_clusters(mentions: DataFrame) -> DataFrame:
+    """SCR27 across documents: label, cluster, canonical (the first mention's text), n mentions, n_docs, n_names, of
+    clusters with several mentions."""
+    mentions = kept(mentions.select("doc_id", "start", "end", "label", "text"))
+    found = kept(linked_names(mentions))
+    one = linked_mentions(mentions, found).groupBy("label", "cluster", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "end", "text")).alias("first"))
+    names = found.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n_names"))
+    whole = one.groupBy("label", "cluster").agg(F.min("first")["text"].alias("canonical"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs")).filter("n > 1")
+    return whole.join(names, ["label", "cluster"])

@@ -6,21 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: The finest cells of time are 2^FINEST seconds long.
+FINEST = -6
 
 
-def speakers(segments: DataFrame, turns: DataFrame, bucket: float = 60.0) -> DataFrame:
+def _level(d: DataFrame) -> DataFrame:
+    """_level: the smallest power of two of seconds that holds an interval."""
+    size = F.abs(F.col("end") - F.col("start"))
+    return d.withColumn("_level", F.when(size <= 2.0**FINEST, F.lit(FINEST)).otherwise(F.ceil(F.log2(size)).cast("int")))
+
+
+def _cells(d: DataFrame, levels: list[int]) -> DataFrame:
+    """A row for each cell, two at most, that an interval meets at its own level and at each coarser one of ``levels``."""
+    all_ = F.array_distinct(F.concat(F.array("_level"), F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x > F.col("_level"))))
+    length = F.pow(F.lit(2.0), F.col("_at"))
+    low, high = (F.floor(f("start", "end") / length) for f in (F.least, F.greatest))
+    return d.withColumn("_at", F.explode(all_)).withColumn("_cell", F.explode(F.sequence(low, high)))
+
+
+def overlapping(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """Pairs of intervals (start, end) of one ``by`` that overlap: left's columns, and right's with ``r_`` before their names.
+
+    An interval is held by one or two cells of its own length; two intervals meet in a cell of the longer one's level. So an
+    interval is copied to two cells for each coarser level of the other side, whatever its length, and a long recording is
+    many keys. A pair that meets in two cells comes once: in the cell of the later of both begins, or the first of both."""
+    a, b = _level(left), _level(right)
+    levels = [[r[0] for r in d.select("_level").distinct().collect()] for d in (a, b)]  # powers of two of seconds: at most some tens
+    names = [c for c in right.columns if c != by]
+    x = _cells(a, levels[1]).withColumnRenamed("_level", "_l")
+    y = _cells(b, levels[0]).select(by, "_at", "_cell", F.col("_level").alias("_r"), *[F.col(c).alias(f"r_{c}") for c in names])
+    met = x.join(y, [by, "_at", "_cell"]).filter("_at = greatest(_l, _r) and r_start < end and r_end > start")
+    once = F.floor(F.greatest(F.least("start", "end"), F.least("r_start", "r_end")) / F.pow(F.lit(2.0), F.col("_at")))
+    return met.filter(F.col("_cell") == once).select(*left.columns, *[f"r_{c}" for c in names])
+
+
+def speakers(segments: DataFrame, turns: DataFrame, bucket: float | None = None) -> DataFrame:
     """JOIN4: each segment (audio_id, idx, start, end) gets the speaker of the turn that overlaps it
-    most, the first at ties, else UNKNOWN.
-
-    Both sides are dealt to time buckets of their recording, so a long recording is not one key; a
-    pair that meets in several buckets is found in each and counts once, by its maximum.
-    """
-    cut = lambda d: d.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    s = cut(segments.select("audio_id", "idx", "start", "end"))
-    t = cut(turns.select("audio_id", F.col("idx").alias("turn"), F.col("start").alias("ts"), F.col("end").alias("te"), "speaker", "start", "end")).drop("start", "end")
-    met = s.join(t, ["audio_id", "_b"]).filter((F.col("ts") < F.col("end")) & (F.col("te") > F.col("start")))
-    overlap = F.least("end", "te") - F.greatest("start", "ts")
-    best = met.groupBy("audio_id", "idx").agg(F.max_by("speaker", F.struct(overlap.alias("o"), (-F.col("turn")).alias("t"))).alias("speaker"))
+    most, the first at ties, else UNKNOWN. ``bucket`` is of no effect: cells follow from the intervals' lengths."""
+    met = overlapping(segments.select("audio_id", "idx", "start", "end"), turns.select("audio_id", "start", "end", "idx", "speaker"), "audio_id")
+    overlap = F.least("end", "r_end") - F.greatest("start", "r_start")
+    best = met.groupBy("audio_id", "idx").agg(F.max_by("r_speaker", F.struct(overlap.alias("o"), (-F.col("r_idx")).alias("t"))).alias("speaker"))
     return segments.join(best, ["audio_id", "idx"], "left").withColumn("speaker", F.coalesce("speaker", F.lit("UNKNOWN")))
 
 

@@ -6,31 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casefile.operators.ordered import joined, order_statistics, previous
+
 # Upper bounds of latency buckets in seconds.
 BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
 
 def index_percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """AGG5: the value at place floor(n q) of the ordered values. Counts of equal values come first,
-    so that a hot group is summed over its different values only."""
-    n = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by)
-    placed = n.withColumns({"_to": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
-    at = {k: F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1) for k, q in quantiles.items()}
-    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("_to") > a, F.col(value))).alias(k) for k, a in at.items()])
+    """AGG5: the value at place floor(n q) of the ordered values."""
+    at = {k: (lambda n, q=q: F.least(F.floor(n * F.lit(q)), n - 1)) for k, q in quantiles.items()}
+    return order_statistics(df, by, value, at).select(*by, *quantiles)
 
 
 def latency_by_index(df: DataFrame, by: list[str], value: str = "ms", success: str | None = None) -> DataFrame:
     """AGG5: mean, min, max, sample deviation, index percentiles, operations a second, success rate."""
     ok = F.avg(F.col(success).cast("double")) if success else F.lit(1.0)
     base = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), (F.count(F.lit(1)) * 1000 / F.nullif(F.sum(value), F.lit(0.0))).alias("ops_per_s"), ok.alias("success_rate"))
-    return base.join(index_percentiles(df, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), by)
+    return joined(base, index_percentiles(df, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), by, "left")
+
+
+def interpolated_percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """AGG6: between the values at the places around q (n - 1)."""
+    ends = {f"_{k}_{e}": (lambda n, q=q, f=f: f(F.lit(q) * (n - 1))) for k, q in quantiles.items() for e, f in (("a", F.floor), ("b", F.ceil))}
+    share = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    low, high = (lambda k: F.col(f"_{k}_a")), (lambda k: F.col(f"_{k}_b"))
+    return order_statistics(df, by, value, ends).select(*by, *[F.when(low(k) == high(k), low(k)).otherwise(low(k) + (high(k) - low(k)) * share(q)).alias(k) for k, q in quantiles.items()])
 
 
 def latency_interpolated(df: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
     """AGG6: population deviation, interpolated percentiles, throughput."""
-    q = lambda x: F.percentile(value, F.lit(x)).alias(f"p{int(x * 100)}")
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q(0.5), q(0.95), q(0.99), (F.count(F.lit(1)) * 1000 / F.nullif(F.sum(value), F.lit(0.0))).alias("throughput"))
+    base = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), (F.count(F.lit(1)) * 1000 / F.nullif(F.sum(value), F.lit(0.0))).alias("throughput"))
+    return joined(base, interpolated_percentiles(df, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), by, "left")
 
 
 def histogram(df: DataFrame, value: str = "ms", bins: int = 30) -> DataFrame:
@@ -91,16 +97,23 @@ def analysis_counters(log: DataFrame) -> DataFrame:
 
 def state_changes(df: DataFrame, by: list[str], state: str, ts: str = "ts", key: str = "id") -> DataFrame:
     """WIN10: rows whose state differs from the one before."""
-    w = Window.partitionBy(*by).orderBy(ts, key)
-    return df.withColumn("previous", F.lag(state).over(w)).filter(F.col("previous").isNotNull() & (F.col("previous") != F.col(state)))
+    before = F.col("_before")[state]
+    return previous(df, by, [ts, key], [state]).withColumn("previous", before).drop("_idx", "_before").filter(F.col("previous").isNotNull() & (F.col("previous") != F.col(state)))
 
 
 def sliding_limit(requests: DataFrame, by: str, seconds: int = 60, limit: int = 100, ts: str = "ts") -> DataFrame:
     """WIN11: for each request those of its key in the window before it, rejected ones included;
-    whether it is allowed; what remains."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(by).orderBy(micros).rangeBetween(-seconds * 1_000_000 + 1, -1)
-    out = requests.withColumn("seen", F.count(F.lit(1)).over(w))
+    whether it is allowed; what remains.
+
+    A key's requests are dealt out by stretches of time as long as the window; each stretch also gets the counts of the one before, by
+    the microsecond, so that a hot key is a task for each stretch."""
+    span = seconds * 1_000_000
+    timed = requests.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_stretch", F.floor(F.col("_micros") / span))
+    counts = timed.groupBy(by, "_stretch", "_micros").agg(F.count(F.lit(1)).alias("_c")).withColumn("_own", F.lit(True))
+    halo = counts.withColumns({"_stretch": F.col("_stretch") + 1, "_own": F.lit(False)})
+    w = Window.partitionBy(by, "_stretch").orderBy("_micros").rangeBetween(-span + 1, -1)
+    seen = counts.unionByName(halo).withColumn("seen", F.coalesce(F.sum("_c").over(w), F.lit(0).cast("long"))).filter("_own").drop("_own", "_c")
+    out = joined(timed, seen, [by, "_stretch", "_micros"]).drop("_stretch", "_micros")
     return out.withColumns({"allowed": F.col("seen") < limit, "remaining": F.greatest(F.lit(0).cast("long"), limit - F.col("seen") - 1)})
 
 

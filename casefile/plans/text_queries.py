@@ -250,6 +250,25 @@ def clusters(spark, d):
     return entities.clusters(mentions).select("doc_id", "canonical", "label", F.array_join("mentions", "|").alias("mentions"), "n")
 
 
+PEOPLE = {"PERSON": [r"[A-Z][a-z]{5,}(?: [a-z]{7,})?"], "ORG": [r"[A-Z][a-z]{2,3}[.,]"]}
+
+
+@query("scr27_linked_clusters", rf"""
+WITH RECURSIVE d AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations),
+x AS (SELECT doc_id, 'PERSON' AS label, regexp_extract_all(text, '{PEOPLE["PERSON"][0]}') AS m FROM d UNION ALL SELECT doc_id, 'ORG', regexp_extract_all(text, '{PEOPLE["ORG"][0]}') FROM d),
+m AS (SELECT doc_id, label, unnest(m) AS text, unnest(range(len(m))) AS nth FROM x),
+n AS (SELECT DISTINCT label, lower(text) AS name FROM m),
+w AS (SELECT name, unnest(string_split(name, ' ')) AS word FROM n WHERE label = 'PERSON'),
+e AS (SELECT DISTINCT a.name AS a, b.name AS b FROM w a JOIN w b USING (word)),
+r AS (SELECT name AS top, name FROM n WHERE label = 'PERSON' UNION SELECT r.top, e.b FROM r JOIN e ON r.name = e.a),
+c AS (SELECT 'PERSON' AS label, name, min(top) AS cluster FROM r GROUP BY name UNION ALL SELECT label, name, name FROM n WHERE label <> 'PERSON'),
+k AS (SELECT m.*, cluster FROM m JOIN c ON m.label = c.label AND lower(m.text) = c.name)
+SELECT label, cluster, arg_min(text, struct_pack(a := doc_id, b := nth)) AS canonical, count(*) AS n, count(DISTINCT doc_id) AS n_docs, count(DISTINCT lower(text)) AS n_names FROM k GROUP BY label, cluster HAVING count(*) > 1""")
+def linked_clusters(spark, d):
+    docs = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return entities.linked_clusters(entities.pattern_mentions(docs, patterns=PEOPLE, flags=""))
+
+
 NEGATED = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sent.NEGATIONS) + ")"
 LEX = [("the", 0.4), ("of", -0.3), ("no", -1.2), ("de", 0.7), ("love", 3.2), ("hate", -2.7), ("horrible", -2.5), ("und", 0.2)]
 
