@@ -12,10 +12,10 @@ from casefile.operators import custody as cu
 from casefile.operators import email as em
 from casefile.operators import media, relational, telemetry
 from casefile.plans import text_queries
-from casefile.plans.registry import _lit, cases, custody, evidence, log, query, read, results, sql
+from casefile.plans.registry import PHRASES, _lit, cases, custody, evidence, log, query, read, results, sql
 from casefile.session import scratch, ship
 from casefile.sources import files, sinks
-from casefile.streaming import state
+from casefile.streaming import arrivals, state
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -556,11 +556,27 @@ def stream_custody(spark, d):
 
 @query("stm4_stream_scores", "WITH texts AS (SELECT doc_id, text FROM documents)," + text_queries.SCORED + " SELECT doc_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in text_queries.SCORES) + " FROM _s")
 def stream_scores(spark, d):
-    """Arriving documents scored, each batch appended to a table."""
+    """Arriving documents scored, each batch written once."""
     at = f"{scratch(ship(spark))}/stream-{uuid.uuid4().hex}"
     docs = ship(spark).readStream.schema(read(spark, d, "documents").schema).parquet(f"{d}/documents.parque[t]")
-    state.score_arrivals(docs, lambda df, _: df.drop("text").write.mode("append").parquet(f"{at}/rows"), f"{at}/state").awaitTermination()
-    return spark.read.parquet(f"{at}/rows").select("doc_id", *[R(c).alias(c) for c in text_queries.SCORES])
+    state.score_arrivals(docs, lambda df, batch: arrivals.write_batch({"rows": df.drop("text")}, at, batch), f"{at}/state").awaitTermination()
+    return arrivals.written(spark, at, "rows").select("doc_id", *[R(c).alias(c) for c in text_queries.SCORES])
+
+
+@query("stm4_stream_evidence", sql("texts", text_queries.FUSED.replace("doc_id % 2 = 0", "false") + """,
+_g AS (SELECT doc_id AS evidence_id, fused_score, fused_class, CASE WHEN fused_score > 0.7 THEN 'flagged' ELSE 'analyzed' END AS status, CASE WHEN deception > 0.7 OR fused_score < 0.3 OR length(trim(text)) < 50 OR manipulation > 0.7 THEN 'review' ELSE 'auto_ok' END AS routing, sha256(text) AS original_hash FROM _f)
+SELECT evidence_id, status, fused_class, round(fused_score, 6) AS fused_score, routing, original_hash, 2 AS n_results, 4 AS n_custody, true AS chain_valid FROM _g"""))
+def stream_evidence(spark, d):
+    """Arriving documents through all stages; evidence, results and custody rows of each batch written once and read back."""
+    at = f"{scratch(ship(spark))}/stream-{uuid.uuid4().hex}"
+    docs = ship(spark).readStream.schema(read(spark, d, "documents").schema).parquet(f"{d}/documents.parque[t]")
+    phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES)).cast("int"))
+    rows = docs.select(F.col("doc_id").alias("evidence_id"), F.lit("text").alias("evidence_type"), F.concat("text", F.lit(" "), phrase).alias("text"), F.lit(None).cast("binary").alias("raw"), F.lit("pending").alias("status"))
+    arrivals.process_arrivals(rows, at).awaitTermination()
+    done, found, chain = (arrivals.written(spark, at, name) for name in ("evidence", "results", "custody"))
+    n_results = found.groupBy("evidence_id").agg(F.count(F.lit(1)).cast("int").alias("n_results"))
+    checked = cu.verify(chain.withColumn("ts", F.lit(0)), "original_hash").select("evidence_id", F.col("entries").cast("int").alias("n_custody"), F.col("valid").alias("chain_valid"))
+    return done.join(n_results, "evidence_id").join(checked, "evidence_id").select("evidence_id", "status", "fused_class", R("fused_score").alias("fused_score"), "routing", "original_hash", "n_results", "n_custody", "chain_valid")
 
 
 COUNTERS = "SELECT time_bucket(INTERVAL 1 day, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL"
@@ -593,3 +609,12 @@ def job_progress(spark, d):
 @query("stm7_stream_job_progress", PROGRESS)
 def stream_progress(spark, d):
     return _run_complete(_progress(_stream(spark, d)))
+
+
+@query("stm7_stream_status_counts", "SELECT stage, count(*) AS n FROM (" + PROGRESS + ") GROUP BY stage")
+def stream_status_counts(spark, d):
+    """Items by their latest stage, kept by what each batch changes."""
+    at = f"{scratch(ship(spark))}/stream-{uuid.uuid4().hex}"
+    rows = _stream(spark, d).select(F.col("user_id").alias("evidence_id"), F.col("event_type").alias("stage"), "ts", F.col("event_id").alias("id"))
+    arrivals.run_batches(state.stage_changes(rows), lambda df: {"changes": df.groupBy("stage").agg(F.sum("delta").alias("delta"))}, at, mode="update").awaitTermination()
+    return state.stage_counts(arrivals.written(spark, at, "changes"))

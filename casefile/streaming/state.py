@@ -8,7 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from casefile.functions import score as s
 
@@ -58,83 +58,206 @@ def fixed_window(state: tuple[int, int], rows: Rows, span: int, limit: int) -> t
 LIMITED = "key string, id long, allowed boolean, remaining int"
 
 
-def _limiter(fold: Callable, first: Any, pack: Callable, unpack: Callable, span_s: int, limit: int) -> Callable:
-    span = span_s * 1_000_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _on_rocks(stream: DataFrame) -> None:
+    """State variables and timers are kept by RocksDB; a session that names another store gets it for its next queries."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+def _in_order(parts: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
+    return pd.concat(list(parts)).sort_values(list(order))
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # nothing that it holds can count any more
-            state.remove()
-            return
-        rows = pd.concat(parts).sort_values(["micros", "id"])
-        held = unpack(state.get) if state.exists else first
-        held, out = fold(held, list(zip(rows["id"].tolist(), rows["micros"].tolist())), span, limit)
-        state.update(pack(held))
-        expire(state, (int(rows["micros"].max()) + span) // 1000)
-        yield pd.DataFrame([(str(key[0]), *o) for o in out], columns=["key", "id", "allowed", "remaining"])
 
-    return step
+class Limiter(StatefulProcessor):
+    """A key's accepted times (a list), or its window's begin and count (a value), until the watermark has passed
+    what they can matter for: a timer then clears them."""
 
+    def __init__(self, fixed: bool, seconds: int, limit: int):
+        self.fixed, self.span, self.limit = fixed, seconds * 1_000_000, limit
 
-def expire(state: GroupState, at_ms: int) -> None:
-    """Let the state go once the watermark has passed a time."""
-    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs()) + 1)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("window", "begin long, n long") if self.fixed else handle.getListState("times", "at long")
 
+    def _get(self):
+        if self.fixed:
+            return tuple(self.held.get()) if self.held.exists() else (0, 0)
+        return [t[0] for t in self.held.get()] if self.held.exists() else []
 
-def limited(stream: DataFrame, by: str, seconds: int = 60, limit: int = 100, fixed: bool = False, late: str = "10 minutes") -> DataFrame:
-    """STM2 (sliding, accepted requests only) and STM3 (fixed window). Requests of a batch are taken
-    in the order of (ts, id), those later than ``late`` are dropped; state is a key's accepted times,
-    or its window's begin and count, until the watermark has passed its window."""
+    def _put(self, state) -> None:
+        if self.fixed:
+            self.held.update(tuple(state))
+        else:
+            self.held.put([(t,) for t in state])
+
+    def _last(self, state) -> int:
+        return state[0] if self.fixed else max(state, default=0)
+
+    def _until(self, at: int) -> None:
+        self.handle.registerTimer((at + self.span) // 1000 + 1)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        rows = initialState.sort_values(list(initialState.columns[1:]))
+        state = (int(rows["begin"].iloc[0]), int(rows["n"].iloc[0])) if self.fixed else [int(t) for t in rows["at"]]
+        self._put(state)
+        self._until(self._last(state))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = _in_order(rows, "micros", "id")
+        fold = fixed_window if self.fixed else accepted_within
+        state, out = fold(self._get(), list(zip(new["id"].tolist(), new["micros"].tolist())), self.span, self.limit)
+        self._put(state)
+        self._until(self._last(state))
+        yield pd.DataFrame([(str(key[0]), *o) for o in out], columns=["key", "id", "allowed", "remaining"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if (self._last(self._get()) + self.span) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _keyed(requests: DataFrame, by: str) -> DataFrame:
     at = F.col("ts").cast("timestamp")
-    keyed = stream.select(F.col(by).cast("string").alias("key"), F.col("id").cast("long").alias("id"), at.alias("ts"), F.unix_micros(at).alias("micros")).withWatermark("ts", late)
-    if fixed:
-        step, state = _limiter(fixed_window, (0, 0), lambda x: x, lambda x: tuple(x), seconds, limit), "begin long, n long"
-    else:
-        step, state = _limiter(accepted_within, [], lambda x: (x,), lambda x: list(x[0]), seconds, limit), "times array<long>"
-    return keyed.groupBy("key").applyInPandasWithState(step, LIMITED, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return requests.select(F.col(by).cast("string").alias("key"), F.col("id").cast("long").alias("id"), at.alias("ts"), F.unix_micros(at).alias("micros"))
 
 
-def limited_batch(requests: DataFrame, by: str, seconds: int = 60, limit: int = 100, fixed: bool = False) -> DataFrame:
-    """The same over a whole table: a fold over the requests of each key, which come sorted. A task
-    holds a batch and one key's state, however many requests a key has."""
+def limited(stream: DataFrame, by: str, seconds: int = 60, limit: int = 100, fixed: bool = False, late: str = "10 minutes", initial: DataFrame | None = None) -> DataFrame:
+    """STM2 (sliding, accepted requests only) and STM3 (fixed window). Requests of a batch are taken in the order of (ts, id),
+    those later than ``late`` are dropped. ``initial`` is where a stream takes up from a table: ``limit_state`` of it."""
+    _on_rocks(stream)
+    first = None if initial is None else initial.groupBy("key")
+    return _keyed(stream, by).withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Limiter(fixed, seconds, limit), LIMITED, "Append", "EventTime", first)
+
+
+def _folded(requests: DataFrame, by: str, seconds: int, limit: int, fixed: bool, states: bool) -> DataFrame:
+    """A fold over the requests of each key, which come sorted: what it says of each, or what it holds at the end. A task holds a
+    batch and one key's state, however many requests a key has."""
     span = seconds * 1_000_000
     fold, first = (fixed_window, (0, 0)) if fixed else (accepted_within, [])
+    columns = (["key", "begin", "n"] if fixed else ["key", "at"]) if states else ["key", "id", "allowed", "remaining"]
+
+    def ended(key, held) -> list[tuple]:
+        return [(key, *held)] if fixed else [(key, t) for t in held]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, first
+        last, name, held = None, None, first
         for pdf in batches:
             out = []
             for key, rows in pdf.groupby(pdf["key"].fillna("\0"), sort=False):
-                held = held if key == last else first
-                last = key
+                if key != last:
+                    out += ended(name, held) if states and last is not None else []
+                    held = first
+                last, name = key, rows["key"].iloc[0]
                 held, got = fold(held, list(zip(rows["id"].tolist(), rows["micros"].tolist())), span, limit)
-                out += [(rows["key"].iloc[0], *o) for o in got]
-            yield pd.DataFrame(out, columns=["key", "id", "allowed", "remaining"])
+                out += [] if states else [(name, *o) for o in got]
+            yield pd.DataFrame(out, columns=columns)
+        if states and last is not None:
+            yield pd.DataFrame(ended(name, held), columns=columns)
 
-    keyed = requests.select(F.col(by).cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return keyed.repartition("key").sortWithinPartitions("key", "micros", "id").mapInPandas(run, LIMITED)
+    schema = ("key string, begin long, n long" if fixed else "key string, at long") if states else LIMITED
+    return _keyed(requests, by).drop("ts").repartition("key").sortWithinPartitions("key", "micros", "id").mapInPandas(run, schema)
 
 
-def custody_breaks(stream: DataFrame, keep_days: int = 365, late: str = "10 minutes") -> DataFrame:
-    """STM6: a row for each entry whose input hash is not the output hash before; the state is one
-    hash for each evidence, forgotten ``keep_days`` after its last entry (WIN1 checks whole logs).
-    Entries of a batch are taken in the order of (ts, id)."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, out = (state.get[0] if state.exists else None), []
-        rows = pd.concat(parts).sort_values(["ts", "id"])
-        for id_, found, result in rows[["id", "input_hash", "output_hash"]].itertuples(index=False):
-            if last is not None and found != last:
-                out.append((str(key[0]), id_, last, found))
-            last = result
-        state.update((last,))
-        expire(state, int(rows["ts"].max().timestamp() * 1000) + keep_days * 86_400_000)
+def limited_batch(requests: DataFrame, by: str, seconds: int = 60, limit: int = 100, fixed: bool = False) -> DataFrame:
+    """The same over a whole table."""
+    return _folded(requests, by, seconds, limit, fixed, False)
+
+
+def limit_state(requests: DataFrame, by: str, seconds: int = 60, limit: int = 100, fixed: bool = False) -> DataFrame:
+    """What the keys of a table hold at its end: the initial state of a stream that goes on from there."""
+    return _folded(requests, by, seconds, limit, fixed, True)
+
+
+class Chains(StatefulProcessor):
+    """The output hash of each chain's last entry, cleared ``keep_days`` after it."""
+
+    def __init__(self, keep_days: int):
+        self.keep = keep_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "hash string, at long")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.sort_values(["ts", "id"]).iloc[-1]
+        self._put(row["output_hash"], int(row["ts"].timestamp() * 1000))
+
+    def _put(self, hash_: str, at: int) -> None:
+        self.last.update((hash_, at))
+        self.handle.registerTimer(at + self.keep + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = _in_order(rows, "ts", "id")
+        before, known, out = None, self.last.exists(), []
+        if known:
+            before = self.last.get()[0]
+        for id_, found, result in new[["id", "input_hash", "output_hash"]].itertuples(index=False):
+            if known and found != before:
+                out.append((str(key[0]), id_, before, found))
+            before, known = result, True
+        self._put(before, int(new["ts"].max().timestamp() * 1000))
         yield pd.DataFrame(out, columns=["evidence_id", "id", "expected", "found"])
 
-    rows = stream.select(F.col("evidence_id").cast("string").alias("evidence_id"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "input_hash", "output_hash").withWatermark("ts", late)
-    return rows.groupBy("evidence_id").applyInPandasWithState(step, "evidence_id string, id long, expected string, found string", "last string", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[1] + self.keep + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _entries(custody: DataFrame) -> DataFrame:
+    return custody.select(F.col("evidence_id").cast("string").alias("evidence_id"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "input_hash", "output_hash")
+
+
+def custody_breaks(stream: DataFrame, keep_days: int = 365, late: str = "10 minutes", initial: DataFrame | None = None) -> DataFrame:
+    """STM6: a row for each entry whose input hash is not the output hash before; the state is one
+    hash for each evidence, forgotten ``keep_days`` after its last entry (WIN1 checks whole logs).
+    Entries of a batch are taken in the order of (ts, id). ``initial``: entries that came before the stream, of which the
+    last of each chain count."""
+    _on_rocks(stream)
+    first = None
+    if initial is not None:
+        last = F.max_by(F.struct("id", "ts", "output_hash"), F.struct("ts", "id")).alias("e")
+        first = _entries(initial).groupBy("evidence_id").agg(last).select("evidence_id", "e.*").groupBy("evidence_id")
+    return _entries(stream).withWatermark("ts", late).groupBy("evidence_id").transformWithStateInPandas(Chains(keep_days), "evidence_id string, id long, expected string, found string", "Append", "EventTime", first)
+
+
+class Latest(StatefulProcessor):
+    """The latest stage of each item; a change takes the item from its old stage's count to the new one's."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "stage string, micros long, id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stage, micros, id_ = _in_order(rows, "micros", "id")[["stage", "micros", "id"]].iloc[-1].tolist()
+        old, out = (self.latest.get() if self.latest.exists() else None), []
+        if old is None or (old[1], old[2]) < (micros, id_):
+            self.latest.update((stage, int(micros), int(id_)))
+            if old is None or old[0] != stage:
+                out = [(stage, 1)] + ([] if old is None else [(old[0], -1)])
+        yield pd.DataFrame(out, columns=["stage", "delta"])
+
+    def close(self) -> None:
+        pass
+
+
+def stage_changes(stream: DataFrame) -> DataFrame:
+    """STM7: stage and delta, a row for each count that an item's new stage changes. The latest row of (ts, id) counts, in whatever
+    batch it comes; the state is one row for each item."""
+    _on_rocks(stream)
+    rows = stream.select(F.col("evidence_id").cast("string").alias("evidence_id"), "stage", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.col("id").cast("long").alias("id"))
+    return rows.groupBy("evidence_id").transformWithStateInPandas(Latest(), "stage string, delta int", "Update", "None")
+
+
+def stage_counts(changes: DataFrame) -> DataFrame:
+    """STM7: items by their latest stage."""
+    return changes.groupBy("stage").agg(F.sum("delta").alias("n")).filter("n <> 0")
 
 
 def score_arrivals(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, text: str = "text", available_now: bool = True):
