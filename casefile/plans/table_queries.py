@@ -14,7 +14,7 @@ from casefile.operators import media, relational, telemetry
 from casefile.plans import text_queries
 from casefile.plans.registry import PHRASES, _lit, cases, custody, evidence, log, query, read, results, sql
 from casefile.session import scratch, ship
-from casefile.sources import files, sinks
+from casefile.sources import files, packed, sinks
 from casefile.streaming import arrivals, state
 
 R = lambda c, n=6: F.round(c, n)
@@ -444,6 +444,35 @@ def scan(spark, d):
     return files.scan_files(spark, d, "*.parquet").select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "size_bytes", "sha256", "evidence_type")
 
 
+@query("src1_scanned_texts", "SELECT source, sum(octet_length(encode(text)) + 1)::BIGINT AS size_bytes, sha256(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS sha256 FROM documents GROUP BY source")
+def scanned_texts(spark, d):
+    """The texts of each source written as a file, and the files scanned; small ones are read whole, larger ones in pieces."""
+    at = f"{scratch(ship(spark))}/texts-{uuid.uuid4().hex}"
+    rows = read(spark, d, "documents").select("source", "doc_id", "text").repartition("source").sortWithinPartitions("source", "doc_id")
+    rows.select("source", "text").write.partitionBy("source").text(at)
+    found = files.scan_files(spark, at, "*.txt", whole=100_000)
+    return found.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "size_bytes", "sha256")
+
+
+@query("snk1_package_written", sql("evidence custody", "SELECT case_id, count(*) AS items, count(*) AS intact FROM evidence GROUP BY case_id"))
+def package_written(spark, d):
+    """All cases as one package, written and verified."""
+    at = f"{scratch(ship(spark))}/package-{uuid.uuid4().hex}"
+    sinks.export_packages(evidence(spark, d).drop("version"), custody(spark, d), results(spark, d), at, 1 << 20)
+    checked = packed.verified(spark, at).select(F.split_part("key", F.lit("/"), F.lit(1)).cast("long").alias("case_id"), "state")
+    return checked.groupBy("case_id").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("state") == "OK").alias("intact"))
+
+
+@query("snk3_custody_packed", sql("custody", "SELECT evidence_id, count(*) AS n, sum(id)::BIGINT AS ids, md5(string_agg(output_hash, '' ORDER BY ts, id)) AS hashes FROM custody GROUP BY evidence_id"))
+def custody_packed(spark, d):
+    """Custody entries packed into few files and read back in order."""
+    at = f"{scratch(ship(spark))}/custody-{uuid.uuid4().hex}"
+    sinks.pack_custody(custody(spark, d), at, 1 << 20)
+    row = packed.lines(spark, at).select("key", F.struct("file", "offset", "nth").alias("place"), F.from_json("line", "id long, output_hash string").alias("e"))
+    whole = row.groupBy(F.col("key").cast("long").alias("evidence_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("e.id").alias("ids"), F.sort_array(F.collect_list(F.struct("place", "e.output_hash"))).alias("all"))
+    return whole.select("evidence_id", "n", "ids", F.md5(F.array_join(F.transform("all", lambda x: x["output_hash"]), "")).alias("hashes"))
+
+
 @query("snk1_2_package", sql("evidence custody", """SELECT CASE WHEN evidence_id % 19 = 0 THEN 'ERROR' WHEN evidence_id % 23 = 0 THEN 'FAIL' ELSE 'OK' END AS state, count(*) AS n FROM evidence GROUP BY 1"""))
 def package(spark, d):
     made = sinks.evidence_json(evidence(spark, d).drop("version"), custody(spark, d), results(spark, d))

@@ -8,10 +8,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casefile.functions import ingest
+from casefile.sources import packed
 
 MAX_ATTACHMENT = 50 * 1024 * 1024
 MAILS = (
@@ -20,11 +22,34 @@ MAILS = (
 )
 
 
-def scan_files(spark: SparkSession, path: str, pattern: str | None = None, keep_content: bool = False) -> DataFrame:
-    """SRC1: path, size_bytes, modified, sha256 and evidence type of every file below ``path``."""
+#: Larger files are hashed in pieces; smaller ones are read whole, by any of Spark's readers.
+WHOLE, PIECE = 256 << 20, 4 << 20
+
+
+def _hashed(batches):
+    schema = pa.schema([("path", pa.string()), ("sha256", pa.string())])
+    for batch in batches:
+        out = []
+        for path in batch.column("path").to_pylist():
+            fs, at = packed.store(path)
+            hash_ = hashlib.sha256()
+            with fs.open_input_stream(at) as f:
+                while data := f.read(PIECE):
+                    hash_.update(data)
+            out.append(hash_.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path").cast(pa.string()), pa.array(out, pa.string())], schema=schema)
+
+
+def scan_files(spark: SparkSession, path: str, pattern: str | None = None, keep_content: bool = False, whole: int = WHOLE) -> DataFrame:
+    """SRC1: path, size_bytes, modified, sha256 and evidence type of every file below ``path``; a file may be of any size. Files of over
+    ``whole`` bytes are streamed by pyarrow's file systems, one a task at a time, and have no ``content`` (null)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
-    out = files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), ingest.type_of_extension("path").alias("evidence_type"), "content")
+    small = files.filter(F.col("length") <= whole).select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"), "content")
+    large = files.filter(F.col("length") > whole).select("path", "length", "modificationTime")
+    hashed = large.select("path").repartition("path").mapInArrow(_hashed, "path string, sha256 string")
+    both = small.unionByName(large.join(hashed, "path").withColumn("content", F.lit(None).cast("binary")))
+    out = both.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "sha256", ingest.type_of_extension("path").alias("evidence_type"), "content")
     return out if keep_content else out.drop("content")
 
 

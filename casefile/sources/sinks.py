@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casefile.sources import packed
+
 
 def evidence_json(evidence: DataFrame, custody: DataFrame, results: DataFrame) -> DataFrame:
     """SNK1: case_id, evidence_id, path, json: one document for each item with its custody and results."""
@@ -26,6 +28,19 @@ def export_cases(evidence: DataFrame, custody: DataFrame, results: DataFrame, pa
     manifest(files).write.mode("overwrite").partitionBy("case_id").json(f"{path}/manifest")
 
 
+def export_packages(evidence: DataFrame, custody: DataFrame, results: DataFrame, path: str, file_bytes: int = packed.FILE_BYTES) -> None:
+    """SNK1: the items of all cases as one package of files of bounded size, by case and item, with index and manifest; nothing
+    of it is there unless all of it is."""
+    files = evidence_json(evidence, custody, results)
+    packed.pack(files, F.concat_ws("/", F.col("case_id").cast("string"), "path"), F.col("json"), [], path, file_bytes)
+
+
+def pack_custody(custody: DataFrame, path: str, file_bytes: int = packed.FILE_BYTES) -> None:
+    """SNK3: custody entries as JSON lines by evidence, in order, in files of bounded size with an index."""
+    named = [F.col(c) if c in custody.columns else F.lit(None).cast("string").alias(c) for c in CUSTODY_COLUMNS]
+    packed.pack(custody, F.col("evidence_id"), F.to_json(F.struct(*named)), [F.col("ts"), F.col("id")], path, file_bytes)
+
+
 def check_manifest(listed: DataFrame, files: DataFrame) -> DataFrame:
     """SNK2: OK, FAIL or ERROR (missing) for each listed file; ``files`` has case_id, path and json."""
     found = files.select("case_id", "path", F.sha2("json", 256).alias("found"))
