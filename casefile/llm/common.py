@@ -29,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def plain(docs: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """``docs`` with its other columns than ``known`` ones under names that need no quotes and clash with none of ours.
+    ``toDF(*docs.columns)`` gives them back."""
+    return docs.toDF(*[c if c in known else f"other_{i}" for i, c in enumerate(docs.columns)])
+
+
 def with_row(docs: DataFrame) -> DataFrame:
     """``docs`` with _row, a key of the whole row; only equal rows share one."""
     parts = [F.coalesce(F.md5("text"), F.lit("-"))] + [F.coalesce(F.concat(F.lit("+"), F.md5(F.col(c).cast("string"))), F.lit("-")) for c in docs.columns if c != "text"]

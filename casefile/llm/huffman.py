@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from casefile.llm.common import pieces, rows, written
+from casefile.llm.ranks import range_bounds
 from casefile.llm.word_ids import WordIds
 
 END = 2
@@ -244,7 +245,7 @@ def stretches(tokens: DataFrame, total: int, shards: int | None = None) -> tuple
     its own. The driver gets a number for each shard and each such doc_id, of which there are no more."""
     size = -(-total // shards) if shards else SHARD
     shards = shards or max(1, -(-total // SHARD))
-    bounds = {int(np.floor(x)) for x in tokens.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 1 / (8 * shards))} if shards > 1 else set()
+    bounds = set(range_bounds(tokens, "doc_id", shards)) if shards > 1 else set()
     heavy = {NULL if r["doc_id"] is None else r["doc_id"]: r["n"] for r in tokens.groupBy("doc_id").agg(F.sum("n").alias("n")).filter(F.col("n") > 2 * size).collect()}
     ordered = np.array(sorted(bounds | set(heavy) | {h + 1 for h in heavy if h < MOST_ID}), np.int64)
     parts = np.ones(len(ordered) + 1, np.int64)

@@ -8,6 +8,24 @@ from pyspark.sql.window import Window
 
 from casefile.llm.common import written
 
+#: Ranges that bounds are sought in at first.
+COARSE = 2_048
+
+
+def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
+    """Numbers that cut a column of whole numbers into about ``n`` ranges of about as many rows each (nulls are before all).
+
+    Rows are dealt to COARSE ranges by Spark; where more are wanted, each of these is cut on executors. The driver gets the
+    numbers only."""
+    coarse, fine = min(n, COARSE), -(-n // COARSE)
+    part = df.select(F.col(column).alias("x")).repartitionByRange(coarse, "x").withColumn("p", F.spark_partition_id()).groupBy("p")
+    if fine == 1:
+        found = part.agg(F.array(F.min("x")).alias("x"))
+    else:
+        found = part.agg(F.concat(F.array(F.min("x")), F.percentile_approx("x", [k / fine for k in range(1, fine)], 100 * fine)).alias("x"))
+    bounds = sorted({int(x) for r in found.collect() for x in r["x"] or () if x is not None})
+    return bounds[1:]
+
 
 def ranked(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """``df`` with idx, a row's number (from 0) among the rows of its ``key`` by ``order``, and n, how many
