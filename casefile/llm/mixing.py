@@ -22,7 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casefile.llm.common import pieces, with_row, written
+from casefile.llm.common import pieces, plain, with_row, written
+from casefile.llm.ranks import range_bounds
+
+#: Columns that are read; others only tell rows apart, whatever their names.
+KNOWN = ("doc_id", "text", "source", "n_chars")
 
 BLOCK = 64
 #: A source has so many blocks at least, unless these would have under LEAST words.
@@ -145,7 +149,7 @@ def positions(sized: DataFrame, rows: int) -> DataFrame:
     """``sized`` with start: the words of the same source before the document (doc_id order; nulls
     first; equal doc_ids by size, then row). Bins of doc_ids are summed first, then documents within bins."""
     bins = max(1, min(max(BINS, -(-rows // BIN_ROWS)), rows // 16))
-    bounds = sized.approxQuantile("doc_id", [k / bins for k in range(1, bins)], 1 / (8 * bins)) if bins > 1 else []
+    bounds = range_bounds(sized, "doc_id", bins) if bins > 1 else []
     spark = sized.sparkSession
     shared = spark.sparkContext.broadcast(np.array(bounds))
     schema = pa.schema([*SIZES, ("bin", pa.int64())])
@@ -256,7 +260,7 @@ def mix_digest(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
     shared doc_ids are documents of their own; rows equal in all columns share what they take evenly,
     the rest going to any of them. Texts are counted whole. An empty table, or one without words, takes nothing.
     """
-    sized = written(sizes(docs), "sizes")
+    sized = written(sizes(plain(docs, KNOWN)), "sizes")
     plan = Plan(sized, seed, block)
     taken = plan.mixed().groupBy("row").agg(F.sum("n").alias("taken"))
     alike = sized.groupBy("row").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("doc_id", "source", "size")])
@@ -282,7 +286,8 @@ def mix_texts(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
     A whole text stays as it is; of a part the words are joined by one space. Documents without
     words (null or empty texts) have nothing to take and give no row. Rows equal in all columns are one
     document; null or shared doc_ids are documents of their own. Texts are read whole; an empty table
-    gives an empty result."""
+    gives an empty result. Other columns may have any names."""
+    names, docs = docs.columns, plain(docs, KNOWN)
     sized = written(sizes(docs).dropDuplicates(["row"]), "sizes")
     keyed = with_row(docs)
     if docs.count() > sized.count():
@@ -307,4 +312,4 @@ def mix_texts(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
                     columns[chars] = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    return joined.select(*[f"d.{c}" for c in fields], "_size", "_parts").mapInArrow(cut, docs.schema)
+    return joined.select(*[f"d.{c}" for c in fields], "_size", "_parts").mapInArrow(cut, docs.schema).toDF(*names)

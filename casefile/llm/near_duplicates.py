@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casefile.llm import simhash
-from casefile.llm.common import pieces, with_row, words_of, written
+from casefile.llm.common import pieces, plain, with_row, words_of, written
 from casefile.llm.components import connected_components
 from casefile.llm.simhash import LOWER, SEED
 
@@ -177,8 +177,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 
     ``docs`` has doc_id and text; all its columns are kept. Null, empty and blank texts, which have
     no words, are copies of each other. Rows are told apart by all of their columns, so that a missing or a shared doc_id loses
-    no text; equal rows are copies. Texts are compared whole, however long. An empty table gives an empty result.
+    no text; equal rows are copies. Texts are compared whole, however long. An empty table gives an empty result. Other columns may have any names.
     """
+    names, docs = docs.columns, plain(docs, ("doc_id", "text"))
     keyed = with_row(docs)
     sketch = written(sketches(keyed, shingle), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
@@ -205,4 +206,4 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
     kept = nodes.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("part")).agg(F.min("first").alias("first"))
-    return keyed.join(kept.select(F.col("first.row").alias("_row")), "_row").dropDuplicates(["_row"]).select(*docs.columns)
+    return keyed.join(kept.select(F.col("first.row").alias("_row")), "_row").dropDuplicates(["_row"]).select(*docs.columns).toDF(*names)
