@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from casefile.functions import score
+from casefile.functions import mail, score
 from casefile.functions import text as t
 from casefile.operators import custody as cu
 from casefile.operators import email as em
@@ -444,6 +444,23 @@ def scan(spark, d):
     return files.scan_files(spark, d, "*.parquet").select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "size_bytes", "sha256", "evidence_type")
 
 
+@query("src2_mail_texts", r"""SELECT doc_id, 'a' || doc_id || '@example.com' AS sender, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang || ' ' || source END AS subject, md5(text) AS body, CASE WHEN doc_id % 3 = 0 THEN '' ELSE md5(upper(source)) END AS html,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE sha256(lang) END AS attached FROM documents""")
+def mail_texts(spark, d):
+    """Whole documents as the bodies of messages, encoded as mails are, and read again: one in three has one part only."""
+    k, text = F.col("doc_id"), F.col("text")
+    base = lambda c: F.base64(F.encode(c, "UTF-8"))
+    head = F.concat(F.lit("From: =?utf-8?q?=C3=84nne?= <a"), k.cast("string"), F.lit("@example.com>\r\n"))
+    single = F.concat(head, F.lit("Content-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), base(text))
+    parts = [("text/plain; charset=utf-8", "", base(text)), ("text/html; charset=utf-8", "", base(F.upper("source"))), ("application/octet-stream", 'Content-Disposition: attachment;\r\n filename="l.bin"\r\n', base(F.col("lang")))]
+    body = F.concat(*[F.concat(F.lit(f"--=_b1\r\nContent-Type: {kind}\r\n{more}Content-Transfer-Encoding: base64\r\n\r\n"), data, F.lit("\r\n")) for kind, more, data in parts], F.lit("--=_b1--\r\n"))
+    whole = F.concat(head, F.lit("Subject: =?utf-8?b?"), base(F.concat_ws(" ", "lang", "source")), F.lit('?=\r\nContent-Type: multipart/mixed;\r\n boundary="=_b1"\r\n\r\n'), body)
+    raw = read(spark, d, "documents").select(k.cast("string").alias("path"), F.encode(F.when(k % 3 == 0, single).otherwise(whole), "UTF-8").alias("content"))
+    hashed = lambda c: F.when(F.col(c) == "", "").otherwise(F.md5(c))
+    m = mail.parsed(raw, files.MAX_ATTACHMENT)
+    return m.select(F.col("path").cast("long").alias("doc_id"), t.sender("from").alias("sender"), F.coalesce("subject", F.lit("")).alias("subject"), F.md5("body_text").alias("body"), hashed("body_html").alias("html"), F.coalesce(F.get("attachments", F.lit(0))["sha256"], F.lit("")).alias("attached"))
+
+
 @query("src1_scanned_texts", "SELECT source, sum(octet_length(encode(text)) + 1)::BIGINT AS size_bytes, sha256(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS sha256 FROM documents GROUP BY source")
 def scanned_texts(spark, d):
     """The texts of each source written as a file, and the files scanned; small ones are read whole, larger ones in pieces."""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.functions import ingest
+from casefile.functions import ingest, mail
 from casefile.sources import packed
 
 MAX_ATTACHMENT = 50 * 1024 * 1024
@@ -96,3 +96,8 @@ def parse_mails(files: DataFrame) -> DataFrame:
 def read_mails(spark: SparkSession, path: str, pattern: str = "*.eml") -> DataFrame:
     """SRC2 over a folder."""
     return parse_mails(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path))
+
+
+def read_messages(spark: SparkSession, path: str, pattern: str = "*.eml", most: int = MAX_ATTACHMENT) -> DataFrame:
+    """SRC2 over a folder, by column expressions only."""
+    return mail.parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path), most)
