@@ -29,6 +29,52 @@ class Analyser(Protocol):
     def apply(self, df: DataFrame) -> DataFrame: ...
 
 
+#: What a critique asks of a result, and what it takes where an analyser does not say.
+CRITIQUE = {"chars": 0, "both_patterns": False, "consistency": 1.0, "anomalies": 0, "agents": 0, "labels": 0, "relations": 0, "risk": "low", "has_exif": False, "verified": False, "has_metadata": False, "words": 0, "engines": 0, "engine_variance": 1.0, "speakers": 0, "seconds": 0.0, "scenes": 0, "has_audio": False}
+RESULTS = "evidence_id, seq, agent_type, confidence, findings, errors, critique"
+
+
+@dataclass(frozen=True)
+class ResultAnalyser:
+    """An analyser whose findings are rows of results: expressions over evidence rows for its confidence, its findings (name to
+    column), its error (null if there is none) and what its critique of itself asks (see CRITIQUE)."""
+
+    agent_type: str
+    confidence: Column
+    findings: dict[str, Column]
+    error: Column | None = None
+    asked: dict[str, Column] = field(default_factory=dict)
+
+    def row(self, seq: Column) -> Column:
+        """The result as a struct. One with an error has no confidence, and its critique is 0."""
+        error = F.lit(None).cast("string") if self.error is None else self.error
+        ok, sure = error.isNull(), F.when(error.isNull(), self.confidence).otherwise(0.0)
+        asked = {k: self.asked.get(k, F.lit(v)) for k, v in CRITIQUE.items()}
+        worth = score.critique(F.lit(self.agent_type), {"ok": ok, "confidence": sure, "findings": F.lit(len(self.findings)), **asked})
+        errors = F.when(ok, F.array().cast("array<string>")).otherwise(F.array(error))
+        return F.struct(seq.cast("int").alias("seq"), F.lit(self.agent_type).alias("agent_type"), sure.alias("confidence"), F.to_json(F.struct(*[c.alias(k) for k, c in self.findings.items()])).alias("findings"), errors.alias("errors"), worth.alias("critique"))
+
+    def apply(self, evidence: DataFrame, results: DataFrame) -> DataFrame:
+        """``results`` with a row more for each item of evidence, whose seq follows the item's last."""
+        last = results.groupBy("evidence_id").agg((F.max("seq") + 1).alias("_seq"))
+        new = evidence.join(last, "evidence_id", "left").select("evidence_id", self.row(F.coalesce("_seq", F.lit(0))).alias("r")).select("evidence_id", "r.*")
+        return results.unionByName(new, allowMissingColumns=True)
+
+
+def result_rows(evidence: DataFrame, analysers: list[ResultAnalyser]) -> DataFrame:
+    """The results of several analysers over the same evidence, in one pass without a shuffle."""
+    rows = F.array(*[a.row(F.lit(k)) for k, a in enumerate(analysers)])
+    return evidence.select("evidence_id", F.explode(rows).alias("r")).select("evidence_id", "r.*")
+
+
+def standard_analysers() -> list[ResultAnalyser]:
+    """Behavior and fusion over rows that have passed the stages up to the gate."""
+    scores = {c: F.col(c) for c in ("darvo", "gaslighting", "manipulation", "deception", "primary_class")}
+    behavioral = ResultAnalyser("behavioral", F.col("confidence"), scores, F.col("error"), {"chars": F.length("text"), "both_patterns": (F.col("darvo") > 0) & (F.col("gaslighting") > 0)})
+    fused = ResultAnalyser("fusion", F.col("fused_score"), {c: F.col(c) for c in ("fused_score", "fused_class", "tier")}, F.col("error"), {"agents": F.lit(1)})
+    return [behavioral, fused]
+
+
 @dataclass
 class Stages:
     """Named stages in their order; hooks run before (``pre``) or after a stage."""

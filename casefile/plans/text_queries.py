@@ -88,6 +88,16 @@ def evidence_to_gate(spark, d):
     return done.groupBy(F.col("evidence_type").alias("kind"), F.array_join("stages", ">").alias("stages"), "needs_ocr", "routing", "fused_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("results_with_critique", sql("texts", FUSED.replace("doc_id % 2 = 0", "false") + """
+SELECT doc_id AS evidence_id, 0 AS seq, 'behavioral' AS agent_type, round(confidence, 6) AS confidence, round(least(1.0, confidence * CASE WHEN length(text) < 50 THEN 0.6::DOUBLE WHEN length(text) < 100 THEN 0.8::DOUBLE ELSE 1.0 END + CASE WHEN darvo > 0 AND gaslighting > 0 THEN 0.05::DOUBLE ELSE 0.0 END), 6) AS critique FROM _f
+UNION ALL SELECT doc_id, 1, 'fusion', round(fused_score, 6), round(fused_score, 6) FROM _f"""))
+def results_with_critique(spark, d):
+    """The results of the standard analysers, each with its critique of itself."""
+    rows = texts(spark, d).select(F.col("doc_id").alias("evidence_id"), F.lit("text").alias("evidence_type"), "text", F.lit(None).cast("binary").alias("raw"))
+    found = analysis.result_rows(analysis.evidence_stages().run(rows), analysis.standard_analysers())
+    return found.select("evidence_id", "seq", "agent_type", R("confidence").alias("confidence"), R("critique").alias("critique"))
+
+
 @query("srt4_ranked_classes", sql("texts", FUSED + """,
 _c AS (SELECT doc_id, unnest(['normal', 'darvo', 'gaslighting', 'manipulation', 'aggressive', 'defensive']) AS cls, unnest([pn, darvo, gaslighting, pm, 0.0, 0.0]) AS p, unnest(range(6)) AS i FROM _q)
 SELECT doc_id, string_agg(cls, '>' ORDER BY p DESC, i) AS ranked FROM _c GROUP BY doc_id"""))

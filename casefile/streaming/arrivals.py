@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.operators.analysis import Stages, evidence_stages
+from casefile.operators.analysis import Stages, evidence_stages, result_rows, standard_analysers
 
 DONE = "_done"
 
@@ -49,10 +49,6 @@ def analysed(evidence: DataFrame, stages: Stages | None = None) -> dict[str, Dat
     content = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     scores = F.to_json(F.struct("darvo", "gaslighting", "manipulation", "deception", "primary_class"))
     fused = F.to_json(F.struct("fused_score", "fused_class", "tier"))
-    errors = F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.array().cast("array<string>"))
-    own = F.when(F.col("error").isNotNull(), F.lit(0.0)).otherwise(F.col("confidence"))
-    found = [("behavioral", own, scores), ("fusion", F.when(F.col("error").isNotNull(), F.lit(0.0)).otherwise(F.col("fused_score")), fused)]
-    results = F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(a).alias("agent_type"), c.alias("confidence"), f.alias("findings"), errors.alias("errors")) for k, (a, c, f) in enumerate(found)])
     hashes = [content, content, F.sha2(scores, 256), F.sha2(fused, 256), F.sha2(F.concat_ws("|", F.sha2(fused, 256), "routing"), 256)]
     steps = [("intake", "uploaded"), ("behavioral", "analyzed"), ("fusion", "fused"), ("gate", "routed")]
     entries = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(a).alias("agent_id"), F.lit(v).alias("action"), hashes[k].alias("input_hash"), hashes[k + 1].alias("output_hash")) for k, (a, v) in enumerate(steps)])
@@ -60,7 +56,7 @@ def analysed(evidence: DataFrame, stages: Stages | None = None) -> dict[str, Dat
     kept = [c for c in ("case_id", "ts") if c in done.columns]
     return {
         "evidence": done.select("evidence_id", *kept, "evidence_type", state.alias("status"), "fused_score", "fused_class", "tier", "routing", content.alias("original_hash")),
-        "results": done.select("evidence_id", F.explode(results).alias("r")).select("evidence_id", "r.*"),
+        "results": result_rows(done, standard_analysers()),
         "custody": done.select("evidence_id", *[c for c in ("ts",) if c in done.columns], content.alias("original_hash"), F.explode(entries).alias("e")).select("*", "e.*").drop("e"),
     }
 

@@ -104,3 +104,16 @@ def test_evidence_to_gate_and_a_batch_that_comes_again(spark, tmp_path):
     assert tables() == first
     arrivals.analysed(again)["results"].write.parquet(f"{at}/results/batch=2")
     assert tables() == first
+
+
+def test_an_analyser_appends_results_with_its_critique(spark):
+    from casefile.operators.analysis import ResultAnalyser
+
+    evidence = spark.createDataFrame([(1, "a b c", None), (2, "x", "unreadable"), (3, None, None)], "evidence_id long, text string, error string")
+    results = spark.createDataFrame([(1, 4, "ocr", 0.5, "{}", [], 0.5)], "evidence_id long, seq int, agent_type string, confidence double, findings string, errors array<string>, critique double")
+    length = F.coalesce(F.length("text"), F.lit(0))
+    counting = ResultAnalyser("length", F.lit(0.7), {"chars": length, "blank": length == 0}, F.col("error"))
+    got = {(r["evidence_id"], r["seq"]): r for r in counting.apply(evidence, results).collect()}
+    assert set(got) == {(1, 4), (1, 5), (2, 0), (3, 0)}
+    assert got[1, 5]["critique"] == pytest.approx(0.74) and got[1, 5]["findings"] == '{"chars":5,"blank":false}' and got[1, 5]["errors"] == []
+    assert got[2, 0]["errors"] == ["unreadable"] and got[2, 0]["confidence"] == 0 and got[2, 0]["critique"] == 0
