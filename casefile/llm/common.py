@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -47,6 +48,27 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on from task to task, and what its largest one took would
+    stay with it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def lean(run):
+    """A function over batches that begins and ends with no more memory than it holds."""
+
+    def inner(batches):
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
 def rows(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
@@ -65,6 +87,11 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
         yield batch.slice(start)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except AttributeError:  # another C library than GNU's
+    _trim = None
+
 U = np.uint64
 #: Bytes that are hashed at a time: what numpy works on stays in the CPU's cache. Longer spans than
 #: LONG_SPAN are hashed one by one.

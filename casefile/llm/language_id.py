@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casefile.llm.common import pieces
+from casefile.llm.common import lean, pieces
 
 #: The sample's bounds: slices for each language, and characters of a slice; languages.
 SLICES, SLICE = 160, 250
@@ -116,4 +116,4 @@ def identify_language(docs: DataFrame, model: Model, margin: float = MARGIN) ->
                 got = [predict(t.as_py(), coders) for t in part.column(text)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), pa.array([x == UNKNOWN or s < margin for x, s in got])], names=[*fields, "lang_pred", "score", "rejected"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casefile.llm import simhash
-from casefile.llm.common import pieces, plain, with_row, words_of, written
+from casefile.llm.common import lean, pieces, plain, with_row, words_of, written
 from casefile.llm.components import connected_components
 from casefile.llm.simhash import LOWER, SEED
 
@@ -81,7 +81,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 prints = [fingerprint_of(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("_row").cast(pa.string()), part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(prints, pa.binary()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], schema=SKETCH)
 
-    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row string, doc_id long, node binary, fingerprint binary, bands array<long>")
+    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "row string, doc_id long, node binary, fingerprint binary, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -93,7 +93,7 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
                 sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], schema=SETS)
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, set array<long>")
+    return texts.select("node", "text").mapInArrow(lean(run), "node binary, set array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,7 +168,7 @@ def joined_inside(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 rows.append((node, part, block, flat[offsets[k] : offsets[k + 1]]))
         yield from found()
 
-    return dealt.repartition(F.col("bucket"), F.col("cell")).sortWithinPartitions("bucket", "cell").mapInArrow(run, "a binary, b binary")
+    return dealt.repartition(F.col("bucket"), F.col("cell")).sortWithinPartitions("bucket", "cell").mapInArrow(lean(run), "a binary, b binary")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
