@@ -12,7 +12,7 @@ from casefile.operators import custody as cu
 from casefile.operators import email as em
 from casefile.operators import media, relational, telemetry
 from casefile.plans import text_queries
-from casefile.plans.registry import PHRASES, _lit, cases, custody, evidence, log, query, read, results, sql
+from casefile.plans.registry import PHRASES, TABLES, _lit, cases, custody, evidence, log, query, read, results, sql
 from casefile.session import scratch, ship
 from casefile.sources import files, packed, sinks
 from casefile.streaming import arrivals, state
@@ -471,13 +471,13 @@ def scanned_texts(spark, d):
     return found.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "size_bytes", "sha256")
 
 
-@query("snk1_package_written", sql("evidence custody", "SELECT case_id, count(*) AS items, count(*) AS intact FROM evidence GROUP BY case_id"))
+@query("snk1_package_written", sql("evidence custody", """SELECT e.case_id, count(*)::BIGINT AS items, sum(1 + coalesce(c.n, 0) + coalesce(r.n, 0))::BIGINT AS intact_lines FROM evidence e LEFT JOIN (SELECT evidence_id, count(*) AS n FROM custody GROUP BY 1) c USING (evidence_id) LEFT JOIN (SELECT evidence_id, count(*) AS n FROM results GROUP BY 1) r USING (evidence_id) GROUP BY e.case_id""").replace("WITH ", f"WITH results AS ({TABLES['results']}),\n", 1))
 def package_written(spark, d):
     """All cases as one package, written and verified."""
     at = f"{scratch(ship(spark))}/package-{uuid.uuid4().hex}"
     sinks.export_packages(evidence(spark, d).drop("version"), custody(spark, d), results(spark, d), at, 1 << 20)
-    checked = packed.verified(spark, at).select(F.split_part("key", F.lit("/"), F.lit(1)).cast("long").alias("case_id"), "state")
-    return checked.groupBy("case_id").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("state") == "OK").alias("intact"))
+    checked = packed.verified(spark, at).select(F.split_part("key", F.lit("/"), F.lit(1)).cast("long").alias("case_id"), "key", "lines", "state")
+    return checked.groupBy("case_id").agg(F.count_distinct("key").alias("items"), F.sum(F.when(F.col("state") == "OK", F.col("lines"))).alias("intact_lines"))
 
 
 @query("snk3_custody_packed", sql("custody", "SELECT evidence_id, count(*) AS n, sum(id)::BIGINT AS ids, md5(string_agg(output_hash, '' ORDER BY ts, id)) AS hashes FROM custody GROUP BY evidence_id"))
@@ -505,6 +505,20 @@ def reports(spark, d):
     return sinks.case_reports(cases(spark, d).drop("status"), e).select("case_id", F.md5("report").alias("digest"))
 
 
+@query("snk4_report_lines", sql("cases evidence", """SELECT form, case_id, part, evidence_id, line FROM (
+SELECT 'html' AS form, c.case_id, 0 AS part, NULL::BIGINT AS evidence_id, '<h1>' || title || '</h1><p>' || count(e.evidence_id) || ' items, ' || count(e.evidence_id) FILTER (e.status = 'flagged') || ' flagged</p><table>' AS line FROM cases c LEFT JOIN evidence e ON c.case_id = e.case_id GROUP BY c.case_id, title
+UNION ALL SELECT 'html', case_id, 1, evidence_id, '<tr><td>' || evidence_id || '</td><td>' || evidence_type || '</td><td>' || status || '</td><td>-</td><td>-</td></tr>' FROM evidence UNION ALL SELECT 'html', case_id, 2, NULL, '</table>' FROM cases
+UNION ALL SELECT 'markdown', c.case_id, 0, NULL, '# ' || title || chr(10) || chr(10) || count(e.evidence_id) || ' items, ' || count(e.evidence_id) FILTER (e.status = 'flagged') || ' flagged' || chr(10) || chr(10) || '| id | type | status | score | class |' || chr(10) || '|-|-|-|-|-|' FROM cases c LEFT JOIN evidence e ON c.case_id = e.case_id GROUP BY c.case_id, title
+UNION ALL SELECT 'markdown', case_id, 1, evidence_id, '| ' || evidence_id || ' | ' || evidence_type || ' | ' || status || ' | - | - |' FROM evidence
+UNION ALL SELECT 'json', c.case_id, 0, NULL, '{"case_id":' || c.case_id || ',"title":"' || title || '","total":' || count(e.evidence_id) || ',"flagged":' || count(e.evidence_id) FILTER (e.status = 'flagged') || '}' FROM cases c LEFT JOIN evidence e ON c.case_id = e.case_id GROUP BY c.case_id, title
+UNION ALL SELECT 'json', case_id, 1, evidence_id, '{"evidence_id":' || evidence_id || ',"evidence_type":"' || evidence_type || '","status":"' || status || '"}' FROM evidence)"""))
+def report_lines(spark, d):
+    """Reports of all cases in three forms, line by line."""
+    e = evidence(spark, d).withColumns({"fused_score": F.lit(None).cast("double"), "fused_class": F.lit(None).cast("string")})
+    forms = [sinks.report_lines(cases(spark, d).drop("status"), e, form).select(F.lit(form).alias("form"), "case_id", "part", "evidence_id", "line") for form in sinks.FORMS]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2])
+
+
 @query("snk3_custody_export", sql("custody", "SELECT evidence_id % 20 AS evidence_id, count(*) AS n, sum(id)::BIGINT AS ids, min(action) AS first, md5(string_agg(output_hash, '' ORDER BY id)) AS hashes FROM custody GROUP BY 1"))
 def custody_export(spark, d):
     """Written as JSON and as CSV by evidence, and read back."""

@@ -28,11 +28,24 @@ def export_cases(evidence: DataFrame, custody: DataFrame, results: DataFrame, pa
     manifest(files).write.mode("overwrite").partitionBy("case_id").json(f"{path}/manifest")
 
 
+def package_lines(evidence: DataFrame, custody: DataFrame, results: DataFrame) -> DataFrame:
+    """SNK1, JOIN3: an item, its custody and its results as JSON lines in order: case_id, evidence_id, part (0 the item, 1 custody,
+    2 results), at and nth (the order inside a part), json. No item's children are gathered, however many they are."""
+    of = evidence.select("evidence_id", "case_id")
+    line = lambda df, part, at, nth, names: df.select("case_id", "evidence_id", F.lit(part).alias("part"), at.alias("at"), F.col(nth).cast("long").alias("nth") if nth else F.lit(0).cast("long").alias("nth"), F.to_json(F.struct(F.lit(("evidence", "custody", "result")[part]).alias("kind"), *names)).alias("json"))
+    none = F.lit(None).cast(custody.schema["ts"].dataType)
+    own = line(evidence, 0, none, None, [c for c in evidence.columns if c != "case_id"])
+    chain = line(custody.join(of, "evidence_id"), 1, F.col("ts"), "id", ["ts", "id", "agent_id", "action", "input_hash", "output_hash"])
+    found = line(results.join(of, "evidence_id"), 2, none, "seq", ["seq", "agent_type", "confidence", "errors"])
+    return own.unionByName(chain).unionByName(found)
+
+
 def export_packages(evidence: DataFrame, custody: DataFrame, results: DataFrame, path: str, file_bytes: int = packed.FILE_BYTES) -> None:
     """SNK1: the items of all cases as one package of files of bounded size, by case and item, with index and manifest; nothing
     of it is there unless all of it is."""
-    files = evidence_json(evidence, custody, results)
-    packed.pack(files, F.concat_ws("/", F.col("case_id").cast("string"), "path"), F.col("json"), [], path, file_bytes)
+    rows = package_lines(evidence, custody, results)
+    key = F.concat(F.coalesce(F.col("case_id").cast("string"), F.lit("")), F.lit("/evidence/"), F.col("evidence_id").cast("string"), F.lit(".json"))
+    packed.pack(rows, key, F.col("json"), [F.col("part"), F.col("at"), F.col("nth")], path, file_bytes)
 
 
 def pack_custody(custody: DataFrame, path: str, file_bytes: int = packed.FILE_BYTES) -> None:
@@ -73,6 +86,33 @@ def case_reports(cases: DataFrame, evidence: DataFrame, form: str = "markdown")
     return x.select("case_id", report.alias("report"))
 
 
+FORMS = ("markdown", "html", "json")
+
+
+def report_lines(cases: DataFrame, evidence: DataFrame, form: str = "markdown") -> DataFrame:
+    """SNK4: reports as lines in order: case_id, part (0 head, 1 items, 2 end), evidence_id (null but for items), line. Reports of
+    any length; ``packed.pack`` writes them by case."""
+    by = evidence.groupBy("case_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "flagged").alias("flagged"))
+    x = cases.join(by, "case_id", "left").withColumns({"total": F.coalesce("total", F.lit(0).cast("long")), "flagged": F.coalesce("flagged", F.lit(0).cast("long"))})
+    total, flagged = F.col("total").cast("string"), F.col("flagged").cast("string")
+    cells = [F.col("evidence_id").cast("string"), F.coalesce("evidence_type", F.lit("")), F.coalesce("status", F.lit("")), F.when(F.col("fused_score").isNotNull(), F.format_string("%.3f", "fused_score")).otherwise("-"), F.coalesce("fused_class", F.lit("-"))]
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    head, item, end = {
+        "markdown": (F.concat(F.lit("# "), "title", F.lit("\n\n"), total, F.lit(" items, "), flagged, F.lit(" flagged\n\n| id | type | status | score | class |\n|-|-|-|-|-|")), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")), None),
+        "html": (F.concat(F.lit("<h1>"), safe(F.col("title")), F.lit("</h1><p>"), total, F.lit(" items, "), flagged, F.lit(" flagged</p><table>")), F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *[safe(c) for c in cells]), F.lit("</td></tr>")), F.lit("</table>")),
+        "json": (F.to_json(F.struct("case_id", "title", "total", "flagged")), F.to_json(F.struct("evidence_id", "evidence_type", "status", F.round("fused_score", 3).alias("fused_score"), "fused_class")), None),
+    }[form]
+    none = F.lit(None).cast(evidence.schema["evidence_id"].dataType).alias("evidence_id")
+    out = x.select("case_id", F.lit(0).alias("part"), none, head.alias("line"))
+    out = out.unionByName(evidence.join(cases.select("case_id"), "case_id", "left_semi").select("case_id", F.lit(1).alias("part"), "evidence_id", item.alias("line")))
+    return out if end is None else out.unionByName(x.select("case_id", F.lit(2).alias("part"), none, end.alias("line")))
+
+
+def export_reports(cases: DataFrame, evidence: DataFrame, path: str, form: str = "markdown", file_bytes: int = packed.FILE_BYTES) -> None:
+    """SNK4: all cases' reports as one package, by case."""
+    packed.pack(report_lines(cases, evidence, form), F.col("case_id"), F.col("line"), [F.col("part"), F.col("evidence_id")], path, file_bytes)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """SNK5: file, status, class and score of each item, as JSON lines."""
     results.select("file", "status", "class", "score").write.mode("overwrite").json(path)

@@ -1,6 +1,7 @@
 """Packed packages and files of any size."""
 
 import hashlib
+import json
 import os
 
 import pytest
@@ -77,8 +78,35 @@ def test_cases_are_packed_with_custody_and_results(spark, tmp_path):
     results = spark.createDataFrame([(1, 0, "ocr", 0.5, [])], "evidence_id long, seq int, agent_type string, confidence double, errors array<string>")
     at = str(tmp_path / "p")
     sinks.export_packages(evidence, custody, results, at)
-    got = {r["key"]: r["line"] for r in packed.lines(spark, at).collect()}
-    assert set(got) == {"10/evidence/1.json", "10/evidence/2.json", "11/evidence/3.json"} and '"agent_type":"ocr"' in got["10/evidence/1.json"]
+    got = {}
+    for r in packed.lines(spark, at).orderBy("key", "file", "offset", "nth").collect():
+        got.setdefault(r["key"], []).append(json.loads(r["line"]))
+    assert set(got) == {"10/evidence/1.json", "10/evidence/2.json", "11/evidence/3.json"}
+    assert [x["kind"] for x in got["10/evidence/1.json"]] == ["evidence", "custody", "result"] and got["10/evidence/1.json"][2]["agent_type"] == "ocr" and len(got["11/evidence/3.json"]) == 1
+
+
+def test_a_chain_of_one_item_is_many_lines_in_order(spark, tmp_path):
+    evidence = spark.createDataFrame([(1, 10)], "evidence_id long, case_id long")
+    custody = spark.createDataFrame([(1, k, k // 2, "a", "b", "c", f"d{k}") for k in range(2_000)], "evidence_id long, id long, ts long, agent_id string, action string, input_hash string, output_hash string").repartition(5)
+    results = spark.createDataFrame([], "evidence_id long, seq int, agent_type string, confidence double, errors array<string>")
+    at = str(tmp_path / "p")
+    sinks.export_packages(evidence, custody, results, at, 20_000)
+    back = [json.loads(r["line"]) for r in packed.lines(spark, at).orderBy("file", "offset", "nth").collect()]
+    assert [x.get("output_hash") for x in back] == [None] + [f"d{k}" for k in range(2_000)] and len(os.listdir(f"{at}/data")) > 5
+
+
+def test_reports_in_three_forms(spark, tmp_path):
+    cases = spark.createDataFrame([(1, "A < B"), (2, "none")], "case_id long, title string")
+    evidence = spark.createDataFrame([(5, 1, "text", "flagged", 0.12345, "x"), (4, 1, None, None, None, None), (6, 9, "text", "flagged", 0.5, "y")], "evidence_id long, case_id long, evidence_type string, status string, fused_score double, fused_class string")
+    text = {}
+    for form in sinks.FORMS:
+        at = str(tmp_path / form)
+        sinks.export_reports(cases, evidence, at, form)
+        for r in packed.lines(spark, at).orderBy("key", "file", "offset", "nth").collect():
+            text[form, r["key"]] = text.get((form, r["key"]), "") + r["line"] + "\n"
+    assert text["markdown", "1"].endswith("|-|-|-|-|-|\n| 4 |  |  | - | - |\n| 5 | text | flagged | 0.123 | x |\n") and text["markdown", "2"].startswith("# none\n\n0 items, 0 flagged")
+    assert text["html", "1"] == "<h1>A &lt; B</h1><p>2 items, 1 flagged</p><table>\n<tr><td>4</td><td></td><td></td><td>-</td><td>-</td></tr>\n<tr><td>5</td><td>text</td><td>flagged</td><td>0.123</td><td>x</td></tr>\n</table>\n"
+    assert [json.loads(x) for x in text["json", "1"].splitlines()] == [{"case_id": 1, "title": "A < B", "total": 2, "flagged": 1}, {"evidence_id": 4}, {"evidence_id": 5, "evidence_type": "text", "status": "flagged", "fused_score": 0.123, "fused_class": "x"}]
 
 
 def test_a_file_of_three_gigabytes_is_hashed(spark, tmp_path):
