@@ -14,7 +14,8 @@ from casefile.functions import score as s
 
 
 def first_by_content(stream: DataFrame, keep: str = "30 days", ts: str = "ts", key: str = "sha256") -> DataFrame:
-    """STM1: the first item of each content within the time that hashes are kept."""
+    """STM1: the first item of each content within the time that hashes are kept; of several that come first in one
+    batch, any."""
     return stream.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])
 
 

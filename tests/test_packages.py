@@ -47,6 +47,7 @@ def test_changed_and_missing_files_are_found(spark, rows, tmp_path):
 
 def test_a_failed_package_is_none(spark, rows, tmp_path):
     at = str(tmp_path / "p")
+    spark.dataSource.register(packed.PackedSource)
     broken = rows.filter("key is not null and line is not null").withColumn("line", F.when(F.col("key") == "k150", F.raise_error(F.lit("broken"))).otherwise(F.col("line")))
     with pytest.raises(Exception, match="broken"):
         broken.select("key", "line").write.format("casefile_packed").option("path", at).mode("append").save()

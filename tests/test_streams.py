@@ -117,3 +117,12 @@ def test_an_analyser_appends_results_with_its_critique(spark):
     assert set(got) == {(1, 4), (1, 5), (2, 0), (3, 0)}
     assert got[1, 5]["critique"] == pytest.approx(0.74) and got[1, 5]["findings"] == '{"chars":5,"blank":false}' and got[1, 5]["errors"] == []
     assert got[2, 0]["errors"] == ["unreadable"] and got[2, 0]["confidence"] == 0 and got[2, 0]["critique"] == 0
+
+
+def test_a_content_counts_again_once_its_time_is_over(spark, tmp_path):
+    schema, path, at, day = "id long, us long, sha256 string", str(tmp_path / "in"), str(tmp_path / "out"), 86_400_000_000
+    for rows in ([(1, day // 2, "A")], [(2, day, "A"), (3, 5 * day, "A"), (4, 70 * day, "B")], [(5, 71 * day, "A"), (6, 72 * day, "B")]):
+        drop_in(spark, rows, schema, path)
+        stream = state.first_by_content(timed(spark.readStream.schema(schema).parquet(path)), "30 days").select("id", "sha256")
+        got = collected(spark, stream, at)
+    assert got == [(1, "A"), (4, "B"), (5, "A")]
