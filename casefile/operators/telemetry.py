@@ -40,10 +40,14 @@ def latency_interpolated(df: DataFrame, by: list[str], value: str = "ms") -> Dat
 
 
 def histogram(df: DataFrame, value: str = "ms", bins: int = 30) -> DataFrame:
-    """AGG7: equal bins between minimum and maximum; the maximum lies in the last."""
+    """AGG7: equal bins between minimum and maximum; the maximum lies in the last, as do all values where there is one only.
+
+    The share of the range comes first, then the bin, as in the SQL: another order of these steps rounds values on an edge
+    to the other side."""
     edge = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    at = F.least(F.width_bucket(F.col(value), F.col("lo"), F.col("hi"), F.lit(bins)), F.lit(bins).cast("long"))
-    return df.crossJoin(F.broadcast(edge)).groupBy(F.when(F.col("lo") == F.col("hi"), F.lit(1).cast("long")).otherwise(at).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")) * bins
+    at = F.when(share.isNull() | F.isnan(share), F.lit(bins).cast("long")).otherwise(F.least(F.floor(share) + 1, F.lit(bins).cast("long")))
+    return df.crossJoin(F.broadcast(edge)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cumulative_histogram(df: DataFrame, by: list[str], value: str, bounds: list[float] = BUCKETS) -> DataFrame:
