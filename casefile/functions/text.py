@@ -153,12 +153,15 @@ def decimal_degrees(dms: Column | str, ref: Column | str) -> Column:
 
 
 def mean_hash(gray: Column | str, cells: int = 64) -> Column:
-    """STR16: bits of the first cells over the mean of all, as hexadecimal digits."""
-    g = col(gray)
-    mean = F.aggregate(g, F.lit(0.0), lambda a, x: a + x) / F.size(g)
-    bits = F.transform(F.slice(g, 1, cells), lambda x: F.when(x > mean, "1").otherwise("0"))
-    nibbles = F.transform(F.sequence(F.lit(0), F.lit(cells // 4 - 1)), lambda i: F.lower(F.conv(F.array_join(F.slice(bits, i * 4 + 1, 4), ""), 2, 16)))
-    return F.array_join(nibbles, "")
+    """STR16: bits of the first cells over the mean of all, as hexadecimal digits.
+
+    Cells and their mean are bound to names, each once: the work grows with the cells, not with powers of their number."""
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    mean = lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + x) / F.size(g)
+    bits = lambda g, m, i: F.aggregate(F.slice(g, i * 4 + 1, F.lit(4)), F.lit(0), lambda a, x: a * 2 + F.when(x > m, 1).otherwise(0))
+    digit = lambda g, m, i: F.when(i * 4 < F.size(g), F.substring(F.lit("0123456789abcdef"), bits(g, m, i) + 1, F.lit(1)))
+    digits = lambda g, m: F.transform(F.sequence(F.lit(0), F.lit(cells // 4 - 1)), lambda i: digit(g, m, i))
+    return once(col(gray), lambda g: once(mean(g), lambda m: F.array_join(digits(g, m), "")))
 
 
 def double_compressed(content: Column | str) -> Column:
