@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casefile.operators.overlap import most_overlapping
+
 #: The finest cells of time are 2^FINEST seconds long.
 FINEST = -6
 
@@ -42,10 +44,9 @@ def overlapping(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
 
 def speakers(segments: DataFrame, turns: DataFrame, bucket: float | None = None) -> DataFrame:
     """JOIN4: each segment (audio_id, idx, start, end) gets the speaker of the turn that overlaps it
-    most, the first at ties, else UNKNOWN. ``bucket`` is of no effect: cells follow from the intervals' lengths."""
-    met = overlapping(segments.select("audio_id", "idx", "start", "end"), turns.select("audio_id", "start", "end", "idx", "speaker"), "audio_id")
-    overlap = F.least("end", "r_end") - F.greatest("start", "r_start")
-    best = met.groupBy("audio_id", "idx").agg(F.max_by("r_speaker", F.struct(overlap.alias("o"), (-F.col("r_idx")).alias("t"))).alias("speaker"))
+    most, the first at ties, else UNKNOWN. ``bucket`` is of no effect: stretches follow from the rows. Pairs of segments and turns
+    that overlap are never made, since a busy recording has as many as the square of its rows."""
+    best = most_overlapping(segments, turns, "audio_id", "idx", "speaker").withColumnRenamed("r_what", "speaker")
     return segments.join(best, ["audio_id", "idx"], "left").withColumn("speaker", F.coalesce("speaker", F.lit("UNKNOWN")))
 
 
