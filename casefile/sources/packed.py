@@ -12,13 +12,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 #: Bytes of a data file before the next one is begun; runs that a task notes before it writes them; bytes read at a time.
 FILE_BYTES, NOTED, READ = 64 << 20, 10_000, 1 << 20
@@ -63,8 +65,8 @@ class _Task:
             self.index.write_table(pa.table([list(c) for c in zip(*self.noted)], schema=INDEX))
             self.noted = []
 
-    def add(self, key: str, line: str) -> None:
-        data = line.encode() + b"\n"
+    def add(self, key: str, data: memoryview, lines: int = 1) -> None:
+        """Lines of one key, each with its end, that go to one file."""
         if self.out is None or (self.at and self.at + len(data) > self.most):
             self._note()
             self.close_file()
@@ -74,10 +76,27 @@ class _Task:
             self._note()
             self.run = [key, self.at, 0, hashlib.sha256()]
         self.out.write(data)
-        self.run[2] += 1
+        self.run[2] += lines
         self.run[3].update(data)
         self.at += len(data)
-        self.lines += 1
+        self.lines += lines
+
+    def add_batch(self, keys: pa.Array, lines: pa.Array) -> None:
+        """Runs of equal keys; a run that its file cannot take whole goes line by line."""
+        kept = pc.is_valid(lines)
+        keys, lines = keys.filter(kept), lines.filter(kept)
+        if not len(keys):
+            return
+        ended = pc.binary_join_element_wise(lines.cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+        ends = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1].tolist()
+        data = memoryview(ended.buffers()[2])
+        firsts = [0, *(np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(keys)]
+        for key, i, j in zip(keys.take(pa.array(firsts[:-1])).to_pylist(), firsts, firsts[1:]):
+            if self.out is not None and self.at + ends[j] - ends[i] <= self.most:
+                self.add(key, data[ends[i] : ends[j]], j - i)
+            else:
+                for k in range(i, j):
+                    self.add(key, data[ends[k] : ends[k + 1]])
 
     def close_file(self) -> None:
         if self.out is not None:
@@ -92,14 +111,14 @@ class _Task:
         return Written(self.files, f"index/{self.name}.parquet", self.lines)
 
 
-class PackedWriter(DataSourceWriter):
+class PackedWriter(DataSourceArrowWriter):
     def __init__(self, path: str, most: int):
         self.path, self.most = path, most
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         task = _Task(self.path, self.most)
-        for row in iterator:
-            task.add(row[0], row[1])
+        for batch in iterator:
+            task.add_batch(batch.column(0), batch.column(1))
         return task.end()
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -142,8 +161,9 @@ class PackedSource(DataSource):
 
 def pack(df: DataFrame, key: Column, line: Column, order: list[Column], path: str, file_bytes: int = FILE_BYTES) -> None:
     """A package of ``line`` by ``key``: lines of one key come together in the order of ``order``, over as many files as they need.
-    Rows are dealt by ranges, so a key with very many lines is not one task's."""
-    rows = df.select(key.cast("string").alias("key"), line.alias("line"), *[c.alias(f"_{k}") for k, c in enumerate(order)]).filter("key is not null and line is not null")
+    Rows are dealt by ranges, so a key with very many lines is not one task's. Lines that are null are left out by the writer: a filter
+    here would make each line once more."""
+    rows = df.select(key.cast("string").alias("key"), line.alias("line"), *[c.alias(f"_{k}") for k, c in enumerate(order)]).filter("key is not null")
     by = ["key", *[f"_{k}" for k in range(len(order))]]
     df.sparkSession.dataSource.register(PackedSource)
     rows.repartitionByRange(*by).sortWithinPartitions(*by).select("key", "line").write.format("casefile_packed").option("path", path).option("filebytes", str(file_bytes)).mode("append").save()
@@ -169,24 +189,33 @@ def _pieces(f, length: int) -> Iterator[bytes]:
 
 
 def verified(spark: SparkSession, path: str) -> DataFrame:
-    """SNK2: key, file, lines and state of each run: OK, FAIL (other bytes) or ERROR (missing). Files are read in pieces."""
+    """SNK2: key, file, lines and state of each run: OK, FAIL (other bytes) or ERROR (missing). Files are read in pieces, and each is
+    opened once by the task that checks its runs."""
 
     def run(batches):
         fs, base = store(path)
         schema = pa.schema([("key", pa.string()), ("file", pa.string()), ("lines", pa.int64()), ("state", pa.string())])
+        name, f = None, None
         for batch in batches:
             states = []
             for file, offset, length, want in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "sha256"))):
                 hash_ = hashlib.sha256()
                 try:
-                    with fs.open_input_file(f"{base}/{file}") as f:
-                        f.seek(offset)
-                        for data in _pieces(f, length):
-                            hash_.update(data)
+                    if file != name:
+                        if f is not None:
+                            f.close()
+                        name, f = None, None
+                        f = fs.open_input_file(f"{base}/{file}")
+                        name = file
+                    f.seek(offset)
+                    for data in _pieces(f, length):
+                        hash_.update(data)
                     states.append("OK" if hash_.hexdigest() == want else "FAIL")
                 except OSError:
                     states.append("ERROR")
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("file"), batch.column("lines"), pa.array(states, pa.string())], schema=schema)
+        if f is not None:
+            f.close()
 
     return index(spark, path).repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, "key string, file string, lines long, state string")
 
