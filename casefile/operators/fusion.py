@@ -91,15 +91,33 @@ def block_reasons(evidence: DataFrame, results: DataFrame, fusion: Fusion = Fusi
     return first.unionByName(second).select("evidence_id", "ord", "r.code", "r.severity", "r.detail")
 
 
-def routing(evidence: DataFrame, reasons: DataFrame, success: str | None = None) -> DataFrame:
-    """SCR17: evidence_id and routing; an item without reasons is auto_ok."""
-    by = reasons.groupBy("evidence_id").agg(
+#: The reasons that block_reasons gives, with their severities.
+REASONS = [
+    ("HIGH_DECEPTION_SCORE", "high"), ("HIGH_MANIPULATION_SCORE", "medium"), ("LOW_FUSION_SCORE", "high"), ("MISSING_CONTENT", "high"), ("IMPOSSIBLE_TIMELINE", "critical"),
+    ("ANALYSIS_ERROR", "high"), ("LOW_AGENT_CONFIDENCE", "medium"), ("ANOMALY_DETECTED", "medium"),
+]
+
+
+def _routed(evidence: DataFrame, reasons: DataFrame, success: str | None, *more: Column) -> DataFrame:
+    """evidence_id, _own (its rows of evidence), routing and ``more``, which may count code and severity: items and reasons are put under one
+    another and grouped once, so no task holds both sides of a join sorted."""
+    failed = ~F.coalesce(F.col(success), F.lit(True)) if success else F.lit(False)
+    items = evidence.select("evidence_id", F.lit(1).alias("_own"), failed.alias("failed"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("severity"))
+    why = reasons.filter("evidence_id is not null").select("evidence_id", F.lit(0).alias("_own"), F.lit(False).alias("failed"), "code", "severity")
+    by = items.unionByName(why).groupBy("evidence_id").agg(
+        F.sum("_own").alias("_own"),
+        F.bool_or("failed").alias("failed"),
         *[F.bool_or(F.col("severity") == x).alias(x) for x in ("critical", "high", "medium")],
         F.bool_or(F.startswith("code", F.lit("MISSING_"))).alias("missing"),
+        *more,
     )
-    failed = ~F.coalesce(F.col(success), F.lit(True)) if success else F.lit(False)
-    at = F.when(failed | F.col("critical"), "blocked").when(F.col("high"), "review").when(F.col("missing"), "needs_docs").when(F.col("medium"), "review").otherwise("auto_ok")
-    return evidence.join(by, "evidence_id", "left").select("evidence_id", at.alias("routing"))
+    at = F.when(F.col("failed") | F.col("critical"), "blocked").when(F.col("high"), "review").when(F.col("missing"), "needs_docs").when(F.col("medium"), "review").otherwise("auto_ok")
+    return by.filter("_own > 0").withColumn("routing", at).drop("failed", "critical", "high", "medium", "missing")
+
+
+def routing(evidence: DataFrame, reasons: DataFrame, success: str | None = None) -> DataFrame:
+    """SCR17: evidence_id and routing, a row for each of ``evidence``; an item without reasons is auto_ok."""
+    return _routed(evidence, reasons, success).select("evidence_id", "routing", F.explode(F.array_repeat(F.lit(0), F.col("_own").cast("int"))).alias("_k")).drop("_k")
 
 
 # What is said first where output is withheld.
@@ -124,6 +142,20 @@ def withheld(routed: DataFrame, reasons: DataFrame) -> DataFrame:
     return first.unionByName(reasons.join(routed.filter(F.col("routing") != "auto_ok").select("evidence_id"), "evidence_id", "left_semi"))
 
 
+def withheld_counts(evidence: DataFrame, reasons: DataFrame, success: str | None = None) -> DataFrame:
+    """SCR18: code, severity and n of ``withheld``, without the list: items are grouped once, with a counter for each reason of
+    ``block_reasons`` (any other is an error)."""
+    which = F.concat_ws("/", "code", "severity")
+    known = [f"{c}/{x}" for c, x in REASONS]
+    checked = reasons.withColumn("code", F.when(which.isin(known), F.col("code")).otherwise(F.raise_error(F.concat(F.lit("no such reason: "), which)).cast("string")))
+    counters = [F.count_if((F.col("code") == c) & (F.col("severity") == x)).alias(f"_{k}") for k, (c, x) in enumerate(REASONS)]
+    by = _routed(evidence, checked, success, *counters).filter("routing <> 'auto_ok'")
+    own = [F.sum(F.when(F.col("routing") == k, F.col("_own")).otherwise(0)).alias(f"_r{i}") for i, k in enumerate(WITHHELD)]
+    total = by.agg(*own, *[F.sum(F.col(f"_{k}")).alias(f"_{k}") for k in range(len(REASONS))])
+    rows = [(v[0], v[1], f"_r{i}") for i, v in enumerate(WITHHELD.values())] + [(c, x, f"_{k}") for k, (c, x) in enumerate(REASONS)]
+    return total.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.lit(x).alias("severity"), F.col(n).cast("long").alias("n")) for c, x, n in rows])).alias("w")).select("w.*").filter("n > 0")
+
+
 def internal_view(evidence: DataFrame, routed: DataFrame, reasons: DataFrame) -> DataFrame:
     """FIL9: everything, for review queues."""
     listed = reasons.groupBy("evidence_id").agg(F.sort_array(F.collect_list(F.struct("ord", "code", "severity", "detail"))).alias("block_reasons"))
