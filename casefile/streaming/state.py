@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -72,26 +72,24 @@ def _in_order(parts: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
 
 
 class Limiter(StatefulProcessor):
-    """A key's accepted times (a list), or its window's begin and count (a value), until the watermark has passed
-    what they can matter for: a timer then clears them."""
+    """A key's accepted times, or its window's begin and count, in one value, until the watermark has passed what they can matter
+    for: a timer then clears them. Each call to the state is a message to the JVM and back, so a key makes three a batch."""
 
     def __init__(self, fixed: bool, seconds: int, limit: int):
         self.fixed, self.span, self.limit = fixed, seconds * 1_000_000, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("window", "begin long, n long") if self.fixed else handle.getListState("times", "at long")
+        self.held = handle.getValueState("window", "begin long, n long") if self.fixed else handle.getValueState("accepted", "times array<long>")
 
     def _get(self):
+        held = self.held.get()
         if self.fixed:
-            return tuple(self.held.get()) if self.held.exists() else (0, 0)
-        return [t[0] for t in self.held.get()] if self.held.exists() else []
+            return (0, 0) if held is None else tuple(held)
+        return [] if held is None else list(held[0])
 
     def _put(self, state) -> None:
-        if self.fixed:
-            self.held.update(tuple(state))
-        else:
-            self.held.put([(t,) for t in state])
+        self.held.update(tuple(state) if self.fixed else (list(state),))
 
     def _last(self, state) -> int:
         return state[0] if self.fixed else max(state, default=0)
@@ -100,20 +98,21 @@ class Limiter(StatefulProcessor):
         self.handle.registerTimer((at + self.span) // 1000 + 1)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        rows = initialState.sort_values(list(initialState.columns[1:]))
-        state = (int(rows["begin"].iloc[0]), int(rows["n"].iloc[0])) if self.fixed else [int(t) for t in rows["at"]]
+        """Called for each row of a key."""
+        state = (initialState["begin"], initialState["n"]) if self.fixed else sorted([*self._get(), initialState["at"]])
         self._put(state)
         self._until(self._last(state))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = _in_order(rows, "micros", "id")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = sorted((r["micros"], r["id"]) for r in rows)
         fold = fixed_window if self.fixed else accepted_within
-        state, out = fold(self._get(), list(zip(new["id"].tolist(), new["micros"].tolist())), self.span, self.limit)
+        state, out = fold(self._get(), [(id_, at) for at, id_ in new], self.span, self.limit)
         self._put(state)
         self._until(self._last(state))
-        yield pd.DataFrame([(str(key[0]), *o) for o in out], columns=["key", "id", "allowed", "remaining"])
+        name = str(key[0])
+        return (Row(key=name, id=id_, allowed=allowed, remaining=more) for id_, allowed, more in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if (self._last(self._get()) + self.span) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
             self.held.clear()
         return iter(())
@@ -132,7 +131,7 @@ def limited(stream: DataFrame, by: str, seconds: int = 60, limit: int = 100, fix
     those later than ``late`` are dropped. ``initial`` is where a stream takes up from a table: ``limit_state`` of it."""
     _on_rocks(stream)
     first = None if initial is None else initial.groupBy("key")
-    return _keyed(stream, by).withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Limiter(fixed, seconds, limit), LIMITED, "Append", "EventTime", first)
+    return _keyed(stream, by).withWatermark("ts", late).groupBy("key").transformWithState(Limiter(fixed, seconds, limit), LIMITED, "Append", "EventTime", first)
 
 
 def _folded(requests: DataFrame, by: str, seconds: int, limit: int, fixed: bool, states: bool) -> DataFrame:
